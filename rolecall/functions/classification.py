@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rolecall.functions.scan import KeywordScan, longest_length, sql_text
+from rolecall.functions.scan import KeywordScan, constant, longest_length
 from rolecall.functions.taxonomy import DEFAULT_TAXONOMY, Taxonomy
 from rolecall.functions.text import strip, text_or_empty
 
@@ -73,16 +73,14 @@ class KeywordTables:
 
 
 def _score(found: str, weights: list[int]) -> Column:
-    table = ", ".join(map(str, weights))
-    return F.expr(f"aggregate({found}, 0, (total, i) -> total + get(array({table}), i))")
+    table = constant(weights, "array<int>")
+    return F.aggregate(found, F.lit(0), lambda total, i: total + F.get(table, i))
 
 
 def _tag_names(found: str, tags: list[list[str]]) -> Column:
-    table = ", ".join(f"array({', '.join(map(sql_text, names))})" for names in tags)
-    names = (f"array_sort(array_distinct(flatten("
-             f"transform({found}, i -> get(array({table}), i)))))")
-    none = "cast(array() as array<string>)"
-    return F.expr(f"CASE WHEN size({found}) > 0 THEN {names} ELSE {none} END")
+    table = constant(tags, "array<array<string>>")
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda i: F.get(table, i)))))
+    return F.when(F.size(found) > 0, names).otherwise(F.array().cast("array<string>"))
 
 
 def best_score(scores: list[Column]) -> Column:

@@ -12,6 +12,8 @@ chosen from :data:`AUTOMATON_FROM` keywords on, where its library is present.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
@@ -24,6 +26,13 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def constant(values, ddl: str) -> Column:
+    """A nested constant. As JSON it is a single node of the plan, which the
+    optimizer folds into a literal; hundreds of small literals would slow down
+    every planning step."""
+    return F.from_json(F.lit(json.dumps(values)), ddl)
+
+
 def _automaton_available() -> bool:
     try:
         import ahocorasick  # noqa: F401

@@ -74,52 +74,56 @@ def _clocks(seen: DataFrame, ttl_seconds: int) -> DataFrame:
         (F.max("seen_at") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("_expiry"))
 
 
-def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """New postings of rows that span less than ``ttl_seconds``, and the store
-    after them. ``rows`` holds (company_key, content_hash, ts, id).
+def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
+                until) -> tuple[DataFrame, DataFrame]:
+    """New postings of rows that span no more than ``ttl_seconds`` and end
+    before ``until``, and the store after them. ``rows`` holds (company_key,
+    content_hash, ts, id).
 
     Within such a slice a set can run out at most once, because a new posting
-    moves the clock beyond the slice. So a posting is judged by aggregates: its
-    first arrival, and its first arrival after the set ran out. Aggregates
-    combine before the shuffle, so a hot company is never one task's work.
+    moves the clock beyond the slice. So everything follows from aggregates:
+
+    * What is not in the store is new, at its first arrival.
+    * If such an arrival comes before the set of its company runs out, it renews
+      the set, and the rest of the company's postings are duplicates.
+    * Otherwise the set has lapsed: of each content, the first arrival after
+      that is new, and the store forgets what the set held before.
+
+    Aggregates combine before the shuffle, so a hot company is never one task's
+    work.
     """
     _checked_ttl(ttl_seconds)
-    clocks = _clocks(seen, ttl_seconds)
-    timed = salted_join(rows, clocks, ["company_key"], "left", spread_by=["id"])
-    arrival = F.struct("ts", "id")
-    firsts = timed.groupBy(*KEYS).agg(
-        F.min(arrival).alias("first"),
-        F.min(F.when(F.col("ts") >= F.col("_expiry"), arrival)).alias("late"),
-        F.first("_expiry").alias("_expiry"))
-    known = seen.select(*KEYS, F.lit(True).alias("known"), "seen_at")
-    judged = firsts.join(known, KEYS, "left")
-    # A posting that is not known and comes before the set runs out renews it.
-    renewed = judged.groupBy("company_key").agg(F.bool_or(
-        F.col("known").isNull()
-        & (F.col("_expiry").isNull() | (F.col("first.ts") < F.col("_expiry")))).alias("renewed"))
-    judged = salted_join(judged, renewed, ["company_key"], "left", spread_by=["content_hash"])
-    new = F.when(F.col("renewed"), F.when(F.col("known").isNull(), F.col("first"))
-                 ).otherwise(F.col("late"))
-    news = materialize(
-        judged.withColumn("new", new).where(F.col("new").isNotNull())
-        .select(*KEYS, F.col("new.ts").alias("ts"), F.col("new.id").alias("id"), "renewed"),
-        "news")
-    # Sets that ran out and were begun again lose what they held.
-    restarted = news.groupBy("company_key").agg(F.bool_and("renewed").alias("renewed")
-                                                ).where(~F.col("renewed")).drop("renewed")
-    restarted = restarted.withColumn("_gone", F.lit(True))
-    kept = salted_join(seen, restarted, ["company_key"], "left",
-                       spread_by=["content_hash"]).where(F.col("_gone").isNull()).drop("_gone")
-    after = materialize(
-        kept.select(*KEYS, "seen_at").unionByName(
-            news.select(*KEYS, F.col("ts").alias("seen_at"))), "seen")
-    return news.select(*KEYS, "ts", "id"), after
-
-
-def _slices(rows: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Rows with the number of their slice of ``ttl_seconds``."""
-    micros = F.unix_micros("ts")
-    return rows.withColumn("slice", F.floor(micros / F.lit(ttl_seconds * 1_000_000)).cast("bigint"))
+    arrival = F.min(F.struct("ts", "id")).alias("new")
+    firsts = rows.groupBy(*KEYS).agg(arrival)
+    unknown = materialize(
+        firsts.join(seen.select(*KEYS), KEYS, "left_anti").select(*KEYS, "new.ts", "new.id"),
+        "unknown")
+    renewals = unknown.groupBy("company_key").agg(F.min("ts").alias("_renewed"))
+    lapsed = materialize(
+        _clocks(seen, ttl_seconds).where(F.col("_expiry") < until)
+        .join(renewals, "company_key", "left")
+        .where(F.col("_renewed").isNull() | (F.col("_renewed") >= F.col("_expiry")))
+        .select("company_key", "_expiry"), "lapsed")
+    if lapsed.isEmpty():
+        return unknown, _remember(seen, unknown)
+    late = materialize(
+        salted_join(rows, lapsed, ["company_key"], "inner", spread_by=["id"])
+        .where(F.col("ts") >= F.col("_expiry"))
+        .groupBy(*KEYS).agg(arrival).select(*KEYS, "new.ts", "new.id"), "late")
+    spread = ["content_hash"]
+    unlapsed = salted_join(unknown, lapsed.select("company_key"), ["company_key"], "left_anti", spread)
+    news = unlapsed.unionByName(late)
+    restarted = late.select("company_key").distinct()
+    kept = salted_join(seen, restarted, ["company_key"], "left_anti", spread)
+    return news, materialize(_remember(kept, news), "seen")
+
+
+def _remember(seen: DataFrame, news: DataFrame) -> DataFrame:
+    return seen.select(*KEYS, "seen_at").unionByName(news.select(*KEYS, F.col("ts").alias("seen_at")))
+
+
+#: Slices whose news are only appended to the store before it is written anew.
+APPENDS = 8
 
 
 def fold_slices(rows: DataFrame, ttl_seconds: int,
@@ -133,16 +137,19 @@ def fold_slices(rows: DataFrame, ttl_seconds: int,
     spark = rows.sparkSession
     store = seen.select(*KEYS, "seen_at") if seen is not None else spark.createDataFrame(
         [], schemas.SEEN)
-    sliced = materialize(_slices(rows.select(*KEYS, "ts", "id"), ttl_seconds), "slices", ("slice",))
+    width = _checked_ttl(ttl_seconds) * 1_000_000
+    number = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
+    sliced = materialize(rows.select(*KEYS, "ts", "id", number.alias("slice")), "slices", ("slice",))
     # One number per ttl of the span covered; the rows stay where they are.
     numbers = [r.slice for r in sliced.select("slice").distinct().orderBy("slice").collect()]
-    news = None
-    for number in numbers:
-        part = sliced.where(F.col("slice") == number).drop("slice")
-        found, store = dedup_slice(part, store, ttl_seconds)
-        news = found if news is None else news.unionByName(found)
-    if news is None:
-        news = rows.select(*KEYS, "ts", "id").where("false")
+    news = rows.select(*KEYS, "ts", "id").where("false")
+    for step, slice_number in enumerate(numbers, 1):
+        part = sliced.where(F.col("slice") == slice_number).drop("slice")
+        until = F.timestamp_micros(F.lit((slice_number + 1) * width))
+        found, store = dedup_slice(part, store, ttl_seconds, until)
+        news = news.unionByName(found)
+        if step % APPENDS == 0:
+            store = materialize(store, "seen")
     return news, store
 
 

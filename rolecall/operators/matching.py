@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rolecall.functions.scan import KeywordScan, sql_text
+from rolecall.functions.scan import KeywordScan, constant
 from rolecall.functions.text import text_or_empty
 from rolecall.sources.specs import SOURCES, SearchSpec, check_types, enabled
 
@@ -16,26 +14,26 @@ FACETS = ("location", "job_type", "workplace_type", "experience_level")
 LIMIT_SALTS = 64
 
 
-def _spec_literal(spec: SearchSpec, scan: KeywordScan) -> str:
-    """One search as a struct literal. ``needed`` holds keyword positions;
+SPEC_CONSTANT = (
+    "array<struct<spec:string,source:string,checks:boolean,possible:boolean,needed:array<int>,"
+    "within:bigint,excluded:array<string>,max_results:int,location:string,job_type:string,"
+    "workplace_type:string,experience_level:string>>")
+
+
+def _constant_spec(spec: SearchSpec, scan: KeywordScan) -> dict:
+    """One search as a constant of the plan. ``needed`` holds keyword positions;
     ``possible`` is false where a keyword is listed twice."""
-    lowered = [k.lower() for k in spec.keywords]
     source, checks = SOURCES[spec.type]
-    text = lambda value: "cast(null as string)" if value is None else sql_text(value)
-    excluded = ", ".join(sql_text(c.lower()) for c in spec.excluded_companies)
-    needed = ", ".join(map(str, scan.positions(dict.fromkeys(lowered))))
-    fields = {
-        "spec": sql_text(spec.name),
-        "source": sql_text(source),
-        "checks": str(checks).lower(),
-        "possible": str(len(set(lowered)) == len(lowered)).lower(),
-        "needed": f"cast(array({needed}) as array<int>)",
-        "within": f"cast({'null' if spec.last_time_posted is None else spec.last_time_posted} as bigint)",
-        "excluded": f"cast(array({excluded}) as array<string>)",
-        "max_results": str(spec.max_results),
-        **{name: text(getattr(spec, name)) for name in FACETS},
+    lowered = [k.lower() for k in spec.keywords] if checks else []
+    return {
+        "spec": spec.name, "source": source, "checks": checks,
+        "possible": len(set(lowered)) == len(lowered),
+        "needed": scan.positions(dict.fromkeys(lowered)),
+        "within": spec.last_time_posted,
+        "excluded": [c.lower() for c in spec.excluded_companies],
+        "max_results": spec.max_results,
+        **{name: getattr(spec, name) for name in FACETS},
     }
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
 def match_specs(postings: DataFrame, specs: list[SearchSpec], *, description: str = "description",
@@ -64,8 +62,7 @@ def match_specs(postings: DataFrame, specs: list[SearchSpec], *, description: st
     if any(s.last_time_posted is not None for s in specs) and age not in postings.columns:
         raise ValueError(f"postings have no column {age!r}, which a search asks for")
 
-    literals = ", ".join(_spec_literal(
-        s if SOURCES[s.type][1] else replace(s, keywords=()), scan) for s in specs)
+    wanted = constant([_constant_spec(s, scan) for s in specs], SPEC_CONSTANT)
     scanned = (postings
                .withColumn("_lower", F.lower(text_or_empty(description)))
                .withColumn("_found", scan.found("_lower")))
@@ -95,7 +92,7 @@ def match_specs(postings: DataFrame, specs: list[SearchSpec], *, description: st
         return test
 
     hits = F.flatten(F.transform(row, lambda posting: F.transform(
-        F.filter(F.expr(f"array({literals})"), accepted(posting)),
+        F.filter(wanted, accepted(posting)),
         lambda spec: F.struct(spec["spec"].alias("spec"), spec["max_results"].alias("max_results")))))
     # Outer, so that no filter on the scan result is inferred and run twice.
     return (scanned.withColumn("_hit", F.explode_outer(hits))

@@ -28,13 +28,20 @@ def page(postings: DataFrame, start: int, size: int = 10, order_by: list | None
     return ordered.offset(start).limit(size)
 
 
-def take_while(rows: DataFrame, run: str, seq: str, stop: Column) -> DataFrame:
+def take_while(rows: DataFrame, run: str, seq: str, stop: Column,
+               short_runs: bool = False) -> DataFrame:
     """Rows of each run before its first row for which ``stop`` holds.
 
     The place of that row is an aggregate, so a long run is not brought
-    together; rows are then compared with it.
+    together; rows are then compared with it. Where runs are known to be short,
+    as the cards of one page are, a window spares the second look at the rows.
     """
     marked = rows.withColumn("_stop", F.coalesce(stop, F.lit(False)))
+    if short_runs:
+        so_far = Window.partitionBy(run).orderBy(seq).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return (marked.withColumn("_stops", F.count_if("_stop").over(so_far))
+                .where("_stops = 0").drop("_stop", "_stops"))
     ends = (marked.groupBy(run).agg(F.min(F.when(F.col("_stop"), F.col(seq))).alias("_end"))
             .where(F.col("_end").isNotNull()))
     joined = salted_join(marked, ends, [run], "left", spread_by=[seq])

@@ -63,7 +63,7 @@ def tag_summary(jobs: DataFrame, tags: str = "tags", seq: str | None = None) ->
     """
     # A scalar subquery: counting the rows needs no column of them.
     total = jobs.agg(F.count("*")).scalar()
-    place = [F.min(F.struct(seq, "_pos")).alias("_first")] if seq else []
+    place = [F.min(_place(jobs, seq)).alias("_first")] if seq else []
     counts = (jobs.select(*([seq] if seq else []),
                           F.posexplode_outer(tag_array(jobs, tags)).alias("_pos", "tag"))
               .where(F.col("tag").isNotNull())
@@ -74,6 +74,14 @@ def tag_summary(jobs: DataFrame, tags: str = "tags", seq: str | None = None) ->
             .select("tag", "job_count", "percentage", "total_jobs"))
 
 
+def _place(jobs: DataFrame, seq: str) -> Column:
+    """Where a tag stands: by row, then by position in the row. One number where
+    rows are numbered, because Spark can hash-aggregate that."""
+    if jobs.schema[seq].dataType.typeName() in ("long", "integer"):
+        return F.col(seq).cast("decimal(20,0)") * 2**31 + F.col("_pos")
+    return F.struct(seq, "_pos")
+
+
 def top_tags(jobs: DataFrame, n: int, tags: str = "tags", seq: str | None = None) -> DataFrame:
     """The ``n`` most frequent tags."""
     return tag_summary(jobs, tags, seq).limit(n)

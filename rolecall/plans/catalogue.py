@@ -340,9 +340,9 @@ def dedup_with_expiry_slices(spark, sf_dir):
 
 def dedup_one_hot_company(spark, sf_dir):
     """All arrivals as one company: it is over the bound, so it is folded in
-    slices, and a day is enough for its set to run out or be renewed."""
+    slices; its contents recur, so its set runs out again and again."""
     keyed = joins.with_keys(arrivals(spark, sf_dir).withColumn("company", F.lit("One")))
-    return dedup.dedup_with_expiry(keyed, 86400, hot_rows=500).select(F.col("id").alias("event_id"))
+    return dedup.dedup_with_expiry(keyed, TTL_SECONDS, hot_rows=500).select(F.col("id").alias("event_id"))
 
 
 # --- scalars ---------------------------------------------------------------------

@@ -191,7 +191,8 @@ def link_cards(raw: DataFrame, as_of, base: str = LINK_BASE,
         .withColumn("_record", record).where(F.col("_record").isNotNull())
         .withColumn("posted_date", text.parse_posted_date("_record.posted"))
         .where(F.col("posted_date").isNotNull()))
-    current = take_while(readable, "page_id", "seq", ~text.is_on("posted_date", as_of))
+    current = take_while(readable, "page_id", "seq", ~text.is_on("posted_date", as_of),
+                         short_runs=True)
     return current.select(
         "page_id", "seq",
         text.title_fallback([_field(h) for h in HEADINGS], _field("text"),

@@ -22,7 +22,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
     r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""")
-_SPACE = re.compile(r"[ \t\n\r\f]+")
+#: White space that does not show as it is written; a single space does.
+_SPACE = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")
 _SELECTOR = re.compile(
     r"(?P<tag>[a-zA-Z][\w-]*)?(?P<classes>(?:\.[\w-]+)*)"
     r"(?:\[(?P<name>[\w-]+)(?P<op>\*?=)[\"']?(?P<value>[^\"'\]]*)[\"']?\])?\Z")
