@@ -62,10 +62,16 @@ class SearchJob:
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Dedup, match, limit, classify, store; and note what was found."""
         spark = batch.sparkSession
-        found = search(self.new_postings(batch, batch_id), self.specs, [self.ts, self.id],
-                       self.taxonomy, **self.match_options)
-        path = f"{self.folder}/found/batch={batch_id}"
-        found.drop(*KEYS).write.mode("overwrite").parquet(path)
+        # Read once, though keys and postings are both needed; a lost part is
+        # read again from the source.
+        batch = batch.persist()
+        try:
+            found = search(self.new_postings(batch, batch_id), self.specs, [self.ts, self.id],
+                           self.taxonomy, **self.match_options)
+            path = f"{self.folder}/found/batch={batch_id}"
+            found.drop(*KEYS).write.mode("overwrite").parquet(path)
+        finally:
+            batch.unpersist()
         stored = read_store(spark, path)
         runs = stored.groupBy("name").agg(F.count("*").alias("found")).select(
             "name", F.lit(batch_id).cast("bigint").alias("run_id"), "found")
