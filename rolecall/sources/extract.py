@@ -106,32 +106,40 @@ def _layout(layouts: dict, layout):
     return layouts[layout.lower()]
 
 
-def read_cards(html: str, layout: CardLayout) -> Iterator[tuple[dict[str, str], bool]]:
-    """Raw fields of each card on a page, and whether any was ambiguous."""
-    is_item = page_html.selector(layout.item)
-    tests = [(f, page_html.selector(f.css) if f.css else None) for f in layout.fields]
-    root = page_html.parse(html)
-    roots = [root]
-    if layout.container:
-        is_container = page_html.selector(layout.container)
-        roots = [e for e in root.descendants() if is_container(e)]
-    done = set()
-    for item in (e for r in roots for e in r.descendants() if is_item(e)):
-        if id(item) in done:
-            continue
-        done.add(id(item))
-        inside = list(item.descendants())
-        values, ambiguous = {}, False
-        for field, test in tests:
-            matching = [item] if test is None else [e for e in inside if test(e)]
-            if not matching:
+def card_reader(layout: CardLayout):
+    """A function from a page to the raw fields of each card, and whether any of
+    them was ambiguous."""
+    items = page_html.Finder([layout.item])
+    containers = page_html.Finder([layout.container]) if layout.container else None
+    inner = [f for f in layout.fields if f.css]
+    own = [f for f in layout.fields if not f.css]
+    fields = page_html.Finder([f.css for f in inner])
+
+    def value(field: Field, element: page_html.Element) -> str | None:
+        if field.attribute is None:
+            return page_html.visible_text(element)
+        return element.attrs.get(field.attribute)
+
+    def read(html: str) -> Iterator[tuple[dict[str, str], bool]]:
+        page = page_html.Page(html)
+        roots = [page.root] if containers is None else [
+            e for _, e in containers.matches(page.elements)]
+        done = set()
+        for item in (e for r in roots for _, e in items.matches(page.inside(r))):
+            if item.order in done:
                 continue
-            ambiguous |= len(matching) > 1 and not field.first
-            value = (page_html.visible_text(matching[0]) if field.attribute is None
-                     else matching[0].attrs.get(field.attribute))
-            if value is not None:
-                values[field.name] = value
-        yield values, ambiguous
+            done.add(item.order)
+            values = {f.name: value(f, item) for f in own}
+            met, ambiguous = set(), False
+            for i, element in fields.matches(page.inside(item)):
+                if i not in met:
+                    met.add(i)
+                    values[inner[i].name] = value(inner[i], element)
+                elif not inner[i].first:
+                    ambiguous = True
+            yield {k: v for k, v in values.items() if v is not None}, ambiguous
+
+    return read
 
 
 def extract_cards(pages: DataFrame, layout: str | CardLayout) -> DataFrame:
@@ -141,10 +149,11 @@ def extract_cards(pages: DataFrame, layout: str | CardLayout) -> DataFrame:
                         ("fields", pa.map_(pa.string(), pa.string())), ("ambiguous", pa.bool_())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cards_of = card_reader(layout)
         for batch in batches:
             rows = []
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for seq, (values, ambiguous) in enumerate(read_cards(html or "", layout)):
+                for seq, (values, ambiguous) in enumerate(cards_of(html or "")):
                     rows.append({"page_id": page_id, "page_url": url, "seq": seq,
                                  "fields": list(values.items()), "ambiguous": ambiguous})
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -222,18 +231,14 @@ def extract_texts(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
     css = list(selectors.values())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [page_html.selector(c) for c in css]
+        finder = page_html.Finder(css)
         for batch in batches:
-            texts: list[list[str | None]] = [[] for _ in tests]
+            texts: list[list[str | None]] = [[] for _ in css]
             for html in batch.column("html").to_pylist():
-                found: list[str | None] = [None] * len(tests)
-                wanted = set(range(len(tests)))
-                for element in page_html.parse(html or "").descendants():
-                    for i in [i for i in wanted if tests[i](element)]:
+                found: list[str | None] = [None] * len(css)
+                for i, element in finder.matches(page_html.Page(html or "").elements):
+                    if found[i] is None:
                         found[i] = page_html.visible_text(element)
-                        wanted.discard(i)
-                    if not wanted:
-                        break
                 for column, value in zip(texts, found):
                     column.append(value)
             names_kept = [n for n in batch.schema.names if n != "html"]
@@ -271,7 +276,8 @@ def register_cards_udtf(spark: SparkSession, name: str = "extract_cards") -> Non
     @F.udtf(returnType="seq bigint, fields map<string,string>, ambiguous boolean")
     class Cards:
         def eval(self, html: str, layout: str):
-            for seq, (values, ambiguous) in enumerate(read_cards(html or "", layouts[layout])):
+            cards_of = card_reader(_layout(layouts, layout))
+            for seq, (values, ambiguous) in enumerate(cards_of(html or "")):
                 yield seq, values, ambiguous
 
     spark.udtf.register(name, Cards)

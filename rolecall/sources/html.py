@@ -30,10 +30,13 @@ _SELECTOR = re.compile(
 
 
 class Element:
-    __slots__ = ("tag", "source", "children", "_attrs")
+    """``order`` and ``end`` delimit its descendants in the page's elements."""
 
-    def __init__(self, tag: str, source: str = ""):
-        self.tag, self.source, self.children, self._attrs = tag, source, [], None
+    __slots__ = ("tag", "source", "children", "order", "end", "_attrs")
+
+    def __init__(self, tag: str, source: str, order: int):
+        self.tag, self.source, self.order = tag, source, order
+        self.children, self.end, self._attrs = [], order, None
 
     @property
     def attrs(self) -> dict[str, str]:
@@ -43,85 +46,120 @@ class Element:
                 self._attrs.setdefault(name.lower(), unescape("".join(values)))
         return self._attrs
 
-    def descendants(self):
-        """Elements below this one, in page order."""
-        todo = list(reversed(self.children))
-        while todo:
-            node = todo.pop()
-            if isinstance(node, Element):
-                yield node
-                todo.extend(reversed(node.children))
 
+class Page:
+    """The elements of a page in their order; the first holds all others."""
 
-def parse(html: str) -> Element:
-    """The element tree; end tags that nothing opened are passed over."""
-    root = Element("#root")
-    open_elements = [root]
-    place, end = 0, len(html)
-    for token in iter(lambda: _TOKEN.search(html, place), None):
-        if token.start() > place:
-            open_elements[-1].children.append(html[place:token.start()])
-        place = token.end()
-        tag = (token["tag"] or "").lower()
-        if not tag:
-            continue
-        if token["end"]:
-            _close(open_elements, tag)
-            continue
-        if tag in CLOSES_PARAGRAPH:
-            _close(open_elements, "p", within=("button", "table", "td", "th"))
-        elif tag == "li":
-            _close(open_elements, "li", within=("ul", "ol"))
-        elif tag == "a":
-            _close(open_elements, "a", within=("table", "td", "th"))
-        element = Element(tag, token["attrs"] or "")
-        open_elements[-1].children.append(element)
-        if tag in RAW_TEXT:
-            stop = re.compile(f"</{tag}", re.I).search(html, place)
-            until = stop.start() if stop else end
-            element.children.append(html[place:until])
-            place = until
-        if tag not in VOID:
-            open_elements.append(element)
-    if place < end:
-        open_elements[-1].children.append(html[place:])
-    return root
-
-
-def _close(open_elements: list[Element], tag: str, within: tuple[str, ...] = ()) -> None:
-    for depth in range(len(open_elements) - 1, 0, -1):
-        if open_elements[depth].tag == tag:
-            del open_elements[depth:]
-            return
-        if open_elements[depth].tag in within:
-            return
+    def __init__(self, html: str):
+        self.elements = [Element("#root", "", 0)]
+        self._parse(html)
+
+    @property
+    def root(self) -> Element:
+        return self.elements[0]
+
+    def inside(self, element: Element) -> list[Element]:
+        return self.elements[element.order + 1:element.end]
+
+    def _parse(self, html: str) -> None:
+        """End tags that nothing opened are passed over."""
+        elements, open_elements = self.elements, [self.root]
+        place, search = 0, _TOKEN.search
+        while token := search(html, place):
+            if token.start() > place:
+                open_elements[-1].children.append(html[place:token.start()])
+            place = token.end()
+            end_mark, tag, attrs = token.groups()
+            if not tag:
+                continue
+            tag = tag.lower()
+            if end_mark:
+                self._close(open_elements, tag)
+                continue
+            if tag in CLOSES_PARAGRAPH:
+                self._close(open_elements, "p", within=("button", "table", "td", "th"))
+            elif tag == "li":
+                self._close(open_elements, "li", within=("ul", "ol"))
+            elif tag == "a":
+                self._close(open_elements, "a", within=("table", "td", "th"))
+            element = Element(tag, attrs, len(elements))
+            elements.append(element)
+            element.end = len(elements)
+            open_elements[-1].children.append(element)
+            if tag in RAW_TEXT:
+                stop = re.compile(f"</{tag}", re.I).search(html, place)
+                until = stop.start() if stop else len(html)
+                element.children.append(html[place:until])
+                place = until
+            if tag not in VOID:
+                open_elements.append(element)
+        if place < len(html):
+            open_elements[-1].children.append(html[place:])
+        for element in open_elements:
+            element.end = len(elements)
+
+    def _close(self, open_elements: list[Element], tag: str, within: tuple[str, ...] = ()) -> None:
+        for depth in range(len(open_elements) - 1, 0, -1):
+            if open_elements[depth].tag == tag:
+                for element in open_elements[depth:]:
+                    element.end = len(self.elements)
+                del open_elements[depth:]
+                return
+            if open_elements[depth].tag in within:
+                return
 
 
 def selector(css: str):
-    """A test for ``tag.class[attribute=value]``, each part optional; ``*=``
-    asks for a part of the value."""
+    """The tag and the test of ``tag.class[attribute=value]``, each part optional;
+    ``*=`` asks for a part of the value. The test takes the tag as given."""
     parts = _SELECTOR.match(css)
     if not css or not parts:
         raise ValueError(f"cannot read selector {css!r}")
-    tag, name, op, value = parts["tag"], parts["name"], parts["op"], parts["value"]
-    classes = [c for c in parts["classes"].split(".") if c]
+    name, op, value = (parts["name"] or "").lower(), parts["op"], parts["value"]
+    classes = {c for c in parts["classes"].split(".") if c}
 
     def matches(element: Element) -> bool:
-        if tag and element.tag != tag.lower():
+        # Attributes are read only where they may hold what is asked for.
+        if not all(c in element.source for c in classes):
             return False
-        if classes and not set(classes) <= set(element.attrs.get("class", "").split()):
+        if classes and not classes <= set(element.attrs.get("class", "").split()):
             return False
         if name:
-            actual = element.attrs.get(name.lower())
+            actual = element.attrs.get(name)
             return actual is not None and (value in actual if op == "*=" else value == actual)
         return True
 
-    return matches
+    return parts["tag"] and parts["tag"].lower(), matches
+
+
+class Finder:
+    """Tells which of some selectors an element meets, by its tag first."""
+
+    def __init__(self, css: list[str]):
+        self.tests = [selector(c) for c in css]
+        self.by_tag: dict[str, list] = {}
+
+    def tests_for(self, tag: str) -> list:
+        """(number, test) of the selectors an element with this tag may meet."""
+        tests = self.by_tag.get(tag)
+        if tests is None:
+            tests = self.by_tag[tag] = [
+                (i, test) for i, (asked, test) in enumerate(self.tests) if asked in (None, tag)]
+        return tests
+
+    def matches(self, elements: list[Element]):
+        """(number of the selector, element) of all that meet one, in order."""
+        for element in elements:
+            for i, test in self.tests_for(element.tag):
+                if test(element):
+                    yield i, element
 
 
 def visible_text(element: Element) -> str:
     """Text as a browser shows it: white space collapsed, a line per block, an
     empty line around paragraphs, no scripts or styles."""
+    if len(element.children) == 1 and isinstance(element.children[0], str):
+        return _SPACE.sub(" ", unescape(element.children[0])).strip(" ")
     lines, current, breaks = [], "", 0
     todo: list = [element]
     while todo:

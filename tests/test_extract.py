@@ -128,12 +128,12 @@ def test_details_skip_redirects_and_keep_the_first_capture(spark):
     ("<style>p{}</style>  a ", "a "), ("a</nope>b", "ab"), ("1 < 2", "1 < 2"),
 ])
 def test_visible_text(page, text):
-    assert html.visible_text(html.parse(page)).strip(" ") == text.strip(" ")
+    assert html.visible_text(html.Page(page).root).strip(" ") == text.strip(" ")
 
 
 def test_deep_pages_do_not_overflow():
-    root = html.parse("<b>" * 5000 + "x")
-    assert html.visible_text(root) == "x" and sum(1 for _ in root.descendants()) == 5000
+    page = html.Page("<b>" * 5000 + "x")
+    assert html.visible_text(page.root) == "x" and len(page.inside(page.root)) == 5000
 
 
 @pytest.mark.parametrize("css", ["", "a b", "a >b", "[x", "a:first"])
