@@ -6,6 +6,7 @@ the plan, or an array column, which becomes a higher-order function.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, and_, or_
 
@@ -23,58 +24,67 @@ def checked_keywords(keywords) -> list[str]:
     return keywords
 
 
-def _sides(keywords: Keywords, text, case_sensitive: bool):
-    text = text_or_empty(text)
+def _lowered(keywords: Keywords, case_sensitive: bool) -> list[str] | Column:
     if isinstance(keywords, Column):
         keywords = F.coalesce(keywords, F.array().cast("array<string>"))
-        if not case_sensitive:
-            keywords = F.transform(keywords, F.lower)
-    else:
-        keywords = checked_keywords(keywords)
-        if not case_sensitive:
-            keywords = [k.lower() for k in keywords]
-    return keywords, text if case_sensitive else F.lower(text)
+        return keywords if case_sensitive else F.transform(keywords, F.lower)
+    keywords = checked_keywords(keywords)
+    return keywords if case_sensitive else [k.lower() for k in keywords]
+
+
+def _with_text(text, case_sensitive: bool, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the text in the case it is compared in.
+
+    The lower-cased text enters as the only element of an array, so that it is
+    made once per row and not once per keyword.
+    """
+    text = text_or_empty(text)
+    if case_sensitive:
+        return body(text)
+    return F.get(F.transform(F.array(F.lower(text)), body), F.lit(0))
 
 
 def match_all(keywords: Keywords, text, case_sensitive: bool = False) -> Column:
     """All keywords occur. No keywords: true. A repeated keyword: never true."""
-    keywords, text = _sides(keywords, text, case_sensitive)
+    keywords = _lowered(keywords, case_sensitive)
     if isinstance(keywords, Column):
-        return (F.when(F.size(keywords) == 0, True)
-                .when(text == "", False)
-                .otherwise((F.size(F.array_distinct(keywords)) == F.size(keywords))
-                           & F.forall(keywords, lambda k: F.contains(text, k))))
+        return _with_text(text, case_sensitive, lambda t: (
+            F.when(F.size(keywords) == 0, True).when(t == "", False)
+            .otherwise((F.size(F.array_distinct(keywords)) == F.size(keywords))
+                       & F.forall(keywords, lambda k: F.contains(t, k)))))
     if not keywords:
         return F.lit(True)
     if len(set(keywords)) < len(keywords):
         return F.lit(False)
-    return reduce(and_, [text.contains(k) for k in keywords])
+    return _with_text(text, case_sensitive,
+                      lambda t: reduce(and_, [t.contains(k) for k in keywords]))
 
 
 def match_any(keywords: Keywords, text, case_sensitive: bool = False) -> Column:
     """Some keyword occurs. No keywords: true."""
-    keywords, text = _sides(keywords, text, case_sensitive)
+    keywords = _lowered(keywords, case_sensitive)
     if isinstance(keywords, Column):
-        return (F.when(F.size(keywords) == 0, True)
-                .when(text == "", False)
-                .otherwise(F.exists(keywords, lambda k: F.contains(text, k))))
+        return _with_text(text, case_sensitive, lambda t: (
+            F.when(F.size(keywords) == 0, True).when(t == "", False)
+            .otherwise(F.exists(keywords, lambda k: F.contains(t, k)))))
     if not keywords:
         return F.lit(True)
-    return reduce(or_, [text.contains(k) for k in dict.fromkeys(keywords)])
+    return _with_text(text, case_sensitive,
+                      lambda t: reduce(or_, [t.contains(k) for k in dict.fromkeys(keywords)]))
 
 
 def match_score(keywords: Keywords, text, case_sensitive: bool = False) -> Column:
     """Distinct keywords found over the length of the list."""
-    keywords, text = _sides(keywords, text, case_sensitive)
+    keywords = _lowered(keywords, case_sensitive)
     if isinstance(keywords, Column):
-        found = F.filter(F.array_distinct(keywords), lambda k: F.contains(text, k))
-        return (F.when(F.size(keywords) == 0, 1.0)
-                .when(text == "", 0.0)
-                .otherwise(F.size(found) / F.size(keywords)))
+        return _with_text(text, case_sensitive, lambda t: (
+            F.when(F.size(keywords) == 0, 1.0).when(t == "", 0.0)
+            .otherwise(F.size(F.filter(F.array_distinct(keywords), lambda k: F.contains(t, k)))
+                       / F.size(keywords))))
     if not keywords:
         return F.lit(1.0)
-    found = reduce(add, [text.contains(k).cast("int") for k in dict.fromkeys(keywords)])
-    return found / F.lit(len(keywords))
+    return _with_text(text, case_sensitive, lambda t: reduce(
+        add, [t.contains(k).cast("int") for k in dict.fromkeys(keywords)]) / F.lit(len(keywords)))
 
 
 def _can_overlap_itself(keyword: str) -> bool:
@@ -93,23 +103,25 @@ def occurrences(text: Column, keyword: str) -> Column:
 
 def matched_keywords(keywords: list[str], text, case_sensitive: bool = False) -> Column:
     """Map of each keyword found to its number of (overlapping) occurrences."""
-    keywords, text = _sides(keywords, text, case_sensitive)
-    counts = F.array(*[F.struct(F.lit(k).alias("keyword"), occurrences(text, k).alias("n"))
-                       for k in dict.fromkeys(keywords)])
+    keywords = _lowered(keywords, case_sensitive)
     if not keywords:
         return F.create_map().cast("map<string,bigint>")
-    return F.map_from_entries(F.filter(counts, lambda e: e["n"] > 0))
+
+    def counts(t: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(k).alias("keyword"), occurrences(t, k).alias("n"))
+                         for k in dict.fromkeys(keywords)])
+        return F.map_from_entries(F.filter(each, lambda e: e["n"] > 0))
+
+    return _with_text(text, case_sensitive, counts)
 
 
 def missing_keywords(keywords: Keywords, text, case_sensitive: bool = False) -> Column:
     """The required keywords that do not occur."""
-    keywords, text = _sides(keywords, text, case_sensitive)
-    if isinstance(keywords, Column):
-        return F.filter(F.array_distinct(keywords), lambda k: ~F.contains(text, k))
-    if not keywords:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[
-        F.when(~text.contains(k), F.lit(k)) for k in dict.fromkeys(keywords)]))
+    keywords = _lowered(keywords, case_sensitive)
+    required = keywords if isinstance(keywords, Column) else F.array(
+        *map(F.lit, keywords)).cast("array<string>")
+    return _with_text(text, case_sensitive, lambda t: F.filter(
+        F.array_distinct(required), lambda k: ~F.contains(t, k)))
 
 
 def accept_posting(description, keywords: Keywords) -> Column:

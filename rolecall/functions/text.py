@@ -39,7 +39,9 @@ def company_key(c: Column | str) -> Column:
 
 
 def content_hash(c: Column | str) -> Column:
-    return F.sha2(normalize_text(c), 256)
+    # Never null, and told so: a join would else test the hash for null, and
+    # for that make it a second time.
+    return F.coalesce(F.sha2(normalize_text(c), 256), F.lit(""))
 
 
 def strip_query(c: Column | str) -> Column:

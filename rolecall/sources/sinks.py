@@ -10,6 +10,7 @@ from rolecall import schemas
 from rolecall.functions.text import date_parts, iso_timestamp, join_tags
 from rolecall.operators.ordering import keep_first
 from rolecall.operators.summary import category_summary, tag_summary
+from rolecall.session import materialize
 from rolecall.sources.postings import CSV_OPTIONS, STORE_PARTITIONS, read_existing
 
 
@@ -49,10 +50,14 @@ def write_postings(postings: DataFrame, path: str) -> None:
     the same postings again changes nothing.
     """
     spark = postings.sparkSession
-    new = keep_first(postings, [*STORE_PARTITIONS, "url"], _arrival(postings))
+    order = _arrival(postings)
+    new = keep_first(postings, [*STORE_PARTITIONS, "url"], order)
     if _exists(spark, path):
-        new = upsert_postings(read_existing(spark, path, postings), new, within=STORE_PARTITIONS,
-                              order_by=tuple(_arrival(postings)))
+        # Used twice below, so made once; its true size then lets the planner
+        # broadcast the partitions at hand and prune the store by them.
+        new = materialize(new, "new-postings")
+        new = upsert_postings(read_existing(spark, path, new), new, within=STORE_PARTITIONS,
+                              order_by=tuple(order))
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*STORE_PARTITIONS).parquet(path))
 
