@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 #: From this many keywords on, one pass beats one pass per keyword.
 AUTOMATON_FROM = 16
@@ -82,11 +82,22 @@ class KeywordScan:
             return F.expr("cast(array() as array<int>)")
         if self._udf is not None:
             return self._udf(F.col(text))
-        # One parsed expression; array_except drops the nulls and, unlike a
-        # lambda, is generated code.
+        return F.expr(self._contains(text))
+
+    def _contains(self, text: str) -> str:
+        """One expression to parse; array_except drops the nulls and, unlike a
+        lambda, is generated code."""
         hits = ", ".join(f"CASE WHEN contains({text}, {sql_text(k)}) THEN {i} END"
                          for i, k in enumerate(self.keywords))
-        return F.expr(f"array_except(array({hits}), array(cast(null as int)))")
+        return f"array_except(array({hits}), array(cast(null as int)))"
+
+    def register(self, spark: SparkSession, name: str) -> None:
+        """Makes :meth:`found` known to SQL under a name."""
+        if self._udf is not None:
+            spark.udf.register(name, self._udf)
+        else:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS ARRAY<INT> "
+                      f"RETURN {self._contains('text')}")
 
     def positions(self, keywords) -> list[int]:
         index = {keyword: i for i, keyword in enumerate(self.keywords)}

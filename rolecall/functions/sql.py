@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
-from rolecall.functions.scan import sql_text
+from rolecall.functions.classification import DEFAULT_CONFIDENCE, FULL_SCORE, KeywordTables
+from rolecall.functions.scan import longest_length, sql_text
+from rolecall.functions.taxonomy import DEFAULT_TAXONOMY, Taxonomy
 from rolecall.functions.text import WHITESPACE
 
 _STRIPPED = f"btrim(lower(coalesce({{0}}, '')), {sql_text(WHITESPACE)})"
@@ -31,9 +35,50 @@ FUNCTIONS = (
 )
 
 
-def register_functions(spark: SparkSession) -> list[str]:
+def _classification(taxonomy: Taxonomy) -> tuple[KeywordTables, tuple]:
+    """Classification as functions of each other: texts to keyword positions,
+    positions to scores, scores to the result."""
+    tables = KeywordTables(taxonomy)
+    if tables.regex:
+        raise ValueError("classify the table instead: SQL functions take plain keywords only")
+    ids, names = "ARRAY<INT>", taxonomy.categories
+
+    def total(found: str, category: str, field: str) -> str:
+        weights = f"from_json({sql_text(str(tables.weights(category, field)))}, 'array<int>')"
+        return f"aggregate({found}, 0, (total, i) -> total + get({weights}, i))"
+
+    scores = ", ".join(f"{total('in_title', n, 'title')} + {total('in_description', n, 'description')}"
+                       for n in names)
+    best = "array_max(scores)"
+    chosen = " ".join(f"WHEN scores[{i}] = {best} THEN {sql_text(n)}" for i, n in enumerate(names))
+    tags = f"from_json({sql_text(json.dumps(tables.tags()))}, 'array<array<string>>')"
+    reach = max(longest_length(tables.plain) - 1, 0)
+    title, description = "lower(coalesce(title, ''))", "lower(coalesce(description, ''))"
+    seam = f"concat(right({title}, {reach}), ' ', left({description}, {reach}))"
+    in_both = f"concat(keywords_in({title}), keywords_in({description}), keywords_in({seam}))"
+    result = "STRUCT<category: STRING, tags: ARRAY<STRING>, confidence: DOUBLE>"
+    return tables, (
+        ("keyword_scores", f"in_title {ids}, in_description {ids}", ids, f"array({scores})"),
+        ("tags_of_keywords", f"found {ids}", "ARRAY<STRING>",
+         f"array_sort(array_distinct(flatten(transform(found, i -> get({tags}, i)))))"),
+        ("best_category", f"scores {ids}", "STRING",
+         f"CASE WHEN {best} < 1 THEN {sql_text(taxonomy.default_category)} {chosen} END"),
+        ("best_confidence", f"scores {ids}", "DOUBLE",
+         f"CASE WHEN {best} < 1 THEN {DEFAULT_CONFIDENCE}D ELSE least({best} / {FULL_SCORE}D, 1.0D) END"),
+        ("extract_tags", "title STRING, description STRING", "ARRAY<STRING>",
+         f"tags_of_keywords({in_both})"),
+        ("classify", "title STRING, description STRING", result,
+         f"named_struct('category', best_category(keyword_scores(keywords_in({title}), keywords_in({description}))), "
+         f"'tags', extract_tags(title, description), "
+         f"'confidence', best_confidence(keyword_scores(keywords_in({title}), keywords_in({description}))))"),
+    )
+
+
+def register_functions(spark: SparkSession, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> list[str]:
     """Makes the functions known to SQL for this session; returns their names."""
-    for name, parameters, result, body in FUNCTIONS:
+    tables, classification = _classification(taxonomy)
+    tables.scan.register(spark, "keywords_in")
+    for name, parameters, result, body in FUNCTIONS + classification:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) "
                   f"RETURNS {result} RETURN {body}")
-    return [f[0] for f in FUNCTIONS]
+    return [f[0] for f in FUNCTIONS + classification]

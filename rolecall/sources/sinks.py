@@ -58,7 +58,9 @@ def write_postings(postings: DataFrame, path: str) -> None:
         new = materialize(new, "new-postings")
         new = upsert_postings(read_existing(spark, path, new), new, within=STORE_PARTITIONS,
                               order_by=tuple(order))
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # One task per small partition, several for a hot one: few files either way.
+    balanced = new.hint("rebalance", *map(F.col, STORE_PARTITIONS))
+    (balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*STORE_PARTITIONS).parquet(path))
 
 
