@@ -99,13 +99,13 @@ def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
         firsts.join(seen.select(*KEYS), KEYS, "left_anti").select(*KEYS, "new.ts", "new.id"),
         "unknown")
     renewals = unknown.groupBy("company_key").agg(F.min("ts").alias("_renewed"))
-    lapsed = materialize(
-        _clocks(seen, ttl_seconds).where(F.col("_expiry") < until)
-        .join(renewals, "company_key", "left")
-        .where(F.col("_renewed").isNull() | (F.col("_renewed") >= F.col("_expiry")))
-        .select("company_key", "_expiry"), "lapsed")
+    lapsed = (_clocks(seen, ttl_seconds).where(F.col("_expiry") < until)
+              .join(renewals, "company_key", "left")
+              .where(F.col("_renewed").isNull() | (F.col("_renewed") >= F.col("_expiry")))
+              .select("company_key", "_expiry"))
     if lapsed.isEmpty():
         return unknown, _remember(seen, unknown)
+    lapsed = materialize(lapsed, "lapsed")
     late = materialize(
         salted_join(rows, lapsed, ["company_key"], "inner", spread_by=["id"])
         .where(F.col("ts") >= F.col("_expiry"))

@@ -65,6 +65,7 @@ SPECS = [
 ]
 
 TTL_SECONDS = 5 * 86400
+STREAM_TTL_SECONDS = 14 * 86400
 RUN_DATE = date(2025, 11, 4)
 RUN_DAY = datetime(2025, 11, 4)
 
@@ -608,7 +609,7 @@ def stream_dedup_with_expiry(spark, sf_dir):
 
 def stream_process_batch(spark, sf_dir):
     """The search cycle over a stream of documents, three batches."""
-    job = SearchJob(SPECS, scratch_path(spark, "search"), ttl_seconds=TTL_SECONDS)
+    job = SearchJob(SPECS, scratch_path(spark, "search"), ttl_seconds=STREAM_TTL_SECONDS)
     stream = _time_ordered_stream(spark, documents(spark, sf_dir).drop("name"), "scraped_at", 3)
     run_search_stream(stream, job, scratch_path(spark, "checkpoint")).awaitTermination()
     return readers.read_store(spark, job.store).select("name", F.col("id").alias("doc_id"), "category")

@@ -129,10 +129,10 @@ ARRIVALS = f"""arrivals AS (
          sha256(trim(lower(props), {SPACES})) AS content_hash FROM events)"""
 
 
-def _expiry_fold(company: str, ttl: str) -> str:
+def _expiry_fold(company: str, ttl: str, before: str = "") -> str:
     """One arrival of each company per step."""
     return f"""
-WITH RECURSIVE ordered AS (
+WITH RECURSIVE {before + "," if before else ""} ordered AS (
   SELECT event_id, {company} AS company, props, ts,
          row_number() OVER (PARTITION BY {company} ORDER BY ts, event_id) AS rn FROM events),
 fold(event_id, company, rn, is_new, live, expiry) AS (
@@ -324,6 +324,18 @@ def all_sql() -> dict[str, str]:
         sql[name] = by_user
     sql["dedup_one_hot_company"] = _expiry_fold("'One'", "INTERVAL 5 DAY")
 
+    # The stream comes in three files by time; each batch is limited on its own.
+    folded = _expiry_fold("company", "INTERVAL 14 DAY", f"""{REAL},
+      events AS (SELECT doc_id AS event_id, company, trim(d, {SPACES}) AS props, scraped_at AS ts FROM docs)""")
+    sql["stream_process_batch"] = f"""{folded.rsplit("SELECT", 1)[0]},
+      top AS (SELECT max(doc_id) AS m FROM documents), {SPECS},
+      kept AS (
+        SELECT matched.*, CASE WHEN doc_id * 3 < m THEN 0 WHEN doc_id * 3 < m * 2 THEN 1 ELSE 2 END AS batch
+        FROM matched CROSS JOIN top JOIN fold ON event_id = doc_id AND is_new)
+      SELECT spec AS name, doc_id, category FROM (
+        SELECT *, row_number() OVER (PARTITION BY spec, batch ORDER BY doc_id) AS rn FROM kept)
+      JOIN scored USING (doc_id) WHERE rn <= max_results"""
+
     sql["strip_query"] = "SELECT page_id, split_part(url, '?', 1) AS url FROM pages"
     base = c.extract.LINK_BASE
 

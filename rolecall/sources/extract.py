@@ -80,6 +80,8 @@ DETAIL_LAYOUTS: dict[str, DetailLayout] = {
 LINK_BASE = "https://startups.gallery"
 REDIRECT_STUB = '<meta http-equiv="refresh"'
 
+PAGES_AT_ONCE = 256
+
 RAW_CARDS = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("page_url", T.StringType()),
     T.StructField("seq", T.LongType()),
@@ -142,6 +144,13 @@ def card_reader(layout: CardLayout):
     return read
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages are wide, so only some of a batch become Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+            yield batch.slice(start, PAGES_AT_ONCE)
+
+
 def extract_cards(pages: DataFrame, layout: str | CardLayout) -> DataFrame:
     """One row of raw fields per card of each page (page_id, url, html)."""
     layout = _layout(CARD_LAYOUTS, layout)
@@ -150,7 +159,7 @@ def extract_cards(pages: DataFrame, layout: str | CardLayout) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cards_of = card_reader(layout)
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for seq, (values, ambiguous) in enumerate(cards_of(html or "")):
@@ -232,7 +241,7 @@ def extract_texts(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = page_html.Finder(css)
-        for batch in batches:
+        for batch in _small(batches):
             texts: list[list[str | None]] = [[] for _ in css]
             for html in batch.column("html").to_pylist():
                 found: list[str | None] = [None] * len(css)

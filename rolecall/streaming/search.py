@@ -11,7 +11,7 @@ from rolecall import schemas
 from rolecall.functions.taxonomy import DEFAULT_TAXONOMY, Taxonomy
 from rolecall.operators.dedup import KEYS, fold_slices
 from rolecall.operators.joins import with_keys
-from rolecall.operators.summary import run_totals
+from rolecall.operators.summary import rollup_category_summary, rollup_tag_summary, run_totals
 from rolecall.plans.search import search
 from rolecall.sources.postings import read_store
 from rolecall.sources.sinks import with_partitions, write_postings
@@ -60,7 +60,7 @@ class SearchJob:
         return keyed.join(news.select(F.col("id").alias(self.id)), self.id, "left_semi")
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Dedup, match, limit, classify, store; and note what was found."""
+        """Dedup, match, limit, classify, store, summarise; and note what was found."""
         spark = batch.sparkSession
         # Read once, though keys and postings are both needed; a lost part is
         # read again from the source.
@@ -76,7 +76,24 @@ class SearchJob:
         runs = stored.groupBy("name").agg(F.count("*").alias("found")).select(
             "name", F.lit(batch_id).cast("bigint").alias("run_id"), "found")
         runs.write.mode("overwrite").parquet(f"{self.folder}/runs/batch={batch_id}")
-        write_postings(with_partitions(stored, ts=self.ts), self.store)
+        dated = with_partitions(stored, ts=self.ts)
+        write_postings(dated, self.store)
+        for kind, summary in self._summaries(dated).items():
+            summary.write.mode("overwrite").parquet(f"{self.folder}/{kind}_summary/batch={batch_id}")
+
+    def _summaries(self, dated: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "category": rollup_category_summary(dated, categories=self.taxonomy.categories),
+            "tag": rollup_tag_summary(dated),
+        }
+
+    def batch_summary(self, spark: SparkSession, kind: str, batch_id: int) -> DataFrame:
+        """Category or tag shares of what one batch found, by search and month."""
+        return read_store(spark, f"{self.folder}/{kind}_summary/batch={batch_id}")
+
+    def summary(self, spark: SparkSession, kind: str) -> DataFrame:
+        """Category or tag shares of everything stored, by search and month."""
+        return self._summaries(read_store(spark, self.store))[kind]
 
     def runs(self, spark: SparkSession) -> DataFrame:
         """What each run of each search found, and the totals so far."""

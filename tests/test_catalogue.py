@@ -31,8 +31,7 @@ def canonical(columns, rows):
 
 
 def test_every_sql_has_its_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"stream_process_batch"}
+    assert set(entry.oracle_sql()) == set(entry.queries())
 
 
 def test_entry(spark):
@@ -48,7 +47,3 @@ def test_query_agrees_with_sql(spark, duck, sf_dir, name):
     assert canonical(df.columns, df.collect()) == expected
     assert expected[1]
 
-
-def test_stream_process_batch(spark, sf_dir):
-    df = entry.queries()["stream_process_batch"](spark, sf_dir)
-    assert df.count() > 0

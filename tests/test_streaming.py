@@ -68,6 +68,11 @@ def test_search_stream_and_its_reruns(spark, tmp_path):
     per_run = {(r["name"], r.run_id): (r.found, r.total_found) for r in job.runs(spark).collect()}
     assert per_run["all", 0][0] == 3 and per_run["all", 1] == (3, 6)
 
+    everything = job.summary(spark, "category").where("grain = 'all'").first()
+    assert everything.total_jobs == stored.count()
+    tags = {r.tag: r.job_count for r in job.batch_summary(spark, "tag", 0).where("grain = 'name' and name = 'py'").collect()}
+    assert tags["Python"] == per_run["py", 0][0]
+
     before = sorted(map(str, stored.collect()))
     job.process_batch(spark.createDataFrame(arrivals()[12:], POSTINGS), 1)
     assert sorted(map(str, read_store(spark, job.store).collect())) == before
