@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +58,17 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.read.schema(schema).parquet(path)
 
 
+def store_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is there. Whatever else is wrong with it is an error."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_existing(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame:
     """The stored rows of the partitions that ``touched`` names."""
     keys = [c for c in STORE_PARTITIONS if c in touched.columns]

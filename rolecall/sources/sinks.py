@@ -11,7 +11,7 @@ from rolecall.functions.text import date_parts, iso_timestamp, join_tags
 from rolecall.operators.ordering import keep_first
 from rolecall.operators.summary import category_summary, tag_summary
 from rolecall.session import materialize
-from rolecall.sources.postings import CSV_OPTIONS, STORE_PARTITIONS, read_existing
+from rolecall.sources.postings import CSV_OPTIONS, STORE_PARTITIONS, read_existing, store_exists
 
 
 def append_union(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def write_postings(postings: DataFrame, path: str) -> None:
     spark = postings.sparkSession
     order = _arrival(postings)
     new = keep_first(postings, [*STORE_PARTITIONS, "url"], order)
-    if _exists(spark, path):
+    if store_exists(spark, path):
         # Used twice below, so made once; its true size then lets the planner
         # broadcast the partitions at hand and prune the store by them.
         new = materialize(new, "new-postings")
@@ -71,11 +71,6 @@ def _arrival(postings: DataFrame) -> list[str]:
     return named or ["url"]
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def to_output_rows(postings: DataFrame, keep_description: bool = False) -> DataFrame:
     """Postings as a day file shows them: tags joined, times as ISO text."""
     rows = postings.withColumns({"tags": join_tags("tags"), "scraped_at": iso_timestamp("scraped_at")})
@@ -110,9 +105,14 @@ def write_tag_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_summaries(jobs: DataFrame, folder: str, prefix: str = "", seq: str | None = None) -> None:
+    """Category and tag shares as two files."""
+    _write_both(category_summary(jobs), tag_summary(jobs, seq=seq), folder, prefix)
+
+
+def _write_both(categories: DataFrame, tags: DataFrame, folder: str, prefix: str) -> None:
     start = f"{folder.rstrip('/')}/{prefix + '_' if prefix else ''}"
-    write_category_summary(category_summary(jobs), f"{start}categories_summary.csv")
-    write_tag_summary(tag_summary(jobs, seq=seq), f"{start}tags_summary.csv")
+    write_category_summary(categories, f"{start}categories_summary.csv")
+    write_tag_summary(tags, f"{start}tags_summary.csv")
 
 
 def write_monthly_and_total(batch: DataFrame, root: str, name: str, day: datetime,
@@ -122,5 +122,13 @@ def write_monthly_and_total(batch: DataFrame, root: str, name: str, day: datetim
     The total covers ``history`` where given, else the batch once more.
     """
     root = root.rstrip("/")
-    write_summaries(batch, f"{root}/summary/{day:%Y}/{day:%m}", name, seq)
-    write_summaries(batch if history is None else history, f"{root}/summary", f"{name}_total", seq)
+    monthly, total = f"{root}/summary/{day:%Y}/{day:%m}", f"{root}/summary"
+    if history is not None:
+        write_summaries(batch, monthly, name, seq)
+        write_summaries(history, total, f"{name}_total", seq)
+        return
+    # Counted once, written to both places; one file keeps the order.
+    categories = materialize(category_summary(batch).coalesce(1), "categories")
+    tags = materialize(tag_summary(batch, seq=seq).coalesce(1), "tags")
+    _write_both(categories, tags, monthly, name)
+    _write_both(categories, tags, total, f"{name}_total")

@@ -8,7 +8,7 @@ from rolecall.plans.history import history_summary, reclassified
 from rolecall.sources import postings as readers
 from rolecall.sources import sinks
 from rolecall.sources.specs import (
-    SearchSpec, by_name, enabled, read_specs, specs_frame, specs_from_config)
+    SOURCES, SearchSpec, by_name, enabled, read_specs, register_search_type, specs_frame, specs_from_config)
 
 
 def posting(spark, *changes):
@@ -48,6 +48,28 @@ def test_unreadable_store_is_an_error(spark, tmp_path):
         readers.read_store(spark, str(tmp_path / "none")).count()
 
 
+def test_a_folder_that_is_no_store_is_not_overwritten(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        sinks.write_postings(sinks.with_partitions(posting(spark), "s"), str(tmp_path / "store"))
+    assert (tmp_path / "store" / "part.parquet").read_text() == "no parquet"
+    assert not readers.store_exists(spark, str(tmp_path / "none"))
+
+
+def test_a_hot_day_is_merged_whole(spark, tmp_path):
+    """Most postings are of one day, half of them copies of one url."""
+    path = str(tmp_path / "store")
+    rows = posting(spark).select([c for c in schemas.POSTINGS.fieldNames() if c != "url"])
+    many = rows.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(399)))).withColumn(
+        "url", F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.concat(F.lit("u"), "id"))).withColumn(
+        "scraped_at", F.when(F.col("id") < 390, F.col("scraped_at")).otherwise(F.lit(datetime(2025, 12, 1)))).drop("id")
+    for _ in range(2):
+        sinks.write_postings(sinks.with_partitions(many, "s"), path)
+    got = readers.read_store(spark, path)
+    assert got.count() == 200 + 2 and got.where("url = 'same'").count() == 2
+
+
 def test_day_file_round_trip(spark, tmp_path):
     root = str(tmp_path / "output")
     df = posting(spark, {"title": 'A "quoted", two\nline title'}, {"url": "u2", "tags": [], "posted_time": None})
@@ -101,6 +123,10 @@ def test_summaries_monthly_total_and_history(spark, tmp_path):
     assert monthly[1:3] == [["Backend", "1", "50.0", "2"], ["AI", "1", "50.0", "2"]]
     assert read_csv(f"{root}/summary/s_total_tags_summary.csv")[1:] == [
         ["Go", "2", "50.0", "4"], ["Rust", "2", "50.0", "4"]]
+    sinks.write_monthly_and_total(df, root, "t", day)
+    for place in ("summary/2025/11/t", "summary/t_total"):
+        assert read_csv(f"{root}/{place}_categories_summary.csv") == monthly
+        assert read_csv(f"{root}/{place}_tags_summary.csv")[0] == ["tag", "job_count", "percentage", "total_jobs"]
     categories, tags = history_summary(spark, root)
     assert {r.category: r.job_count for r in categories.collect() if r.job_count} == {"DevOps": 1, "Frontend": 1}
     assert tags.collect() == []
@@ -154,3 +180,11 @@ def test_output_columns_and_drop(spark):
     assert sinks.drop_columns(rows, ["url", "nope"]).columns == [c for c in rows.columns if c != "url"]
     assert sinks.append_union(rows.select("url"), rows.select("title")).columns == ["url", "title"]
     assert rows.select(F.count("*")).first()[0] == 1
+
+
+def test_register_search_type():
+    register_search_type("Board", "board", checks_keywords=False)
+    try:
+        assert specs_from_config({"workers": [{"name": "b", "type": "BOARD"}]})[0].type == "board"
+    finally:
+        del SOURCES["board"]
