@@ -18,10 +18,10 @@ from rolecall.functions.classification import classify
 from rolecall.functions.matching import (
     accept_posting, match_all, match_any, match_score, matched_keywords, missing_keywords)
 from rolecall.functions.taxonomy import (
-    DEFAULT_TAXONOMY, Taxonomy, all_categories, all_tags, category_keywords, flat_tags, tag_keywords)
+    Taxonomy, all_categories, all_tags, category_keywords, flat_tags, tag_keywords)
 from rolecall.operators import dedup, joins, matching, ordering, summary
 from rolecall.plans import history, search
-from rolecall.session import materialize, scratch_path
+from rolecall.session import scratch_path
 from rolecall.sources import extract, postings as readers, sinks
 from rolecall.sources.specs import SearchSpec, specs_frame, with_expression
 from rolecall.streaming.dedup import dedup_stream
