@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 #: Settings every job of this package expects. Sizes suit a cluster; callers
 #: override them (tests use eight shuffle partitions).
 DEFAULT_CONF = {
@@ -18,8 +21,7 @@ DEFAULT_CONF = {
     # Captured pages are wide rows, so an Arrow batch is bounded by rows here.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE_STORE: ROCKSDB,
 }
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rolecall.session import ROCKSDB, STATE_STORE
+
 
 class SeenPostings(StatefulProcessor):
     """The live set and clock of one company."""
@@ -73,7 +75,8 @@ def dedup_stream(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id: str
     """
     if ttl_seconds <= 0:
         raise ValueError(f"ttl_seconds must be positive, got {ttl_seconds}")
-    # Whole milliseconds, the resolution of timers.
+    # The only state store that can hold maps and timers; set for this session.
+    postings.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     keyed = (postings.select("company_key", "content_hash",
                              F.col(ts).cast("timestamp").alias("ts"), F.col(id).alias("id"))
              .withWatermark("ts", delay))
