@@ -53,11 +53,25 @@ def _signature(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """How often each of 256 hash classes occurs, modulo 2, as longs."""
-    bits = BITMAP_LONGS * 64
-    odd = np.bincount((mix(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parity(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """How often each of so many hash classes (a power of two) occurs, modulo 2."""
+    odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def _parity_bits(n: int) -> int:
+    """Classes for a set of ``n``: enough that sets without much in common differ."""
+    return max(64 * BITMAP_LONGS, 1 << max(0, n - 1).bit_length())
+
+
+def _difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of how many shingles only one of two sets holds. The larger
+    bitmap is folded to the classes of the smaller one."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _describe(size: int):
@@ -65,31 +79,32 @@ def _describe(size: int):
     that repeat in it (no ``sig``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sizes, bits, distinct = [], [], [], {}
+            sigs, sizes, bits, parities, distinct = [], [], [], [], {}
             for shingles in shingle_sets(batch.column("text"), size):
                 sig = _signature(shingles) if len(shingles) else None
                 sigs.append(sig)
                 sizes.append(len(shingles))
-                bits.append(_bitmap(shingles))
+                bits.append(_parity(shingles, 64 * BITMAP_LONGS).view(np.int64))
+                parities.append(_parity(shingles, _parity_bits(len(shingles))).tobytes())
                 distinct.setdefault(sig, shingles)
             rows = len(sigs)
             nothing = pa.nulls(rows, pa.int64())
             columns = np.array(bits, np.int64).reshape(rows, BITMAP_LONGS).T
             yield pa.record_batch(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()),
-                 *[pa.array(c) for c in columns], nothing, nothing], names=_DESCRIBED)
+                 *[pa.array(c) for c in columns], nothing, nothing, pa.array(parities, pa.binary())], names=_DESCRIBED)
             values, times = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]),
                                       return_counts=True)
             again = times > 1
             nothing = pa.nulls(int(again.sum()), pa.int64())
             yield pa.record_batch(
-                [nothing] * (3 + BITMAP_LONGS) + [pa.array(values[again].view(np.int64)), pa.array(times[again])],
-                names=_DESCRIBED)
+                [nothing] * (3 + BITMAP_LONGS) + [pa.array(values[again].view(np.int64)), pa.array(times[again]),
+                                                  pa.nulls(len(nothing), pa.binary())], names=_DESCRIBED)
     return run
 
 
 _BITS = [f"bits{i}" for i in range(BITMAP_LONGS)]
-_DESCRIBED = ["doc_id", "sig", "n", *_BITS, "shingle", "times"]
+_DESCRIBED = ["doc_id", "sig", "n", *_BITS, "shingle", "times", "parity"]
 
 
 def _first_shingles(size: int, frequent: np.ndarray, times: np.ndarray, threshold: Fraction):
@@ -132,6 +147,22 @@ def _sets(size: int):
     return run
 
 
+def _possible(threshold: Fraction):
+    """Keeps the pairs that their parities leave possible."""
+    p, q = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("n_x", "n_y", "parity_x", "parity_y"))
+            for row, (nx, ny, a, b) in enumerate(zip(*columns)):
+                if nx * p <= ny * q and ny * p <= nx * q and _difference(
+                        np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)) * (q + p) <= (nx + ny) * (q - p):
+                    keep.append(row)
+            yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+    return run
+
+
 def _linked(threshold: Fraction):
     """Keeps the pairs whose sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +177,19 @@ def _linked(threshold: Fraction):
     return run
 
 
+def _similar_size(x: str, y: str, threshold: Fraction):
+    p, q = threshold.numerator, threshold.denominator
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (nx * p <= ny * q) & (ny * p <= nx * q)
+
+
 def _reachable(x: str, y: str, threshold: Fraction):
     """Whether sizes and bitmaps allow the threshold. A similarity of p/q leaves
     a difference of (q - p) / (q + p) of both sizes at most."""
     p, q = threshold.numerator, threshold.denominator
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS), F.lit(0))
-    return ((nx * p <= ny * q) & (ny * p <= nx * q)
-            & (differ * (q + p) <= (nx + ny) * (q - p)))
+    return _similar_size(x, y, threshold) & (
+        differ * (q + p) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (q - p))
 
 
 @dataclass
@@ -196,7 +232,7 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
     hashes.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"{c} bigint" for c in _DESCRIBED)
+    schema = ", ".join(f"{c} {'binary' if c == 'parity' else 'bigint'}" for c in _DESCRIBED)
     described = materialize(texts.mapInArrow(_describe(words), schema), "described")
     members = described.where("shingle is null").select("doc_id", "n", "sig", *_BITS)
     classes = members.where("sig is not null").groupBy("sig").agg(
@@ -212,9 +248,14 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
                              "shingle bigint, sig bigint, frequent boolean")
     entries = materialize(_shared(shown).join(classes.drop("doc_id"), "sig"), "entries")
 
-    first = _verified(_pivot_pairs(entries, threshold), classes, texts, words, threshold)
-    merged = components(first)
-    rest = _verified(_other_pairs(entries, merged, threshold), classes, texts, words, threshold)
+    parities = described.where("sig is not null").select("sig", "n", "parity")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(_left_possible(pairs, parities, threshold), classes, texts, words, threshold)
+
+    tried = materialize(_pivot_pairs(entries, threshold), "tried")
+    first = verified(tried)
+    rest = verified(_other_pairs(entries, components(first), threshold).join(tried, ["x", "y"], "left_anti"))
     return JaccardJoin(members.select("doc_id", "n", "sig"), first.unionByName(rest))
 
 
@@ -237,14 +278,15 @@ def _pivot_pairs(entries: DataFrame, threshold: Fraction) -> DataFrame:
     """For each class the one pivot it shares most with. The pivot of a shingle
     is its smallest class, by bands of similar size."""
     ratio = float(threshold.denominator) / threshold.numerator
-    banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))))
-    shape = F.struct("sig", "n", *_BITS)
+    banded = entries.select("shingle", "sig", "n").withColumn(
+        "band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
+    shape = F.struct("sig", "n")
     pivots = banded.groupBy("shingle", "band").agg(F.min(shape).alias("pivot"))
     met = banded.withColumn("own", shape).join(pivots, ["shingle", "band"]).where(
-        (F.col("own.sig") != F.col("pivot.sig")) & _reachable("own", "pivot", threshold))
+        (F.col("own.sig") != F.col("pivot.sig")) & _similar_size("own", "pivot", threshold))
     shared = met.groupBy("sig", F.col("pivot.sig").alias("pivot")).agg(F.count("*").alias("times"))
-    return shared.groupBy("sig").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("y")).select(
-        F.col("sig").alias("x"), "y")
+    best = shared.groupBy("sig").agg(F.max(F.struct("times", "pivot")).alias("best"))
+    return best.select(F.col("best.pivot").alias("x"), F.col("sig").alias("y"))
 
 
 def _other_pairs(entries: DataFrame, merged: DataFrame, threshold: Fraction) -> DataFrame:
@@ -260,6 +302,15 @@ def _other_pairs(entries: DataFrame, merged: DataFrame, threshold: Fraction) ->
     return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y")).distinct()
 
 
+def _left_possible(pairs: DataFrame, parities: DataFrame, threshold: Fraction) -> DataFrame:
+    pairs = materialize(pairs, "met")
+    needed = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
+    shapes = materialize(parities.join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "shapes")
+    both = (pairs.join(shapes.toDF("x", "n_x", "parity_x"), "x").join(shapes.toDF("y", "n_y", "parity_y"), "y")
+            .select("x", "y", "n_x", "n_y", "parity_x", "parity_y"))
+    return both.mapInArrow(_possible(threshold), "x bigint, y bigint")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     pairs = materialize(pairs, "pairs")

@@ -38,9 +38,10 @@ def letters(text: str | None) -> bytes:
 class Automaton:
     """All substrings of a sample as a table of transitions.
 
-    ``table[state + symbol]`` is twice the next state, plus one if a phrase ends
-    there because the run does not go on in the sample. Symbol 0 is padding and
-    stays in place; symbol 1 is any byte no sample holds.
+    ``table[state + symbol]`` is four times the next state, plus the phrases that
+    end there: one if the run does not go on in the sample, and one for a byte that
+    the sample lacks. Symbol 0 is padding and stays in place; symbol 1 is any byte
+    no sample holds.
     """
 
     def __init__(self, sample: bytes, symbols: np.ndarray, width: int):
@@ -74,14 +75,13 @@ class Automaton:
         start = np.zeros(width, np.int32)
         for c, q in follow[0].items():
             start[c] = q
-        table[:] = 2 * width * start + 1
+        table[:] = 4 * width * start + np.where(start > 0, 1, 2)
         for state, edges in enumerate(follow):
             for c, q in edges.items():
-                table[state, c] = 2 * width * q
-        # At the start nothing has been read: no phrase ends before a known byte.
-        table[0, :] = 2 * width * start
-        table[0, 1:][start[1:] == 0] = 1
-        table[:, 0] = 2 * width * np.arange(len(follow))
+                table[state, c] = 4 * width * q
+        # At the start nothing has been read, so no phrase ends before a byte.
+        table[0, :] = 4 * width * start + (start == 0)
+        table[:, 0] = 4 * width * np.arange(len(follow))
         self.table = table.ravel()
 
 
@@ -98,28 +98,28 @@ class LanguageModel:
         width = 2 + int(seen.sum())
         tables, self.bases, at = [], [], 0
         for language in self.languages:
-            # Doubled positions of each automaton within one common table.
+            # All automata stand in one table, one after the other.
             table = Automaton(samples[language], self.symbols, width).table.astype(np.int64)
-            tables.append(table + 2 * at)
+            tables.append(table + 4 * at)
             self.bases.append(at)
             at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32 if at < 1 << 30 else np.int64)
+        self.table = np.concatenate(tables).astype(np.int32 if at < 1 << 29 else np.int64)
         self.cost = np.log2([max(2, len(samples[x])) for x in self.languages])
 
     def _phrases(self, pieces: np.ndarray) -> np.ndarray:
         """Phrases of each piece (rows) by language (columns)."""
         width = pieces.shape[1]
         bases = np.array(self.bases, self.table.dtype)[:, None]
-        state = np.repeat(2 * bases, width, axis=1)
+        state = np.repeat(4 * bases, width, axis=1)
         count = np.zeros(state.shape, np.int32)
         at = np.empty_like(state)
         for symbols in pieces:
-            np.right_shift(state, 1, out=at)
+            np.right_shift(state, 2, out=at)
             at += symbols
             np.take(self.table, at, out=state, mode="clip")
-            count += state & 1
+            count += state & 3
         # What is left when a piece ends is a phrase, too.
-        count += (state >> 1) != bases
+        count += (state >> 2) != bases
         return count.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
