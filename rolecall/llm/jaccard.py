@@ -13,9 +13,9 @@ of the shingles) and only where a pair can still reach the threshold:
   below, so most other pairs fall before any set is read.
 * What is left is counted on the whole sets.
 
-Large groups of near copies would still make all their pairs. So each document
-is first compared with one pivot of its group, linked ones are merged, and pairs
-are made only between documents that are not in one component already.
+Large groups of near copies would still make all their pairs. So in a few rounds
+each document is compared with one pivot of its group and linked ones are merged;
+after that, pairs are made only between documents that are not in one component.
 """
 
 from __future__ import annotations
@@ -41,8 +41,11 @@ WORDS, THRESHOLD = 5, Fraction(3, 4)
 #: changes the result, only how many pairs are looked at.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
 
-#: Longs of a parity bitmap.
-BITMAP_LONGS = 4
+#: Longs of the parity bitmap that pairs are joined by.
+BITMAP_LONGS = 16
+
+#: Rounds in which each document meets one pivot, before pairs are made.
+PIVOT_ROUNDS = 3
 
 #: Document ids that may be sent to all executors to pick their texts; beyond
 #: it, texts are picked by a shuffled join.
@@ -61,7 +64,7 @@ def _parity(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 def _parity_bits(n: int) -> int:
     """Classes for a set of ``n``: enough that sets without much in common differ."""
-    return max(64 * BITMAP_LONGS, 1 << max(0, n - 1).bit_length())
+    return max(256, 1 << max(0, n - 1).bit_length())
 
 
 def _difference(a: np.ndarray, b: np.ndarray) -> int:
@@ -234,9 +237,9 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{c} {'binary' if c == 'parity' else 'bigint'}" for c in _DESCRIBED)
     described = materialize(texts.mapInArrow(_describe(words), schema), "described")
-    members = described.where("shingle is null").select("doc_id", "n", "sig", *_BITS)
+    members = described.where("shingle is null").select("doc_id", "n", "sig")
     classes = members.where("sig is not null").groupBy("sig").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *[F.min(b).alias(b) for b in _BITS])
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
     common = (described.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
               .where(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT)).toArrow()
@@ -246,17 +249,24 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
 
     shown = texts.mapInArrow(_first_shingles(words, frequent, times, threshold),
                              "shingle bigint, sig bigint, frequent boolean")
-    entries = materialize(_shared(shown).join(classes.drop("doc_id"), "sig"), "entries")
-
-    parities = described.where("sig is not null").select("sig", "n", "parity")
+    # A class with many shingles that others show, too, is in the middle of its group.
+    middle = F.count("*").over(Window.partitionBy("sig"))
+    entries = materialize(_shared(shown).join(classes.drop("doc_id"), "sig").withColumn("degree", middle), "entries")
+    shapes = described.where("sig is not null").select("sig", "n", "parity")
+    bits = described.where("sig is not null").groupBy("sig").agg(*[F.min(b).alias(b) for b in _BITS])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(_left_possible(pairs, parities, threshold), classes, texts, words, threshold)
+        return _verified(_left_possible(pairs, shapes, threshold), classes, texts, words, threshold)
 
-    tried = materialize(_pivot_pairs(entries, threshold), "tried")
-    first = verified(tried)
-    rest = verified(_other_pairs(entries, components(first), threshold).join(tried, ["x", "y"], "left_anti"))
-    return JaccardJoin(members.select("doc_id", "n", "sig"), first.unionByName(rest))
+    links, left = verified(_pivot_pairs(entries.withColumn("component", F.col("sig")), F.col("degree"), threshold)), entries
+    for number in range(1, PIVOT_ROUNDS + 1):
+        left = _open(left, components(links))
+        if number < PIVOT_ROUNDS:
+            pairs = _pivot_pairs(left, F.xxhash64("sig", F.lit(number)), threshold)
+        else:
+            pairs = _all_pairs(left, bits, threshold)
+        links = links.unionByName(verified(pairs))
+    return JaccardJoin(members, links)
 
 
 def _shared(shown: DataFrame) -> DataFrame:
@@ -274,29 +284,33 @@ def _shared(shown: DataFrame) -> DataFrame:
             .unionByName(shown.where("frequent").select("shingle", "sig").distinct()))
 
 
-def _pivot_pairs(entries: DataFrame, threshold: Fraction) -> DataFrame:
-    """For each class the one pivot it shares most with. The pivot of a shingle
-    is its smallest class, by bands of similar size."""
+def _pivot_pairs(entries: DataFrame, rank, threshold: Fraction) -> DataFrame:
+    """For each class the one pivot it shares most with and isn't connected to.
+    The pivot of a shingle is its class of highest rank, by bands of similar size."""
     ratio = float(threshold.denominator) / threshold.numerator
-    banded = entries.select("shingle", "sig", "n").withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int"))
-    shape = F.struct("sig", "n")
-    pivots = banded.groupBy("shingle", "band").agg(F.min(shape).alias("pivot"))
-    met = banded.withColumn("own", shape).join(pivots, ["shingle", "band"]).where(
-        (F.col("own.sig") != F.col("pivot.sig")) & _similar_size("own", "pivot", threshold))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int")
+    banded = entries.select("shingle", "sig", "n", "component", band.alias("band"), rank.alias("rank"))
+    pivots = banded.groupBy("shingle", "band").agg(F.max(F.struct("rank", "sig", "n", "component")).alias("pivot"))
+    met = banded.withColumn("own", F.struct("sig", "n")).join(pivots, ["shingle", "band"]).where(
+        (F.col("component") != F.col("pivot.component")) & _similar_size("own", "pivot", threshold))
     shared = met.groupBy("sig", F.col("pivot.sig").alias("pivot")).agg(F.count("*").alias("times"))
     best = shared.groupBy("sig").agg(F.max(F.struct("times", "pivot")).alias("best"))
-    return best.select(F.col("best.pivot").alias("x"), F.col("sig").alias("y"))
+    return best.select(F.least("sig", "best.pivot").alias("x"), F.greatest("sig", "best.pivot").alias("y")).distinct()
 
 
-def _other_pairs(entries: DataFrame, merged: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs that share a shingle, may reach the threshold and are not connected yet."""
-    placed = entries.join(merged, F.col("sig") == F.col("node"), "left").drop("node").withColumn(
+def _open(entries: DataFrame, merged: DataFrame) -> DataFrame:
+    """The entries whose shingle is in more than one component, with the component."""
+    placed = entries.drop("component").join(merged, F.col("sig") == F.col("node"), "left").drop("node").withColumn(
         "component", F.coalesce("component", "sig"))
-    open_ = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+    several = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low != high").select("shingle")
-    left = materialize(placed.join(open_, "shingle", "left_semi"), "open")
-    x, y = left.alias("x"), left.alias("y")
+    return materialize(placed.join(several, "shingle", "left_semi"), "open")
+
+
+def _all_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
+    """All pairs that share a shingle, may reach the threshold and are not connected."""
+    wide = entries.join(bits, "sig")
+    x, y = wide.alias("x"), wide.alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sig") < F.col("y.sig"))
                  & (F.col("x.component") != F.col("y.component")) & _reachable("x", "y", threshold))
     return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y")).distinct()

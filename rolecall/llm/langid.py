@@ -103,7 +103,7 @@ class LanguageModel:
             tables.append(table + 4 * at)
             self.bases.append(at)
             at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32 if at < 1 << 29 else np.int64)
+        self.table = np.concatenate([*tables, np.zeros(0, np.int64)]).astype(np.int32 if at < 1 << 29 else np.int64)
         self.cost = np.log2([max(2, len(samples[x])) for x in self.languages])
 
     def _phrases(self, pieces: np.ndarray) -> np.ndarray:

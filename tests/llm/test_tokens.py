@@ -1,0 +1,166 @@
+import collections
+import io
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tokenizers
+import zstandard
+
+from rolecall.llm import binary, packing
+from rolecall.llm.queries import op4_tokens, op7_packing
+from rolecall.llm.tokens import VOCABULARY, WordEncoder
+
+PATH = public_tokenizers.path(VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def read_documents(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("text", [
+    None, "", " ", "\n\t\x0b\x0c\r", "It's THE dog's 12,345.67 (ok)!", "don't 'll 've", "a<|endoftext|>b <|startoftext|>",
+    "<|endoftext|>,", "Straße ÀÉÎ naïve ŉ İstanbul ΑΣ ΣΑΣ", "é café, Å. İ!", "x y z　w",
+    "中文字 テスト 한국어", "\U0001f600\U0001f1e9\U0001f1ea!!", "hello,world a.b.c #tag @me $5%", "»quoted«, …dots…",
+    "ab̸ ≠ x,́", "½ ² Ⅷ ①", "a  b   c\n\nd\te", "foo_bar--baz__", "'s' 't", "word" * 500])
+def test_ids_are_those_of_the_library(library, text):
+    [(first, ids, offsets)] = WordEncoder(PATH).encode(pa.array([text, "x", text]))
+    assert first == 0
+    parts = [ids[offsets[k]:offsets[k + 1]].tolist() for k in range(3)]
+    assert parts == [library(text), library("x"), library(text)]
+
+
+def test_cache_is_cleared_and_grown(library, monkeypatch):
+    monkeypatch.setattr("rolecall.llm.tokens.MOST_CACHED", 3)
+    monkeypatch.setattr("rolecall.llm.tokens.SLICE_BYTES", 10)
+    texts = [f"word{i} and more{i * 7}, here" for i in range(30)]
+    got = [ids[offsets[k]:offsets[k + 1]].tolist() for _, ids, offsets in WordEncoder(PATH).encode(pa.array(texts))
+           for k in range(len(offsets) - 1)]
+    assert got == [library(t) for t in texts]
+
+
+def test_files_query(spark, sf_dir, library):
+    texts, start, expected = read_documents(spark, sf_dir), 0, []
+    for doc_id in sorted(texts):
+        ids = library(texts[doc_id]) + [2]
+        expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, op4_tokens(spark, sf_dir).collect())) == expected
+
+
+def test_files_of_awkward_rows(documents, awkward, library):
+    manifest = binary.write_tokens(documents(awkward), PATH, 2)
+    rows = sorted(binary.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [1, 1, 2, 3, 4, 5, 6, 7, 8, 9, None, None]
+    texts = collections.defaultdict(set)
+    for doc_id, text in awkward:
+        texts[doc_id].add(tuple(library(text) + [2]))
+    at = 0
+    for r in rows:
+        ids = tuple(np.frombuffer(r.ids, "<u4").tolist())
+        assert ids in texts[r.doc_id] and r.start == at and r.n_tokens == len(ids)
+        at += len(ids)
+    assert binary.write_tokens(documents([]), PATH, 2).collect() == []
+    assert binary.read_tokens(binary.write_tokens(documents([]), PATH, 2)).collect() == []
+
+
+def test_single_documents_are_found_and_damage_is_seen(tmp_path):
+    path = f"file://{tmp_path}/a.zst"
+    writer = binary.FrameWriter(path)
+    kept = {i: np.arange(i * 10, dtype=np.uint32) for i in range(1, 50)}
+    for i, ids in kept.items():
+        writer.document(i, ids)
+    writer.close()
+    raw = (tmp_path / "a.zst").read_bytes()
+    # Any zstandard reader reads all of it.
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+    assert whole.startswith(b"".join(ids.tobytes() for ids in kept.values()))
+    reader = binary.FrameReader(path)
+    unpacked = []
+    inner = reader.unpacker
+    reader.unpacker = type("Counting", (), {"decompress": staticmethod(
+        lambda *a, **b: unpacked.append(1) or inner.decompress(*a, **b))})
+    found = reader.find([7, 49, 1000])
+    assert sorted(found) == [7, 49] and found[7].tolist() == kept[7].tolist() and len(unpacked) == 2
+    spoiled = bytearray(raw)
+    spoiled[int(reader.starts[20]) + 8] ^= 255
+    (tmp_path / "b.zst").write_bytes(bytes(spoiled))
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        list(binary.FrameReader(f"file://{tmp_path}/b.zst").documents(0, 49))
+    (tmp_path / "c.zst").write_bytes(raw[:-1])
+    with pytest.raises(ValueError):
+        binary.FrameReader(f"file://{tmp_path}/c.zst")
+
+
+def checked_sequences(rows, length):
+    """Every sequence is gapless and no longer than it may be; returns how many."""
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, size in sorted(pieces):
+            assert offset == at and size > 0
+            at += size
+        assert at <= length
+    return len(sequences)
+
+
+def test_packing_query(spark, sf_dir, library):
+    rows = op7_packing(spark, sf_dir).collect()
+    texts = read_documents(spark, sf_dir)
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    assert set(pieces) == set(texts)
+    for doc_id, text in texts.items():
+        ids = library(text) + [0]
+        assert sorted(pieces[doc_id]) == [
+            (k, at, len(ids[at:at + 2048]), zlib.crc32(np.array(ids[at:at + 2048], "<u4").tobytes()))
+            for k, at in enumerate(range(0, len(ids), 2048))]
+    assert checked_sequences(rows, 2048) <= 1.05 * sum(r.length for r in rows) / 2048 + 1
+
+
+@pytest.mark.parametrize("open_bins", [1, 3, 50])
+def test_best_fit_is_that_of_a_search(open_bins):
+    rng = np.random.default_rng(open_bins)
+    fit = packing.BestFit(100, open_bins)
+    bins, used = {}, 0
+    for size in rng.integers(1, 101, 2000).tolist():
+        able = [free for free in bins.values() if free >= size]
+        bin_, offset = fit.place(size)
+        if able:
+            assert bins[bin_] == min(able) and offset == 100 - bins[bin_]
+        else:
+            assert bin_ == used and offset == 0
+            used += 1
+            if len(bins) == open_bins and size < 100:
+                fullest = min(bins.values())
+                closed = [b for b, free in bins.items() if free == fullest]
+                bins.pop(closed[-1] if len(closed) == 1 else next(b for b in closed if b not in _open(fit)))
+            bins[bin_] = 100
+        bins[bin_] -= size
+        if not bins[bin_]:
+            del bins[bin_]
+        assert sorted(bins) == sorted(_open(fit)) and len(bins) <= open_bins
+
+
+def _open(fit):
+    return [b for stack in fit.free for b in stack]
+
+
+def test_packing_awkward_rows(documents, awkward):
+    rows = packing.pack(documents(awkward), PATH, 0, with_ids=True).collect()
+    assert {r.doc_id for r in rows} == {i for i, _ in awkward}
+    assert [(r.length, bytes(r.ids)) for r in rows if r.doc_id in (2, 3, 4)] == [(1, bytes(4))] * 3
+    assert max(r.piece for r in rows if r.doc_id == 6) > 5
+    checked_sequences(rows, 2048)
+    assert packing.pack(documents([]), PATH, 0).collect() == []
