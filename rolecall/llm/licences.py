@@ -273,7 +273,7 @@ def scan(documents: DataFrame, model: LicenceModel) -> DataFrame:
         model = sent.value
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, end, data, offsets in text_slices(batch.column("text"), 1 << 20):
+            for first, end, data, offsets in text_slices(batch.column("text"), 1 << 19):
                 lines = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
                 starts, ends, counts = word_bounds(data, lines, ALPHANUMERIC)
                 words = word_hashes(data, starts, ends)

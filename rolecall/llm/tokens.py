@@ -25,10 +25,10 @@ from rolecall.llm.worker import kept
 VOCABULARY = "word_bpe_49k.json"
 
 #: Words whose ids a Python worker keeps; beyond it, it starts again.
-MOST_CACHED = 1_000_000
+MOST_CACHED = 600_000
 
 #: Bytes of text encoded together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 _PLAIN = "[A-Za-z0-9À-ÖØ-öø-ɏ]+"
 _SIGNS = r"[!-/:-@\[-`{-~]*"
