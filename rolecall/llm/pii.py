@@ -169,8 +169,9 @@ def disclosing(near: DataFrame, entities: DataFrame, documents: DataFrame, text:
     asked = joint.select("term").distinct()
     # Words are counted within tasks first; what is shuffled is a row per word and task.
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(TERM), F.lit(0)))
+    # An inner join stays behind the aggregate; a semi join would be moved before it.
     counts = (documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-              .join(asked, "term", "left_semi"))
+              .join(asked, "term"))
     total = documents.count()
     ic = F.log2(F.lit(float(max(1, total))) / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
