@@ -300,7 +300,7 @@ def _pivot_pairs(entries: DataFrame, rank, threshold: Fraction) -> DataFrame:
 
 def _open(entries: DataFrame, merged: DataFrame) -> DataFrame:
     """The entries whose shingle is in more than one component, with the component."""
-    placed = entries.drop("component").join(merged, F.col("sig") == F.col("node"), "left").drop("node").withColumn(
+    placed = entries.drop("component", "degree").join(merged, F.col("sig") == F.col("node"), "left").drop("node").withColumn(
         "component", F.coalesce("component", "sig"))
     several = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low != high").select("shingle")
