@@ -102,9 +102,6 @@ DEFAULT_CATEGORY = "Fullstack"
 TITLE_WEIGHT = 3
 DESCRIPTION_WEIGHT = 1
 
-#: Keyword tables become expressions of the plan, so their size is checked.
-MAX_KEYWORDS = 5_000
-
 
 @dataclass(frozen=True)
 class Taxonomy:
@@ -116,8 +113,6 @@ class Taxonomy:
     default_category: str = DEFAULT_CATEGORY
 
     def __post_init__(self) -> None:
-        if len(self.category_rows) + len(self.tag_rows) > MAX_KEYWORDS:
-            raise ValueError(f"a taxonomy may hold at most {MAX_KEYWORDS} keywords")
         if any(not row[2] for row in self.category_rows + self.tag_rows):
             raise ValueError("a taxonomy keyword may not be empty")
         if any(row[2] != row[2].strip() for row in self.category_rows + self.tag_rows):
@@ -166,9 +161,10 @@ class Taxonomy:
     @classmethod
     def from_frames(cls, categories: DataFrame, tags: DataFrame,
                     default_category: str = DEFAULT_CATEGORY) -> "Taxonomy":
-        """A taxonomy from keyword tables, whose size is checked first."""
-        cats = categories.orderBy("category_ord", "field", "kw_ord").limit(MAX_KEYWORDS + 1)
-        tag_rows = tags.orderBy("tag_group", "tag", "kw_ord").limit(MAX_KEYWORDS + 1)
+        """A taxonomy from keyword tables. They become part of the plan, so they
+        are read to the driver, all of them."""
+        cats = categories.orderBy("category_ord", "field", "kw_ord")
+        tag_rows = tags.orderBy("tag_group", "tag", "kw_ord")
         return cls(
             tuple((r.category, r.field, r.keyword, r.weight) for r in cats.collect()),
             tuple((r.tag_group, r.tag, r.keyword) for r in tag_rows.collect()),

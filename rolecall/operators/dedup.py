@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rolecall import schemas
 from rolecall.operators.joins import salted_join
@@ -68,6 +68,13 @@ def _checked_ttl(ttl_seconds: int) -> int:
     return ttl_seconds
 
 
+def _required(name: str, kind: str | None = None) -> Column:
+    """The column, which may not be null."""
+    value = F.col(name).cast(kind) if kind else F.col(name)
+    return F.when(value.isNotNull(), value).otherwise(
+        F.raise_error(F.lit(f"expiring dedup needs a value in {name!r} of every posting")))
+
+
 def _clocks(seen: DataFrame, ttl_seconds: int) -> DataFrame:
     """When the set of each company runs out."""
     return seen.groupBy("company_key").agg(
@@ -187,6 +194,9 @@ def dedup_with_expiry(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id:
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """The postings that were new when they arrived, in the order (ts, id).
 
+    A posting needs a time and an id; a null in either is an error. Rows that
+    share an id are one posting, and the first of them in time is returned.
+
     Companies of ordinary size are walked in one pass. A company with more than
     ``hot_rows`` postings is folded slice by slice instead, where its rows stay
     spread over all tasks. Both ways give the same rows.
@@ -194,7 +204,7 @@ def dedup_with_expiry(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id:
     _checked_ttl(ttl_seconds)
     # Written once, so that the long texts are hashed once and not per use below.
     keyed = materialize(postings.select(
-        *KEYS, F.col(ts).cast("timestamp").alias("ts"), F.col(id).alias("id")), "keyed")
+        *KEYS, _required(ts, "timestamp").alias("ts"), _required(id).alias("id")), "keyed")
     hot = keyed.groupBy("company_key").agg(F.count("*").alias("n")).where(
         F.col("n") > hot_rows).select("company_key", F.lit(True).alias("_hot"))
     if hot.isEmpty():
@@ -205,4 +215,8 @@ def dedup_with_expiry(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id:
         cold = split.where(F.col("_hot").isNull()).drop("_hot")
         news = fold_companies(cold, ttl_seconds).unionByName(
             fold_slices(split.where("_hot").drop("_hot"), ttl_seconds)[0])
-    return postings.join(news.select(F.col("id").alias(id)), id, "left_semi")
+    # On all that tells a row, as an id may come with other contents.
+    found = news.select(*KEYS, F.col("ts").alias("_ts"), F.col("id").alias("_id"))
+    same = [postings[k].eqNullSafe(found[k]) for k in KEYS]
+    same += [postings[ts].cast("timestamp") == found["_ts"], postings[id] == found["_id"]]
+    return keep_first(postings.join(found, same, "left_semi"), [*KEYS, ts, id], [F.lit(0)])

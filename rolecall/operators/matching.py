@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rolecall.functions.scan import KeywordScan, constant
@@ -12,9 +10,6 @@ from rolecall.sources.specs import SOURCES, SearchSpec, check_types, enabled
 
 FACETS = ("location", "job_type", "workplace_type", "experience_level")
 
-#: Searches tested in one pass over the postings; more take further passes.
-SPECS_PER_PASS = 2_000
-
 #: First-stage groups of a search when its first results are picked.
 LIMIT_SALTS = 64
 
@@ -57,12 +52,6 @@ def match_specs(postings: DataFrame, specs: list[SearchSpec], *, description: st
     if not specs:
         return postings.withColumns({"spec": F.lit(None).cast("string"),
                                      "max_results": F.lit(None).cast("int")}).where("false")
-    if len(specs) > SPECS_PER_PASS:
-        options = dict(description=description, company=company, age=age, source=source,
-                       missing_facets=missing_facets, engine=engine)
-        passes = [match_specs(postings, specs[i:i + SPECS_PER_PASS], **options)
-                  for i in range(0, len(specs), SPECS_PER_PASS)]
-        return reduce(DataFrame.unionByName, passes)
     checked = [s for s in specs if SOURCES[s.type][1]]
     scan = KeywordScan(dict.fromkeys(k.lower() for s in checked for k in s.keywords), engine)
     facets = [f for f in FACETS if any(getattr(s, f) is not None for s in specs)]

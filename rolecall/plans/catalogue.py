@@ -465,11 +465,11 @@ def postings_store(spark, sf_dir):
 
 
 def history_summary(spark, sf_dir):
-    """Day files of three searches, read back and classified by title alone."""
+    """Day files of a search per language, read back and classified by title alone."""
     root = scratch_path(spark, "output")
     jobs = classify(documents(spark, sf_dir)).withColumn("posted_date", F.to_date("scraped_at")).withColumn(
         "source", F.lit("linkedin"))
-    for name in ("en", "de", "fr"):
+    for name in sorted(r["name"] for r in jobs.select("name").distinct().collect()):
         sinks.write_postings_csv(jobs.where(F.col("name") == name), root, name, RUN_DAY)
         sinks.write_monthly_and_total(jobs.where(F.col("name") == name), root, name, RUN_DAY, seq="id")
     categories, _ = history.history_summary(spark, root, FRAGMENTS)

@@ -15,15 +15,17 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true
 STORE_PARTITIONS = ("name", "year", "month", "day")
 
 
-def read_postings(spark: SparkSession, root: str) -> DataFrame:
+def read_postings(spark: SparkSession, root: str, skip_unreadable: bool = False) -> DataFrame:
     """All day files below ``root``: any path with ``_jobs_`` in the name of a
     CSV file (or of a folder Spark wrote for one), none with ``summary`` in it.
 
-    Values come back typed, whatever earlier rewrites made of them. Unreadable
-    files are skipped, as the settings say.
+    Values come back typed, whatever earlier rewrites made of them. A file that
+    cannot be read is an error; with ``skip_unreadable`` its rows are left out,
+    and Spark logs its name.
     """
     raw = (spark.read.schema(schemas.CSV_POSTINGS).options(**CSV_OPTIONS)
-           .option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+           .option("recursiveFileLookup", "true")
+           .option("ignoreCorruptFiles", str(skip_unreadable).lower())
            .option("pathGlobFilter", "*.csv").csv(root))
     # Constant file columns are pruned before any file is opened.
     below = F.substring_index(F.col("_metadata.file_path"), root.rstrip("/"), -1)
