@@ -114,10 +114,9 @@ def test_copies_give_nothing_away(documents):
 
 
 def test_overlapping_spans(documents):
-    text = "call +1 4111111111111111 or 1.2.3.4"
-    [row] = pii.sanitise(documents([(1, text)])).collect()
-    assert row.text == "call <CARD> or <IP>" or row.text == "call <PHONE> or <IP>" or row.text == "call +1 <CARD> or <IP>"
-    assert "4111" not in row.text
+    """The phone number holds the address, and begins first."""
+    [row] = pii.sanitise(documents([(1, "call +250.100.200.100 or 1.2.3.4")])).collect()
+    assert row.text == "call <PHONE> or <IP>"
 
 
 def test_awkward_rows(documents, awkward):
