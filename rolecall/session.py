@@ -68,3 +68,33 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables that go together once nothing reads them any more.
+
+    Whatever outlives :meth:`clear` has to be written with :func:`materialize`,
+    so that a lost executor never asks for a table that is gone.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folder = scratch_path(spark, "steps")
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """Writes ``df`` and reads it back, as :func:`materialize` does."""
+        path = f"{self._folder}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes the tables; Spark has no call for that, so its file system does it."""
+        context = self._spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self._folder)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.clear()
