@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rolecall.session import materialize
+from rolecall.session import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     with a null end and loops count for nothing.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
-    stars = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(
+    held = Scratch(edges.sparkSession)
+    stars = held.table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(
         F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct(), "edges")
     before = None
     while True:
@@ -44,6 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state.n:
             break
         before = state
-        stars = materialize(_small_star(_large_star(stars)), "stars")
+        after = Scratch(edges.sparkSession)
+        stars = after.table(_small_star(_large_star(stars)), "stars")
+        held.clear()
+        held = after
     return stars.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(
         stars.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())

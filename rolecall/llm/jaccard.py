@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rolecall.llm.graph import components
 from rolecall.llm.words import mix, shingle_sets
-from rolecall.session import materialize
+from rolecall.session import Scratch, materialize
 
 #: Words of a shingle, and the least similarity.
 WORDS, THRESHOLD = 5, Fraction(3, 4)
@@ -251,21 +251,28 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
                              "shingle bigint, sig bigint, frequent boolean")
     # A class with many shingles that others show, too, is in the middle of its group.
     middle = F.count("*").over(Window.partitionBy("sig"))
-    entries = materialize(_shared(shown).join(classes.drop("doc_id"), "sig").withColumn("degree", middle), "entries")
+    held = Scratch(documents.sparkSession)
+    entries = held.table(_shared(shown).join(classes.drop("doc_id"), "sig").withColumn("degree", middle), "entries")
     shapes = described.where("sig is not null").select("sig", "n", "parity")
     bits = described.where("sig is not null").groupBy("sig").agg(*[F.min(b).alias(b) for b in _BITS])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(_left_possible(pairs, shapes, threshold), classes, texts, words, threshold)
+        with Scratch(documents.sparkSession) as scratch:
+            possible = _left_possible(pairs, shapes, threshold, scratch)
+            return _verified(possible, classes, texts, words, threshold, scratch)
 
     links, left = verified(_pivot_pairs(entries.withColumn("component", F.col("sig")), F.col("degree"), threshold)), entries
     for number in range(1, PIVOT_ROUNDS + 1):
-        left = _open(left, components(links))
+        after = Scratch(documents.sparkSession)
+        left = after.table(_open(left, components(links)), "open")
+        held.clear()
+        held = after
         if number < PIVOT_ROUNDS:
             pairs = _pivot_pairs(left, F.xxhash64("sig", F.lit(number)), threshold)
         else:
             pairs = _all_pairs(left, bits, threshold)
         links = links.unionByName(verified(pairs))
+    held.clear()
     return JaccardJoin(members, links)
 
 
@@ -304,7 +311,7 @@ def _open(entries: DataFrame, merged: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "sig"))
     several = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low != high").select("shingle")
-    return materialize(placed.join(several, "shingle", "left_semi"), "open")
+    return placed.join(several, "shingle", "left_semi")
 
 
 def _all_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
@@ -316,24 +323,25 @@ def _all_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction) -> Data
     return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y")).distinct()
 
 
-def _left_possible(pairs: DataFrame, parities: DataFrame, threshold: Fraction) -> DataFrame:
-    pairs = materialize(pairs, "met")
+def _left_possible(pairs: DataFrame, parities: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    pairs = scratch.table(pairs, "met")
     needed = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
-    shapes = materialize(parities.join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "shapes")
+    shapes = scratch.table(parities.join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "shapes")
     both = (pairs.join(shapes.toDF("x", "n_x", "parity_x"), "x").join(shapes.toDF("y", "n_y", "parity_y"), "y")
             .select("x", "y", "n_x", "n_y", "parity_x", "parity_y"))
     return both.mapInArrow(_possible(threshold), "x bigint, y bigint")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
+              scratch: Scratch) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    pairs = materialize(pairs, "pairs")
+    pairs = scratch.table(pairs, "pairs")
     needed = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
-    owners = materialize(classes.join(needed, "sig", "left_semi").select("sig", "doc_id"), "owners")
+    owners = scratch.table(classes.join(needed, "sig", "left_semi").select("sig", "doc_id"), "owners")
     if owners.count() <= MOST_SENT:
         owners = F.broadcast(owners)
     held = texts.alias("t").join(owners.alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
-    sets = materialize(held.select("sig", "text").mapInArrow(_sets(words), "sig bigint, shingles binary"), "sets")
+    sets = scratch.table(held.select("sig", "text").mapInArrow(_sets(words), "sig bigint, shingles binary"), "sets")
     both = (pairs.join(sets.toDF("y", "set_y"), "y").join(sets.toDF("x", "set_x"), "x")
             .select("x", "y", "set_x", "set_y"))
     return materialize(both.mapInArrow(_linked(threshold), "x bigint, y bigint"), "links")
