@@ -5,9 +5,10 @@ Two ways give the same array of keyword positions:
 * ``contains``: one native test per keyword, a pass over the text for each;
 * ``automaton``: an Arrow function that finds all keywords in one pass.
 
-The native way wins for a handful of keywords. For the 200-odd keywords of the
-taxonomy the single pass measured eight times faster (see README), so it is
-chosen from :data:`AUTOMATON_FROM` keywords on, where its library is present.
+For the 200-odd keywords of the taxonomy the single pass measured eight times
+faster (see README), so it is what a scan does unless asked otherwise; executors
+need ``pyahocorasick`` for it. Neither the number of keywords nor what is
+installed changes the choice.
 """
 
 from __future__ import annotations
@@ -17,9 +18,6 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-#: From this many keywords on, one pass beats one pass per keyword.
-AUTOMATON_FROM = 16
-
 
 def sql_text(value: str) -> str:
     """A text literal for :func:`pyspark.sql.functions.expr`."""
@@ -33,14 +31,6 @@ def constant(values, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), ddl)
 
 
-def _automaton_available() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
 def _scanner(keywords: tuple[str, ...]):
     @F.arrow_udf("array<int>")
     def scan(texts: pa.Array) -> pa.Array:
@@ -64,14 +54,12 @@ class KeywordScan:
     """Finds the positions of ``keywords`` (distinct, not empty) in text columns."""
 
     def __init__(self, keywords, engine: str | None = None):
+        engine = engine or "automaton"
         self.keywords = tuple(keywords)
         if len(set(self.keywords)) < len(self.keywords) or "" in self.keywords:
             raise ValueError("keywords to scan for must be distinct and not empty")
-        if engine not in (None, "contains", "automaton"):
+        if engine not in ("contains", "automaton"):
             raise ValueError(f"unknown engine {engine!r}")
-        if engine is None:
-            many = len(self.keywords) >= AUTOMATON_FROM
-            engine = "automaton" if many and _automaton_available() else "contains"
         self.engine = engine
         self._udf = _scanner(self.keywords) if engine == "automaton" else None
 

@@ -120,8 +120,8 @@ def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
     spread = ["content_hash"]
     unlapsed = salted_join(unknown, lapsed.select("company_key"), ["company_key"], "left_anti", spread)
     news = unlapsed.unionByName(late)
-    restarted = late.select("company_key").distinct()
-    kept = salted_join(seen, restarted, ["company_key"], "left_anti", spread)
+    # Also of companies that did not come back: nothing lapsed is stored for ever.
+    kept = salted_join(seen, lapsed.select("company_key"), ["company_key"], "left_anti", spread)
     return news, materialize(_remember(kept, news), "seen")
 
 

@@ -70,6 +70,14 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_files(spark: SparkSession, path: str):
+    """The file system that Spark reads ``path`` from, and the path as it names
+    it. Spark itself has no call to delete or rename a folder."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
 class Scratch:
     """Intermediate tables that go together once nothing reads them any more.
 
@@ -88,10 +96,9 @@ class Scratch:
         return self._spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
-        """Deletes the tables; Spark has no call for that, so its file system does it."""
-        context = self._spark.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(self._folder)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        """Deletes the tables."""
+        files, folder = shared_files(self._spark, self._folder)
+        files.delete(folder, True)
 
     def __enter__(self) -> Scratch:
         return self

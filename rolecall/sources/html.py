@@ -7,6 +7,7 @@ the layouts in :mod:`rolecall.sources.extract` and by columns.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 # How HTML elements behave.
@@ -20,7 +21,7 @@ CLOSES_PARAGRAPH = BLOCKS - {"body", "html", "li", "dd", "dt", "tr"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+    r"(?P<attrs>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^'\">])*+)(?P<close>>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""")
 #: White space that does not show as it is written; a single space does.
 _SPACE = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")
@@ -62,15 +63,17 @@ class Page:
         return self.elements[element.order + 1:element.end]
 
     def _parse(self, html: str) -> None:
-        """End tags that nothing opened are passed over."""
+        """End tags that nothing opened are passed over, and so is a tag that the
+        page ends in. Time is linear in the page, however malformed it is."""
         elements, open_elements = self.elements, [self.root]
+        self._depths = defaultdict(list)  # of the open elements, by tag
         place, search = 0, _TOKEN.search
         while token := search(html, place):
             if token.start() > place:
                 open_elements[-1].children.append(html[place:token.start()])
             place = token.end()
-            end_mark, tag, attrs = token.groups()
-            if not tag:
+            end_mark, tag, attrs, close = token.groups()
+            if not tag or not close:
                 continue
             tag = tag.lower()
             if end_mark:
@@ -92,6 +95,7 @@ class Page:
                 element.children.append(html[place:until])
                 place = until
             if tag not in VOID:
+                self._depths[tag].append(len(open_elements))
                 open_elements.append(element)
         if place < len(html):
             open_elements[-1].children.append(html[place:])
@@ -99,14 +103,16 @@ class Page:
             element.end = len(elements)
 
     def _close(self, open_elements: list[Element], tag: str, within: tuple[str, ...] = ()) -> None:
-        for depth in range(len(open_elements) - 1, 0, -1):
-            if open_elements[depth].tag == tag:
-                for element in open_elements[depth:]:
-                    element.end = len(self.elements)
-                del open_elements[depth:]
-                return
-            if open_elements[depth].tag in within:
-                return
+        """Closes the innermost open element of that tag, unless one of the tags
+        ``within`` is open inside it."""
+        depths = self._depths
+        if not depths[tag] or any(depths[w] and depths[w][-1] > depths[tag][-1] for w in within):
+            return
+        depth = depths[tag][-1]
+        for element in open_elements[depth:]:
+            element.end = len(self.elements)
+            depths[element.tag].pop()
+        del open_elements[depth:]
 
 
 def selector(css: str):

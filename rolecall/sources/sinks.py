@@ -10,7 +10,7 @@ from rolecall import schemas
 from rolecall.functions.text import date_parts, iso_timestamp, join_tags
 from rolecall.operators.ordering import keep_first
 from rolecall.operators.summary import category_summary, tag_summary
-from rolecall.session import materialize
+from rolecall.session import materialize, shared_files
 from rolecall.sources.postings import CSV_OPTIONS, STORE_PARTITIONS, read_existing, store_exists
 
 
@@ -27,13 +27,18 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def upsert_postings(existing: DataFrame, new: DataFrame, key: str = "url",
                     within: tuple[str, ...] = (), order_by: tuple[str, ...] = ()) -> DataFrame:
     """Both sets of rows, the first of each key kept: stored rows win over new
-    ones, and among new ones the order decides. Without the key column, all rows.
+    ones, and among new ones the order decides, then the whole row, so that a
+    rerun keeps the same one. Without the key column, all rows.
     """
     both = append_union(existing.withColumn("_batch", F.lit(0)), new.withColumn("_batch", F.lit(1)))
     if key not in both.columns:
         return both.drop("_batch")
     order = [c for c in order_by if c in both.columns]
-    return keep_first(both, [*within, key], ["_batch", *order]).drop("_batch")
+    return keep_first(both, [*within, key], ["_batch", *order, _whole_row(both)]).drop("_batch")
+
+
+def _whole_row(df: DataFrame):
+    return F.xxhash64(*[df[c] for c in sorted(df.columns)])
 
 
 def with_partitions(postings: DataFrame, name=None, ts: str = "scraped_at") -> DataFrame:
@@ -51,7 +56,7 @@ def write_postings(postings: DataFrame, path: str) -> None:
     """
     spark = postings.sparkSession
     order = _arrival(postings)
-    new = keep_first(postings, [*STORE_PARTITIONS, "url"], order)
+    new = keep_first(postings, [*STORE_PARTITIONS, "url"], [*order, _whole_row(postings)])
     if store_exists(spark, path):
         # Used twice below, so made once; its true size then lets the planner
         # broadcast the partitions at hand and prune the store by them.
@@ -65,8 +70,7 @@ def write_postings(postings: DataFrame, path: str) -> None:
 
 
 def _arrival(postings: DataFrame) -> list[str]:
-    """Columns that order postings; the full row decides where nothing else does,
-    so that a rerun keeps the same row."""
+    """Columns that order postings."""
     named = [c for c in ("seq", "scraped_at", "title", "company", "location") if c in postings.columns]
     return named or ["url"]
 
@@ -83,9 +87,29 @@ def day_file(root: str, name: str, day: datetime) -> str:
 
 
 def write_postings_csv(postings: DataFrame, root: str, name: str, day: datetime) -> str:
-    """One day's postings of one search as CSV, description dropped."""
+    """Merges postings into one search's CSV of a day, description dropped.
+
+    What the day's file holds wins, and the first of each url stays. The merged
+    file is written aside and then takes the old one's place; a write that was
+    lost in between is picked up by the next.
+    """
     path = day_file(root, name, day)
-    _write_csv(to_output_rows(postings), path)
+    spark = postings.sparkSession
+    aside = f"{path}.new"
+    files, place = shared_files(spark, path)
+    _, beside = shared_files(spark, aside)
+    _, written = shared_files(spark, f"{aside}/_SUCCESS")
+    if files.exists(written) and not files.exists(place):
+        files.rename(beside, place)
+    rows = to_output_rows(postings)
+    new = rows.select([F.col(c).cast("string") for c in rows.columns])
+    stored = spark.createDataFrame([], new.schema)
+    if files.exists(place):
+        stored = spark.read.schema(schemas.CSV_POSTINGS).options(**CSV_OPTIONS).csv(path).select(*new.columns)
+    _write_csv(upsert_postings(stored, new, order_by=tuple(_arrival(new))), aside)
+    files.delete(place, True)
+    if not files.rename(beside, place):
+        raise OSError(f"cannot rename {aside} to {path}")
     return path
 
 

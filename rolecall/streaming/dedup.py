@@ -12,11 +12,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from rolecall.session import ROCKSDB, STATE_STORE
 
 
+#: How long the state of a company without arrivals is kept, in seconds of running time.
+KEPT_SECONDS = 7 * 86400
+
+
 class SeenPostings(StatefulProcessor):
     """The live set and clock of one company."""
 
-    def __init__(self, ttl_millis: int):
-        self.ttl = ttl_millis
+    def __init__(self, ttl_millis: int, kept_millis: int):
+        self.ttl, self.kept = ttl_millis, kept_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -24,6 +28,7 @@ class SeenPostings(StatefulProcessor):
         moment = T.StructType([T.StructField("at", T.LongType())])
         self.live = handle.getMapState("live", content, moment)
         self.expiry = handle.getValueState("expiry", moment)
+        self.timer = handle.getValueState("timer", moment)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrivals = pd.concat(list(rows)).sort_values(["ts", "id"])
@@ -45,18 +50,22 @@ class SeenPostings(StatefulProcessor):
             if new[-1]:
                 self.live.updateValue((content,), (at,))
                 looked_up[content] = True
-                expiry = at + self.ttl
+                # A row that is late does not turn the clock back.
+                expiry = max(expiry or 0, at + self.ttl)
         if expiry != before:
             self.expiry.update((expiry,))
-            self.handle.registerTimer(expiry)
+        if timer := self.timer.get():
+            self.handle.deleteTimer(timer[0])
+        quiet = timerValues.getCurrentProcessingTimeInMs() + self.kept
+        self.handle.registerTimer(quiet)
+        self.timer.update((quiet,))
         yield arrivals[new][["company_key", "content_hash", "ts", "id"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Frees the state of a company that has been quiet for long enough."""
-        stored = self.expiry.get()
-        if stored and expiredTimerInfo.getExpiryTimeInMs() >= stored[0]:
-            self.live.clear()
-            self.expiry.clear()
+        self.live.clear()
+        self.expiry.clear()
+        self.timer.clear()
         return iter(())
 
     def close(self) -> None:
@@ -64,11 +73,14 @@ class SeenPostings(StatefulProcessor):
 
 
 def dedup_stream(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id: str = "id",
-                 delay: str = "0 seconds") -> DataFrame:
+                 kept_seconds: int = KEPT_SECONDS) -> DataFrame:
     """(company_key, content_hash, ts, id) of the new postings of a stream.
 
-    The stream has to arrive in the order of ``ts`` but for ``delay``. State is
-    kept by company, off heap; what a company's task handles at once is bounded
+    Postings are judged as they arrive, those of one trigger in the order (ts, id).
+    None is dropped as late: a late one meets the set as it then is. A company
+    without arrivals for ``kept_seconds`` (at least the ttl) of running time is
+    forgotten; a replay that pauses longer starts it anew. State is kept
+    by company, off heap; what a company's task handles at once is bounded
     by the files per trigger. For streams in which one company may fill whole
     triggers, :func:`rolecall.streaming.search.run_search_stream` keeps its state
     in tables instead and has no such task.
@@ -77,12 +89,11 @@ def dedup_stream(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id: str
         raise ValueError(f"ttl_seconds must be positive, got {ttl_seconds}")
     # The only state store that can hold maps and timers; set for this session.
     postings.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    keyed = (postings.select("company_key", "content_hash",
-                             F.col(ts).cast("timestamp").alias("ts"), F.col(id).alias("id"))
-             .withWatermark("ts", delay))
+    keyed = postings.select("company_key", "content_hash",
+                            F.col(ts).cast("timestamp").alias("ts"), F.col(id).alias("id"))
     schema = T.StructType([
         T.StructField("company_key", T.StringType()), T.StructField("content_hash", T.StringType()),
         T.StructField("ts", T.TimestampType()), T.StructField("id", keyed.schema["id"].dataType)])
     return keyed.groupBy("company_key").transformWithStateInPandas(
-        statefulProcessor=SeenPostings(ttl_seconds * 1000), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime")
+        statefulProcessor=SeenPostings(ttl_seconds * 1000, max(ttl_seconds, kept_seconds) * 1000),
+        outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")

@@ -86,6 +86,13 @@ def test_store_carries_over(spark):
     assert got == slow_fold(rows, 50)
 
 
+def test_sets_of_quiet_companies_are_freed(spark):
+    rows = [("quiet", "A", at(0), 0)] + [("x", "A", at(i * 10), i) for i in range(1, 5)]
+    news, store = dedup.fold_slices(spark.createDataFrame(rows, SCHEMA), 7)
+    assert sorted(r.id for r in news.collect()) == slow_fold(rows, 7)
+    assert [r.company_key for r in store.collect()] == ["x"]
+
+
 def test_many_slices_rewrite_the_store(spark):
     rows = [("x", "AB"[i % 2], at(i * 3), i) for i in range(8)]
     before, dedup.APPENDS = dedup.APPENDS, 2

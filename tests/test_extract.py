@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import pytest
@@ -162,3 +163,12 @@ def test_cards_in_sql(spark):
     got = spark.sql("SELECT page_id, c.seq, c.fields['title'] AS title FROM captured, "
                     "LATERAL extract_cards(html, 'list') c ORDER BY seq").collect()
     assert [(r.page_id, r.seq, r.title.strip()) for r in got] == [(0, 0, "Dev"), (0, 1, "Dev")]
+
+
+@pytest.mark.parametrize("page", [
+    "<a href='x " * 100_000, "<div>" * 100_000, "<p>" + "<i></b>" * 50_000, "<table><p>" + "<li><b></p>" * 30_000,
+    "<!x" * 100_000])
+def test_malformed_pages_take_linear_time(page):
+    start = time.monotonic()
+    html.Page(page)
+    assert time.monotonic() - start < 2

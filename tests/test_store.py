@@ -82,6 +82,19 @@ def test_day_file_round_trip(spark, tmp_path):
     assert back["u2"]["posted_time"] is None
 
 
+def test_day_file_is_merged(spark, tmp_path):
+    root, day = str(tmp_path / "output"), datetime(2025, 11, 4)
+    sinks.write_postings_csv(posting(spark, {}, {"url": "u2"}), root, "s", day)
+    path = sinks.write_postings_csv(posting(spark, {"title": "Again"}, {"url": "u3"}, {"url": "u3"}), root, "s", day)
+    got = sorted((r.url, r.title, r.tags) for r in readers.read_postings(spark, root).collect())
+    assert got == [(u, "Go Dev", ["Go", "Rust"]) for u in ("u1", "u2", "u3")]
+    # A write lost between the removal of the old file and the rename.
+    (tmp_path / path).rename(f"{path}.new")
+    assert readers.read_postings(spark, root).count() == 0
+    sinks.write_postings_csv(posting(spark, {"url": "u4"}), root, "s", day)
+    assert sorted(r.url for r in readers.read_postings(spark, root).collect()) == ["u1", "u2", "u3", "u4"]
+
+
 HEADER = ",".join(schemas.OUTPUT_COLUMNS)
 
 

@@ -24,9 +24,8 @@ def files_in_order(spark, rows, schema, path, parts):
 
 def test_stateful_stream_equals_batch(spark, tmp_path):
     rows = sorted(random_arrivals(4, 90), key=lambda r: (r[2], r[3]))
-    # Rows of one moment arrive together, so that late rows are none.
     stream = files_in_order(spark, rows, SCHEMA, str(tmp_path / "in"), 3)
-    query = (dedup_stream(stream, 30, delay="1 minute").writeStream.format("parquet").outputMode("append")
+    query = (dedup_stream(stream, 30).writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
              .start(str(tmp_path / "out")))
     query.awaitTermination()
@@ -36,6 +35,19 @@ def test_stateful_stream_equals_batch(spark, tmp_path):
         dedup_stream(stream, 0)
 
 
+def test_late_rows_are_judged_when_they_arrive(spark, tmp_path):
+    """The last two files are older than the first two: B is new, C is known."""
+    rows = [("x", "A", START + timedelta(hours=5), 1), ("x", "C", START + timedelta(hours=9), 2),
+            ("x", "B", START, 3)]
+    rows.append(("x", "C", START, 4))
+    stream = files_in_order(spark, rows, SCHEMA, str(tmp_path / "in"), 4)
+    query = (dedup_stream(stream, 86400).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+             .start(str(tmp_path / "out")))
+    query.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
 POSTINGS = ("id bigint, title string, company string, location string, url string, description string, "
             "scraped_at timestamp")
 
