@@ -56,7 +56,7 @@ class SeenPostings(StatefulProcessor):
             self.expiry.update((expiry,))
         if timer := self.timer.get():
             self.handle.deleteTimer(timer[0])
-        quiet = timerValues.getCurrentProcessingTimeInMs() + self.kept
+        quiet = int(arrivals["arrived_ms"].max()) + self.kept
         self.handle.registerTimer(quiet)
         self.timer.update((quiet,))
         yield arrivals[new][["company_key", "content_hash", "ts", "id"]]
@@ -89,11 +89,16 @@ def dedup_stream(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id: str
         raise ValueError(f"ttl_seconds must be positive, got {ttl_seconds}")
     # The only state store that can hold maps and timers; set for this session.
     postings.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    keyed = postings.select("company_key", "content_hash",
-                            F.col(ts).cast("timestamp").alias("ts"), F.col(id).alias("id"))
+    # The watermark follows the arrival, so it is behind every row of a trigger: it
+    # moves timers and drops nothing. Processing-time timers would need triggers
+    # without end, which a run over what is available must not have.
+    keyed = postings.select("company_key", "content_hash", F.col(ts).cast("timestamp").alias("ts"),
+                            F.col(id).alias("id"), F.current_timestamp().alias("arrived"),
+                            F.unix_millis(F.current_timestamp()).alias("arrived_ms")).withWatermark(
+        "arrived", "1 minute")
     schema = T.StructType([
         T.StructField("company_key", T.StringType()), T.StructField("content_hash", T.StringType()),
         T.StructField("ts", T.TimestampType()), T.StructField("id", keyed.schema["id"].dataType)])
     return keyed.groupBy("company_key").transformWithStateInPandas(
         statefulProcessor=SeenPostings(ttl_seconds * 1000, max(ttl_seconds, kept_seconds) * 1000),
-        outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+        outputStructType=schema, outputMode="Append", timeMode="EventTime")
