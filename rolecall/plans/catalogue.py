@@ -464,6 +464,19 @@ def postings_store(spark, sf_dir):
                          (F.col("title") == "again").alias("added_later"))
 
 
+def day_file_merged(spark, sf_dir):
+    """A day's CSV file written with the earlier half of the documents, then with all."""
+    root = scratch_path(spark, "output")
+    jobs = classify(documents(spark, sf_dir)).withColumn("posted_date", F.to_date("scraped_at")).withColumn(
+        "source", F.lit("linkedin"))
+    middle = jobs.agg(F.expr("max(id) / 2")).scalar()
+    sinks.write_postings_csv(jobs.where(F.col("id") < middle), root, "all", RUN_DAY)
+    sinks.write_postings_csv(jobs.withColumn("title", F.lit("again")), root, "all", RUN_DAY)
+    return readers.read_postings(spark, root).select(
+        F.regexp_extract("url", r"/([0-9]+)\?", 1).cast("bigint").alias("doc_id"), "posted_time",
+        (F.col("title") == "again").alias("added_later"))
+
+
 def history_summary(spark, sf_dir):
     """Day files of a search per language, read back and classified by title alone."""
     root = scratch_path(spark, "output")
@@ -629,7 +642,7 @@ QUERIES: dict[str, Query] = {
         dedup_one_hot_company,
         strip_query, absolute_url, age_seconds, parse_posted_date, split_record, output_rows,
         date_parts, take_while, keep_first, newest_page,
-        upsert_orders, postings_store, history_summary,
+        upsert_orders, postings_store, day_file_merged, history_summary,
         extract_pages, extract_navigation, extract_list_cards, extract_link_cards, list_cycle,
         stream_dedup_with_expiry, stream_process_batch,
     )

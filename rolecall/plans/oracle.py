@@ -380,6 +380,8 @@ def all_sql() -> dict[str, str]:
       WHERE o_orderkey NOT IN (SELECT o_orderkey FROM first)"""
     sql["postings_store"] = f"""WITH {REAL} SELECT doc_id, lang AS name, category,
       doc_id >= (SELECT max(doc_id) / 2 FROM documents) AS added_later FROM docs JOIN scored USING (doc_id)"""
+    sql["day_file_merged"] = """SELECT doc_id, n_chars AS posted_time,
+      doc_id >= (SELECT max(doc_id) / 2 FROM documents) AS added_later FROM documents"""
     titles = DOCS.replace("lower(text) AS d", "'' AS d")
     sql["history_summary"] = f"""WITH {classified(c.FRAGMENTS, titles, "doc_id")},
       cats(ord, category) AS (VALUES {_categories(c.FRAGMENTS)}),
