@@ -4,8 +4,9 @@ Paragraphs (lines; long ones in overlapping windows) are scored by a multinomial
 logistic regression on hashed runs of one to three words. It is trained here, on
 templates that are cropped, garbled and set among words of the corpus, against
 plain paragraphs of the corpus. Its probabilities are calibrated on examples kept
-back. What looks like a notice is compared with the templates of its family; if
-none fits, or no family is probable enough, it is a notice of unknown licence.
+back. What is rather a notice than not is compared with the templates of its
+likeliest family, and one that fits confirms it. If none fits, it is a notice of
+unknown licence where its probability passes a bound that few plain paragraphs pass.
 """
 
 from __future__ import annotations
@@ -74,7 +75,11 @@ SAMPLE_ROWS, SAMPLE_CHARS = 400, 1000
 #: Share of a template's word pairs that a window must hold to confirm it.
 CONFIRMED = 0.6
 
-#: Plain paragraphs among those kept back that may look like a notice.
+#: Probability of being a notice from which a window is compared with templates.
+PROBABLE = 0.5
+
+#: Plain paragraphs among those kept back that may look like a notice which no
+#: template confirms.
 FALSE_SHARE = 0.001
 
 
@@ -120,13 +125,15 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 
 def _examples(plain: list[str], rng: np.random.Generator, each: int) -> list[tuple[str, int]]:
-    """Templates as they may be met, by family, and plain windows as class 0."""
+    """Templates as they may be met, by family, and plain windows as class 0, half
+    of them with words from elsewhere."""
     pool = " ".join(plain).split() or ["word"]
 
     def some(n: int) -> list[str]:
         at = int(rng.integers(0, max(1, len(pool) - n)))
         return pool[at:at + n]
 
+    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split() if w.isalpha() and w.islower()})
     made = []
     for label, family in enumerate(FAMILIES, 1):
         for _ in range(each):
@@ -142,14 +149,25 @@ def _examples(plain: list[str], rng: np.random.Generator, each: int) -> list[tup
             text = " ".join(some(before) + words + some(after))
             made.append((text.lower() if rng.random() < 0.2 else text, label))
     for _ in range(each * len(FAMILIES)):
-        made.append((" ".join(some(int(rng.integers(1, WINDOW + 1)))), 0))
+        words = some(int(rng.integers(1, WINDOW + 1)))
+        kind = rng.random()
+        if kind < 0.5:
+            # Neither words that the sample does not hold nor single common words of
+            # a template make a notice, and saying them over and over does not either.
+            unseen = [f"w{rng.integers(1 << 40):x}" for _ in words]
+            single = rng.choice(vocabulary, len(words)).tolist()
+            words = [w[int(rng.choice(3, p=(0.3, 0.4, 0.3)))] for w in zip(words, unseen, single)]
+            if kind < 0.25:
+                words = (words[:int(rng.integers(1, 9))] * WINDOW)[:WINDOW]
+        made.append((" ".join(words), 0))
     return made
 
 
 @dataclass
 class LicenceModel:
     """Weights by class (0: no notice) and feature, a temperature, the least
-    probability of being a notice, and word pairs of the templates."""
+    probability of being a notice without a template that confirms it, and word
+    pairs of the templates."""
 
     weights: np.ndarray
     bias: np.ndarray
@@ -202,7 +220,7 @@ def train(plain: list[str], seed: int = 7, each: int = 400, rounds: int = 60) ->
         weights -= 0.3 * step / np.sqrt(grown_w)
         bias -= 0.3 * error.sum(0) / np.sqrt(grown_b)
     pairs = [(label, t, _pairs(_read(t)[0])) for label, family in enumerate(FAMILIES, 1) for t in TEMPLATES[family]]
-    model = LicenceModel(weights.astype(np.float32), bias, 1.0, 0.5, pairs)
+    model = LicenceModel(weights.astype(np.float32), bias, 1.0, PROBABLE, pairs)
     # Calibration on examples kept back: the temperature of least loss, then the
     # bound that few plain paragraphs pass.
     texts, truth = [t for t, _ in kept], np.array([label for _, label in kept])
@@ -211,7 +229,7 @@ def train(plain: list[str], seed: int = 7, each: int = 400, rounds: int = 60) ->
         losses[model.temperature] = -np.log(model.of(texts)[np.arange(len(texts)), truth] + 1e-12).mean()
     model.temperature = min(losses, key=losses.get)
     notice = 1 - model.of([t for t, label in kept if label == 0])[:, 0]
-    model.least = float(max(0.5, np.quantile(notice, 1 - FALSE_SHARE)))
+    model.least = float(max(PROBABLE, np.quantile(notice, 1 - FALSE_SHARE)))
     return model
 
 
@@ -242,7 +260,9 @@ def _notices(model: LicenceModel, data: np.ndarray, low: int, starts: np.ndarray
         label = int(np.argmax(p[1:])) + 1
         held = _pairs(words[first:last])
         similarity, template = max(((np.isin(pairs, held).mean(), t) for of, t, pairs in model.pairs if of == label))
-        sure = bool(p[label] >= model.least and similarity >= CONFIRMED)
+        sure = bool(similarity >= CONFIRMED)
+        if not sure and 1 - p[0] < model.least:
+            continue
         found.append((sure, float(similarity), float(1 - p[0]), first, last, FAMILIES[label - 1] if sure else UNKNOWN,
                       template if sure else None))
     found.sort(key=lambda f: (-f[0], -f[1], -f[2], f[3]))
@@ -286,7 +306,7 @@ def scan(documents: DataFrame, model: LicenceModel) -> DataFrame:
                 p = model.probabilities(sums[stop] - sums[begin], stop - begin)
                 of_text = np.searchsorted(offsets, starts[begin], side="right") - 1 if len(begin) else begin
                 hits: dict[int, list] = {}
-                for w in np.flatnonzero(1 - p[:, 0] >= model.least):
+                for w in np.flatnonzero(1 - p[:, 0] >= PROBABLE):
                     hits.setdefault(int(of_text[w]), []).append((int(begin[w]), int(stop[w]), p[w]))
                 filled = starts[counts[:-1][np.diff(counts) > 0]]
                 per_text = np.bincount(np.searchsorted(offsets, filled, side="right") - 1, minlength=end - first)
