@@ -26,25 +26,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("high != low").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and none that hangs holds others."""
+    ends = edges.select(F.col("high").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("low").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not nodes.agg(F.max((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0)))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have edges; the component is the
     smallest node of it. The first two columns of ``edges`` are its ends.
 
     Large and small stars in turn until every node hangs on the smallest one of
     its component. Each round is a few joins and aggregates over the edges and
-    is written to the shared folder; the driver sees two numbers of it. Edges
+    is written to the shared folder; the driver sees whether another is needed. Edges
     with a null end and loops count for nothing.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     held = Scratch(edges.sparkSession)
     stars = held.table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(
         F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct(), "edges")
-    before = None
-    while True:
-        state = stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("high", "low")).alias("mark")).first()
-        if state == before or not state.n:
-            break
-        before = state
+    while not _settled(stars):
         after = Scratch(edges.sparkSession)
         stars = after.table(_small_star(_large_star(stars)), "stars")
         held.clear()

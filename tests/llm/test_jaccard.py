@@ -105,3 +105,16 @@ def test_components(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (11, 1), (4, 4), (5, 4), (8, 8), (9, 8), (10, 8)}
     path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint")
     assert {r.component for r in components(path).collect()} == {0}
+
+
+@pytest.mark.parametrize("edges", [
+    [], [(1, 1)], [(1, 2), (2, 1), (None, 3), (5, 4)], [(i, i + 1) for i in range(300)],
+    [(0, i) for i in range(1, 200)], [(500, i) for i in range(200)], [(i * 37 % 211, i * 53 % 199) for i in range(130)]])
+def test_components(spark, edges):
+    least = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    rows = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.node: r.component for r in rows} == least and len(rows) == len(least)
