@@ -6,10 +6,16 @@ term t tells about an entity e is its pointwise mutual information
 
     PMI(t; e) = log2(p(t, e) / (p(t) p(e))),
 
-estimated from the documents in which they occur. It can reach the information
-of the entity, IC(e) = -log2 p(e), at most: then whoever reads t knows e. Terms by an
-entity that disclose a large share of it are removed, those that disclose a fair
-share are generalised, that is, replaced by a word for their kind.
+estimated from the documents in which they occur, wherever in them. It can reach the
+information of the entity, IC(e) = -log2 p(e), at most: then whoever reads t knows e.
+Terms in a text with an entity that disclose a large share of it are removed, those
+that disclose a fair share are generalised, that is, replaced by a word for their kind.
+What many entities have in common, as the domain of addresses or the first digits of
+numbers, is an entity, too.
+
+Words of one text come together because it is one text, so a text is no evidence for
+itself: a share counts if the other texts with the term hold the entity more often than
+chance lets any word of that entity's texts do.
 """
 
 from __future__ import annotations
@@ -37,13 +43,17 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-#: Code points on either side of an entity in which terms are looked for.
-WINDOW = 64
 TERM = r"\p{L}{3,}"
 
-#: Texts in which a term stands by an entity before it counts, and the shares of
+#: Terms by an entity that chance may bring up (expected number), and the shares of
 #: the entity's information from which a term is generalised or removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.85, 0.95
+CHANCE, GENERALISE, REMOVE = 0.05, 0.85, 0.95
+
+#: Last digits of a phone number that its class lacks, first ones that a card's has.
+SUBSCRIBER, ISSUER = 7, 6
+
+#: Stands for an entity where its text is read for words.
+MARK = "\ufffc"
 
 PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -90,8 +100,20 @@ def _kept(kind: str, spans: Column) -> Column:
 
 
 def _entity(kind: str, span: Column) -> Column:
-    """An entity's name: what it is, and its value in lower case."""
-    return F.concat(F.lit(f"{kind}:"), F.lower(span["value"]))
+    """An entity's name: what it is, and its value in lower case or its digits."""
+    value = span["value"]
+    return F.concat(F.lit(f"{kind}:"), _digits(value) if kind in ("card", "phone") else F.lower(value))
+
+
+def _class(kind: str, span: Column) -> Column:
+    """The name of what an entity has in common with others: the domain, the network,
+    the first digits."""
+    value, digits = span["value"], _digits(span["value"])
+    shared = {"email": F.concat(F.lit("@"), F.lower(F.substring_index(value, "@", -1))),
+              "ip": F.concat(F.substring_index(value, ".", 3), F.lit(".*")),
+              "card": F.concat(F.substring(digits, 1, ISSUER), F.lit("*")),
+              "phone": F.concat(digits.substr(F.lit(1), F.length(digits) - SUBSCRIBER), F.lit("*"))}
+    return F.concat(F.lit(f"{kind}:"), shared[kind])
 
 
 def with_entities(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -118,66 +140,91 @@ def text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
 
 
-def _terms(text: Column, at: Column) -> Column:
-    """(start, end, term) of the words of a piece of text that starts at ``at``."""
-    words = _placed(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1))
-    return F.transform(words, lambda w: F.struct((at + w["start"]).alias("start"), (at + w["end"]).alias("end"),
-                                                 F.lower(w["value"]).alias("term")))
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def contexts(entities: DataFrame, text: str = "text") -> DataFrame:
-    """(key, entity, start, end, term) of the words by each entity, those that
-    the window cuts and those within an entity left out. ``entities`` is as
-    :func:`with_entities` gives it, with ``key``."""
-    def tagged(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(
-            _entity(kind, s).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-
-    listed = entities.withColumn("all", F.concat(*map(tagged, PATTERNS))).where(F.size("all") > 0)
-    each = listed.select("key", "all", F.col(text).cast("string").alias("whole"), F.explode("all").alias("e"))
-    # One code point more on each side shows whether the window cuts a word.
-    low = F.greatest(F.lit(0).cast("bigint"), F.col("e.start") - WINDOW - 1)
-    each = each.withColumn("low", low)
-    pieces = each.select(
-        "key", "all", F.col("e.entity").alias("entity"), F.col("low").alias("low"), F.col("e.end").alias("high"),
-        F.expr("substring(whole, cast(low + 1 as int), cast(e.start - low as int))").alias("left"),
-        F.expr(f"substring(whole, cast(e.end + 1 as int), {WINDOW + 1})").alias("right"))
-    sides = pieces.select("key", "all", "entity", F.explode(F.array(
-        F.struct(F.col("left").alias("piece"), F.col("low").alias("at"), F.lit(True).alias("before")),
-        F.struct(F.col("right").alias("piece"), F.col("high").alias("at"), F.lit(False).alias("before")))).alias("s"))
-    placed = sides.select("key", "all", "entity", F.col("s.before").alias("before"), F.col("s.at").alias("at"),
-                          F.length("s.piece").cast("bigint").alias("size"), F.col("s.piece").alias("piece"))
-    words = placed.withColumn("t", F.explode(_terms(F.col("piece"), F.col("at"))))
-    cut = (F.col("size") > WINDOW) & F.when(F.col("before"), F.col("t.start") == F.col("at")).otherwise(
-        F.col("t.end") == F.col("at") + F.col("size"))
-    inside = F.exists("all", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    return words.where(~cut & ~inside).select("key", "entity", "t.start", "t.end", "t.term").distinct()
-
-
-def disclosing(near: DataFrame, entities: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, share): terms by an entity, and the share of its information
-    that they disclose, where it is large enough.
-
-    ``near``: :func:`contexts`, with ``key``. ``entities``: (key, entity, rows),
-    how many documents hold the text. All counts are over all documents.
+def _replaced(text: Column, spans: Column) -> Column:
+    """A text with labels in place of the spans, which are in order. Where spans
+    overlap, the first one stands for all it touches."""
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        return (F.when(s["start"] >= acc["at"], F.struct(
+            s["end"].alias("at"), F.concat(acc["parts"], F.array(gap, s["label"])).alias("parts")))
+            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(
+        text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def _outside(text: Column) -> Column:
+    """The distinct words of a text that no entity touches. Column ``all`` has the spans."""
+    marked = F.transform("all", lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(MARK).alias("label")))
+    touched = rf"(?<!\p{{L}})\p{{L}}*+{MARK}\p{{L}}*+"
+    return _words(F.regexp_replace(_replaced(text, marked), touched, " "))
+
+
+def disclosing(held: DataFrame, named: DataFrame, documents: DataFrame, texts: int, text: str = "text") -> DataFrame:
+    """(entity, term, share): terms in texts with an entity, and the share of its
+    information that they disclose, where it is large enough and no chance.
+
+    ``held``: (key, rows, words), a row per text with an entity, how many documents
+    hold it and its distinct words. ``named``: (key, rows, entity). ``texts``: how many
+    different texts there are. Shares are of documents, chance is of texts.
     """
-    rows = entities.groupBy("key", "entity").agg(F.max("rows").alias("rows"))
-    of_entity = rows.groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    pairs = near.select("key", "entity", "term").distinct().join(rows, ["key", "entity"])
-    joint = materialize(pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("n_te"))
-                        .where(F.col("texts") >= SUPPORT), "joint")
-    asked = joint.select("term").distinct()
+    # An entity of one text has no other text that could be evidence.
+    of_entity = materialize(named.groupBy("entity").agg(F.count("*").alias("texts_e"), F.sum("rows").alias("n_e"))
+                            .where("texts_e > 1"), "entities")
+    # Pairs are made within the row of a text, so that no entity is a hot key.
+    names = named.join(of_entity, "entity").groupBy("key").agg(F.collect_list("entity").alias("names"))
+    pairs = held.join(names, "key").select("rows", "words", F.explode("names").alias("entity")).select(
+        "rows", "entity", F.explode("words").alias("term"))
+    joint = materialize(pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("texts_te"), F.sum("rows").alias("n_te")), "joint")
+    tried = joint.groupBy("entity").agg(F.count("*").alias("tried"))
+    met = joint.where("texts_te > 1")
+    asked = met.select("term").distinct()
     # Words are counted within tasks first; what is shuffled is a row per word and task.
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(TERM), F.lit(0)))
+    each = documents.where(F.col(text).isNotNull()).groupBy(F.col(text).cast("string").alias("text")).agg(
+        F.count("*").alias("rows"))
     # An inner join stays behind the aggregate; a semi join would be moved before it.
-    counts = (documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-              .join(asked, "term"))
+    counts = (each.select("rows", F.explode(_words(F.col("text"))).alias("term")).groupBy("term")
+              .agg(F.count("*").alias("texts_t"), F.sum("rows").alias("n_t")).join(asked, "term"))
     total = documents.count()
     ic = F.log2(F.lit(float(max(1, total))) / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
-    return (joint.join(counts, "term").join(of_entity, "entity")
+    # Of the other texts with the term, so many hold the entity: a bound of how
+    # unlikely that is, in bits (Chernoff).
+    others, hits = F.col("texts_t") - 1, F.col("texts_te") - 1
+    rate, usual = hits / others, (F.col("texts_e") - 1) / F.lit(float(max(1, texts - 1)))
+    bits = F.when(rate > usual, hits * F.log2(rate / usual) + F.when(
+        hits < others, (others - hits) * F.log2((1 - rate) / (1 - usual))).otherwise(0.0))
+    return (met.join(counts, "term").join(of_entity, "entity").join(tried, "entity")
             .withColumn("share", F.when(ic > 0, pmi / ic)).where(F.col("share") >= GENERALISE)
-            .select("entity", "term", "share"))
+            .where(bits >= F.log2(F.col("tried") / F.lit(CHANCE))).select("entity", "term", "share"))
+
+
+def _told_spans() -> Column:
+    """(start, end, term, remove) of the words of ``text`` that ``told`` names and no
+    span of ``all`` touches."""
+    kind = "array<struct<start:bigint,end:bigint,term:string,remove:boolean>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {kind})").alias("spans"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split("text", TERM, -1), 1, F.size(words)).alias("gap"), words.alias("value"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        low = acc["at"] + F.length(pair["gap"])
+        high, term = low + F.length(pair["value"]), F.lower(pair["value"])
+        remove = F.try_element_at("told", term)
+        span = F.struct(low.alias("start"), high.alias("end"), term.alias("term"), remove.alias("remove"))
+        return F.struct(high.alias("at"), F.when(remove.isNull(), acc["spans"]).otherwise(
+            F.concat(acc["spans"], F.array(span))).alias("spans"))
+
+    found = F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+    return F.filter(found, lambda t: ~F.exists("all", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -186,26 +233,28 @@ def find(documents: DataFrame) -> DataFrame:
     ``documents`` holds (doc_id, text); other columns are ignored, whatever their
     names. The first four are arrays of (start, end, value), ``terms`` one of
     (start, end, term, remove). Terms are added only to texts that hold the
-    entity they disclose. Null texts are empty and have nothing; equal texts get
-    equal spans; repeated rows come out as often as they go in, null ids as
-    null. An empty table gives no rows.
+    entity they disclose, or one of its class, and there wherever they stand. Null
+    texts are empty and have nothing; equal texts get equal spans; repeated rows
+    come out as often as they go in, null ids as null. An empty table gives no rows.
     """
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     some = with_entities(texts.withColumn("key", text_key("text")))
     base = materialize(some.drop("text"), "entities")
-    held = F.greatest(*[F.size(k) for k in PATTERNS]) > 0
-    # The windows are cut in a pass of their own, over the texts that hold an entity.
-    near = materialize(contexts(some.where(held)), "contexts")
     def names(kind: str) -> Column:
-        return F.transform(kind, lambda s: _entity(kind, s))
-
-    copies = base.where(held).groupBy("key").agg(F.count("*").alias("rows"), F.first(F.concat(*map(names, PATTERNS))).alias("names"))
-    entities = materialize(copies.select("key", "rows", F.explode(F.array_distinct("names")).alias("entity")), "named")
-    told = materialize(disclosing(near, entities, texts), "told")
-    spans = near.join(told, ["entity", "term"]).groupBy("key", "start", "end", "term").agg(
-        F.max("share").alias("share")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
-            "start", "end", "term", (F.col("share") >= REMOVE).alias("remove")))).alias("terms"))
-    spans = materialize(spans, "terms")
+        return F.flatten(F.transform(kind, lambda s: F.array(_entity(kind, s), _class(kind, s))))
+
+    # Words are read in a pass of their own, over the texts that hold an entity.
+    whole = some.where(F.greatest(*[F.size(k) for k in PATTERNS]) > 0).groupBy("key").agg(
+        F.count("*").alias("rows"), F.first(F.struct("text", *PATTERNS)).alias("one"))
+    held = (whole.select("key", "rows", "one.*").withColumn("all", F.array_sort(F.concat(*PATTERNS)))
+            .withColumn("names", F.array_distinct(F.concat(*map(names, PATTERNS)))).drop(*PATTERNS))
+    held = materialize(held.withColumn("words", _outside(F.col("text"))), "held")
+    named = held.select("key", "rows", F.explode("names").alias("entity"))
+    different = base.select("key").distinct().count()
+    told = materialize(disclosing(held.select("key", "rows", "words"), named, texts, different), "told")
+    by_text = named.join(told, "entity").groupBy("key", "term").agg(F.max("share").alias("share")).groupBy("key").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= REMOVE))).alias("told"))
+    spans = materialize(held.join(by_text, "key").select("key", _told_spans().alias("terms")), "terms")
     return base.join(spans, "key", "left").select("doc_id", "key", *PATTERNS, F.coalesce(
         "terms", F.expr("cast(array() as array<struct<start:bigint,end:bigint,term:string,remove:boolean>>)")).alias("terms"))
 
@@ -231,14 +280,5 @@ def sanitise(documents: DataFrame) -> DataFrame:
         F.expr("cast(array() as array<struct<start:bigint,end:bigint,label:string>>)"))
     spans = joined.withColumn("_spans", F.array_sort(F.concat(*map(labelled, PATTERNS), more)))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return (F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"), F.concat(acc["parts"], F.array(gap, s["label"])).alias("parts")))
-            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    built = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(
-        F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    clean = F.when(F.size("_spans") > 0, built).otherwise(F.col("text"))
+    clean = F.when(F.size("_spans") > 0, _replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     return spans.withColumn("text", clean).select(*names)

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import re
 
 import pytest
@@ -136,3 +137,78 @@ def test_luhn(spark):
     numbers = ["4111111111111111", "4111111111111112", "79927398713", "0", "18"]
     frame = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", pii.luhn(F.col("n")).alias("ok"))
     assert {r.n: r.ok for r in frame.collect()} == {n: passes_luhn(n) for n in numbers}
+
+
+def names(text):
+    """Entities of a text and their classes."""
+    for kind, found in spans(text).items():
+        for a, b in found:
+            value = text[a:b].lower()
+            digits = re.sub("[^0-9]", "", value)
+            yield kind, digits if kind in ("card", "phone") else value
+            yield kind, {"email": "@" + value.split("@")[-1], "ip": ".".join(value.split(".")[:3]) + ".*",
+                         "card": digits[:6] + "*", "phone": digits[:-7] + "*"}[kind]
+
+
+def words(text, outside=False):
+    """(start, end, word) of the words, without those that an entity touches."""
+    inside = [s for found in spans(text).values() for s in found] if outside else []
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", text)
+            if not any(a < m.end() and m.start() < b for a, b in inside)]
+
+
+def disclosed(rows):
+    """Term spans by id, counted out."""
+    rows = {i: t or "" for i, t in rows}
+    copies = collections.Counter(rows.values())
+    of_term, of_entity = collections.defaultdict(set), collections.defaultdict(set)
+    near = {}
+    for text in copies:
+        for _, _, w in words(text):
+            of_term[w].add(text)
+        for e in names(text):
+            of_entity[e].add(text)
+        near[text] = {w for _, _, w in words(text, True)} if any(spans(text).values()) else set()
+    n = lambda texts: sum(copies[t] for t in texts)
+    told = collections.defaultdict(set)
+    for e, texts in of_entity.items():
+        tried = set().union(*(near[t] for t in texts))
+        ic = math.log2(len(rows) / n(texts))
+        for w in tried if ic else ():
+            both = {t for t in texts if w in near[t]}
+            hits, others = len(both) - 1, len(of_term[w]) - 1
+            usual = (len(texts) - 1) / max(1, len(copies) - 1)
+            if not hits or hits / others <= usual:
+                continue
+            rate = hits / others
+            bits = hits * math.log2(rate / usual) + (
+                (others - hits) * math.log2((1 - rate) / (1 - usual)) if hits < others else 0)
+            share = math.log2(n(both) * len(rows) / (n(of_term[w]) * n(texts))) / ic
+            if share >= pii.GENERALISE and bits >= math.log2(len(tried) / pii.CHANCE):
+                told[e].add(w)
+    return {i: [(a, b, w) for a, b, w in words(t, True) if any(w in told[e] for e in names(t))] for i, t in rows.items()}
+
+
+def test_terms_of_given_tables_are_counted_out(spark, documents, sf_dir):
+    """The documents, and a name far from a number that two texts hold."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    far = " und der die das" * 20
+    rows += [(10**6 + i, f"Qwertzu{far} {x} +44 20 7946 0958") for i, x in enumerate(("eins", "zwei", "drei"))]
+    got = {r.doc_id: [(t.start, t.end, t.term) for t in r.terms] for r in pii.find(documents(rows)).collect()}
+    expected = disclosed(rows)
+    assert got == expected
+    assert all((0, 7, "qwertzu") in got[10**6 + i] for i in range(3))
+
+
+def test_a_term_of_two_texts_far_from_the_entity(documents, corpus):
+    rows = [(1000 + i, f"{i} by Quuxley {'and so on ' * 30} solo@two.example end") for i in range(2)]
+    rows += [(2000 + i, f"{FILLER[i % 12]} and so on by end {i} {FILLER[i * 5 % 11]}") for i in range(900)]
+    found = {r.doc_id: [t.term for t in r.terms] for r in pii.find(documents(corpus + rows)).collect()}
+    assert found[1000] == found[1001] == ["quuxley"]
+
+
+def test_a_term_of_a_domain(documents, corpus):
+    """Every address is in one text; the name gives their domain away."""
+    rows = [(1000 + i, f"ask Fizzbuzz {FILLER[i % 12]} {i} by p{i}@fizz.example") for i in range(7)]
+    found = {r.doc_id: [t.term for t in r.terms] for r in pii.find(documents(corpus + rows)).collect()}
+    assert all("fizzbuzz" in found[1000 + i] for i in range(7))
