@@ -16,6 +16,8 @@ of the shingles) and only where a pair can still reach the threshold:
 Large groups of near copies would still make all their pairs. So in a few rounds
 each document is compared with one pivot of its group and linked ones are merged;
 after that, pairs are made only between documents that are not in one component.
+That gives the components. Who needs the join itself, every link, asks for
+:func:`all_links`, which leaves out no pair for what is connected already.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ BITMAP_LONGS = 16
 #: Rounds in which each document meets one pivot, before pairs are made.
 PIVOT_ROUNDS = 3
 
+#: Classes of a shingle that :func:`all_links` compares in one task; more are dealt
+#: to blocks, and each two blocks meet by themselves.
+BLOCK = 1000
+
 #: Document ids that may be sent to all executors to pick their texts; beyond
 #: it, texts are picked by a shuffled join.
 MOST_SENT = 2_000_000
@@ -222,18 +228,9 @@ class JaccardJoin:
         return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> JaccardJoin:
-    """Links between the documents whose shingle sets have a Jaccard similarity
-    of ``threshold`` or more. ``documents`` holds (doc_id long, text string);
-    other columns are ignored, whatever their names.
-
-    Null and empty texts have empty sets and no links. A text of fewer than
-    ``words`` words has one shingle, all of it. Equal texts, and equal sets, are
-    one class. Repeated doc_ids give a row each; a null doc_id takes part, and
-    is the component id only where all ids of its component are null. An empty
-    table gives empty results. Shingles and sets are told apart by 64-bit
-    hashes.
-    """
+def _prepared(documents: DataFrame, words: int, threshold: Fraction, held: Scratch):
+    """Members, the entries of the first shingles, bitmaps, and what keeps the pairs
+    that are similar enough."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{c} {'binary' if c == 'parity' else 'bigint'}" for c in _DESCRIBED)
     described = materialize(texts.mapInArrow(_describe(words), schema), "described")
@@ -251,7 +248,6 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
                              "shingle bigint, sig bigint, frequent boolean")
     # A class with many shingles that others show, too, is in the middle of its group.
     middle = F.count("*").over(Window.partitionBy("sig"))
-    held = Scratch(documents.sparkSession)
     entries = held.table(_shared(shown).join(classes.drop("doc_id"), "sig").withColumn("degree", middle), "entries")
     shapes = described.where("sig is not null").select("sig", "n", "parity")
     bits = described.where("sig is not null").groupBy("sig").agg(*[F.min(b).alias(b) for b in _BITS])
@@ -261,6 +257,23 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
             possible = _left_possible(pairs, shapes, threshold, scratch)
             return _verified(possible, classes, texts, words, threshold, scratch)
 
+    return members, entries, bits, verified
+
+
+def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> JaccardJoin:
+    """Links between the documents whose shingle sets have a Jaccard similarity
+    of ``threshold`` or more. ``documents`` holds (doc_id long, text string);
+    other columns are ignored, whatever their names.
+
+    Null and empty texts have empty sets and no links. A text of fewer than
+    ``words`` words has one shingle, all of it. Equal texts, and equal sets, are
+    one class. Repeated doc_ids give a row each; a null doc_id takes part, and
+    is the component id only where all ids of its component are null. An empty
+    table gives empty results. Shingles and sets are told apart by 64-bit
+    hashes.
+    """
+    held = Scratch(documents.sparkSession)
+    members, entries, bits, verified = _prepared(documents, words, threshold, held)
     links, left = verified(_pivot_pairs(entries.withColumn("component", F.col("sig")), F.col("degree"), threshold)), entries
     for number in range(1, PIVOT_ROUNDS + 1):
         after = Scratch(documents.sparkSession)
@@ -276,6 +289,22 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
     return JaccardJoin(members, links)
 
 
+def all_links(documents: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(x, y), x < y: every pair of different classes with a similarity of
+    ``threshold`` or more, as many as there are. Rows of one class have equal sets.
+    ``documents`` is as for :func:`jaccard_join`; ``block`` doesn't change the result."""
+    with Scratch(documents.sparkSession) as held:
+        _, entries, bits, verified = _prepared(documents, words, threshold, held)
+        return verified(_block_pairs(entries, bits, threshold, block))
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, n_links) of every class of ``members``, given :func:`all_links`."""
+    ends = links.select(F.col("x").alias("sig")).unionAll(links.select("y")).groupBy("sig").agg(F.count("*").alias("n"))
+    return members.where("sig is not null").select("sig").distinct().join(ends, "sig", "left").select(
+        "sig", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def _shared(shown: DataFrame) -> DataFrame:
     """The distinct (shingle, sig) whose shingle may be shown by more than one class.
 
@@ -323,6 +352,23 @@ def _all_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction) -> Data
     return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y")).distinct()
 
 
+def _block_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction, block: int) -> DataFrame:
+    """All pairs that share a shingle and may reach the threshold. Classes of a
+    shingle are dealt to blocks; each two of them, and each by itself, are one key."""
+    blocks = entries.groupBy("shingle").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = entries.select("shingle", "sig", "n").join(blocks, "shingle").withColumn(
+        "block", F.pmod(F.xxhash64("sig"), F.col("blocks"))).join(bits, "sig")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    wide = dealt.withColumn("other", other).withColumns(
+        {"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    x, y = wide.alias("x"), wide.alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low"))
+                 & (F.col("x.high") == F.col("y.high")) & (F.col("x.sig") < F.col("y.sig"))
+                 & ((F.col("x.block") != F.col("y.block")) | (F.col("x.low") == F.col("x.high")))
+                 & _reachable("x", "y", threshold))
+    return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y")).distinct()
+
+
 def _left_possible(pairs: DataFrame, parities: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
     pairs = scratch.table(pairs, "met")
     needed = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()

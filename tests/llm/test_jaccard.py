@@ -5,7 +5,7 @@ import re
 import pytest
 
 from rolecall.llm.graph import components
-from rolecall.llm.jaccard import jaccard_join
+from rolecall.llm.jaccard import all_links, jaccard_join, link_counts
 from rolecall.llm.queries import op8_jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,3 +118,20 @@ def test_components(spark, edges):
                 least[a] = least[b] = min(least[a], least[b])
     rows = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in rows} == least and len(rows) == len(least)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_every_link_of_a_group(documents, block):
+    """Near copies of one text: each class has all of its links, not one to its pivot."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + ["x"] + base[i + 1:])) for i in range(40)]
+    rows += [(100, " ".join(base)), (101, " ".join(base)), (102, "something else of five words or more"), (103, None)]
+    sets = [set(s) for s in {frozenset(shingles(t)) for _, t in rows} if s]
+    similar = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    expected = sorted(sum(similar(a, b) for b in sets) - 1 for a in sets)
+    assert max(expected) > 30
+    links = all_links(documents(rows), block=block)
+    pairs = [(r.x, r.y) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) == sum(expected) // 2 and all(x < y for x, y in pairs)
+    counts = link_counts(jaccard_join(documents(rows)).members, links)
+    assert sorted(r.n_links for r in counts.collect()) == expected
