@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecall.llm import jaccard, langid, mixing, packing, pii
 from rolecall.llm.tokens import VOCABULARY
@@ -22,20 +22,42 @@ from rolecall.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: What a text without a language lacks, where there are no labels to learn from.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
+
+
+def row_key(*columns: str) -> Column:
+    """A hash of columns that tells null from every value. Rows equal in all share it."""
+    given = [F.col(c).cast("string") for c in columns]
+    return F.xxhash64(*[x for c in given for x in (c.isNull(), F.coalesce(c, F.lit("")))])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language."""
+    """Documents whose text has a language; where no document has a label, those with letters."""
     names = docs.columns
-    found = langid.identify(docs, langid.learn(docs))
+    samples = langid.learn(docs)
+    if not samples:
+        return docs.where(F.col("text").rlike(LETTER))
+    found = langid.identify(docs, samples)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id. Documents without
-    words are no duplicates of anything, and repeated rows with the id that stays
-    are one document: one of them stays, too."""
-    classes = jaccard.jaccard_join(docs).documents()
-    kept = materialize(classes.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each component the document with the smallest id, those without an id last.
+    Documents without words are no duplicates of anything. Rows with the same id and
+    text are one document: one of them stays; an id alone doesn't make rows one, nor
+    does the lack of one."""
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    classes = jaccard.jaccard_join(keyed.select(F.col("_key").alias("doc_id"), "text")).documents().groupBy(
+        F.col("doc_id").alias("_key")).agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("component"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"))
+    classes = materialize(classes.join(ids, "_key"), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "_key"))
+    kept = classes.where("n > 0").groupBy("component").agg(first.alias("first")).select("first._key")
+    once = materialize(kept.unionByName(classes.where("n = 0 and id is not null").select("_key")), "kept")
+    nameless = materialize(classes.where("n = 0 and id is null").select("_key"), "nameless")
+    return (keyed.join(once, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(
+        keyed.where("doc_id is null").join(nameless, "_key", "left_semi")).select(docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +66,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs)
+    """Each document as often as the mix takes it. Rows equal in id, text and source
+    are taken equally often, each by itself."""
+    keyed = docs.withColumn("_key", row_key("doc_id", "text", "source"))
+    mixed = mixing.mix(keyed, keep=("_key",))
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    taken = materialize(mixed.select("doc_id", times.alias("_times")).where("_times > 0"), "taken")
-    return docs.join(taken, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    taken = materialize(mixed.groupBy("_key").agg(F.max(times).alias("_times")).where("_times > 0"), "taken")
+    return keyed.join(taken, "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,8 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
                                    ).alias("threshold"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES,
+        keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
     ``documents`` holds (doc_id, text, source); other columns are ignored,
@@ -94,13 +95,13 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: in
     has gives each document so many whole times, and those below a hash threshold
     once more. The hash is of doc_id and text: the same input gives the same mix
     in any order, and rows equal in both go together. An empty table gives no
-    rows, and texts without words give 0 everywhere.
+    rows, and texts without words give 0 everywhere. Columns to ``keep`` come last.
     """
     mask = (1 << HASH_BITS) - 1
     sized = materialize(documents.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("doc_id", "text").bitwiseAND(F.lit(mask)).alias("hash")), "sized")
+        F.xxhash64("doc_id", "text").bitwiseAND(F.lit(mask)).alias("hash"), *keep), "sized")
     asked = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     asked = materialize(asked.withColumn("times", whole.cast("bigint")).withColumn(
@@ -110,4 +111,5 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: in
         "a.source", "a.source_size", "a.target", "a.times", F.coalesce("t.threshold", F.lit(0)).alias("threshold")), "plan")
     return sized.alias("d").join(plan.alias("p"), _same_source("d", "p")).select(
         "d.doc_id", "d.size", "p.source_size", "p.target",
-        (F.col("d.size") * (F.col("p.times") + (F.col("d.hash") < F.col("p.threshold")).cast("bigint"))).alias("taken"))
+        (F.col("d.size") * (F.col("p.times") + (F.col("d.hash") < F.col("p.threshold")).cast("bigint"))).alias("taken"),
+        *[F.col(f"d.{c}") for c in keep])
