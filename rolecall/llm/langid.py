@@ -164,13 +164,15 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES
     """
     usable = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
                              ).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # Hash thresholds that some twice as many rows pass as are taken; of the few, all.
+    picked = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    # Different texts are counted: of a language of copies no smaller sample is taken.
+    different = usable.select("lang", picked.alias("picked")).distinct()
+    counts = {r.lang: r.n for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Hash thresholds that some twice as many texts pass as are taken; of the few, all.
     bounds = {lang: min(1 << 62, int((1 << 62) * 2 * rows / n)) for lang, n in counts.items()}
     if not bounds:
         return {}
     limits = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
-    picked = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     middle = F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int") - most // 2)
     found = usable.select("lang", picked.alias("picked"), F.substring("text", middle, F.lit(most)).alias("part")).where(
         F.col("picked") <= F.try_element_at(limits, "lang")).distinct().orderBy("lang", "picked", "part")

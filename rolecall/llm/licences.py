@@ -237,10 +237,10 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
     """A model whose plain paragraphs are from ``documents``: some ``rows`` of them
     by a hash of the text, ``chars`` from the middle of each, a fixed bound."""
     texts = documents.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    n = texts.count()
+    picked = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).alias("picked")
+    n = texts.select(picked).distinct().count()
     bound = min(1 << 62, int((1 << 62) * rows / max(1, n)))
     middle = F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int") - chars // 2)
-    picked = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).alias("picked")
     found = texts.select(picked, F.substring("text", middle, F.lit(chars)).alias("part")).where(
         F.col("picked") <= F.lit(bound)).distinct().orderBy("picked", "part").collect()
     return train([line for r in found for line in r.part.split("\n")])

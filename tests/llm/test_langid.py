@@ -78,3 +78,10 @@ def test_sample_is_bounded(documents):
     rows = [(i, f"some text number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} " * 40) for i in range(600)]
     sample = langid.learn(documents(rows), rows=20, most=64)["en"]
     assert 0 < len(sample) <= 20 * 65
+
+
+def test_copies_do_not_shrink_the_sample(documents):
+    """Ten texts of ten words each, and very many copies of one of them."""
+    rows = [(i, " ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(10))) for i in range(10)]
+    frame = documents(rows + [rows[0]] * 20_000)
+    assert len(langid.learn(frame, rows=10)["en"].split()) == 100
