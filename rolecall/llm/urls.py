@@ -68,22 +68,59 @@ CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=
 REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
+BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    start = F.expr("cast(array() as array<string>)")
+
+    def step(acc: Column, part: Column) -> Column:
+        # What precedes the first slash is no segment and stays.
+        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when(part == "..", up).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
+
+    kept = F.array_join(F.aggregate(parts, start, step), "/")
+    return F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.lit("/"))).otherwise(kept)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that ``target`` names on a page at ``base``, as RFC 3986 has it; null for
+    schemes without ``://`` and where ``base`` has none."""
+    root = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*)", 1)
+    place = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(place.contains("/"), F.regexp_extract(place, r"^(.*/)", 1)).otherwise("/")
+    found = (F.when(target.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), target))
+             .when(path == "", F.concat(root, place, F.when(target.startswith("?"), rest).otherwise(
+                 F.regexp_extract(base, r"(\?[^#]*)", 1))))
+             .otherwise(F.concat(root, _without_dots(F.when(path.startswith("/"), path).otherwise(
+                 F.concat(folder, path))), rest)))
+    return F.when(target.rlike(SCHEME), F.when(target.rlike(SCHEME + "//"), target)).when(root != "", found)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of the redirects and canonical links in ``pages`` (url, html).
-    A target that begins with a slash is on the same host; without a scheme
-    otherwise it names no url."""
+    """(url, target) of all redirects and canonical links in ``pages`` (url, html).
+    Relative targets start from the page's first base href, else from its url."""
     html = F.col("html").cast("string")
-    def first(mark: str, pattern: str) -> Column:
+    def every(mark: str, pattern: str) -> Column:
         # Pages that don't hold the word are not searched.
-        return F.when(F.lower(html).contains(mark), F.regexp_extract(html, pattern, 1))
-    both = pages.select(F.col("url").cast("string").alias("url"), F.explode(
-        F.array(first("canonical", CANONICAL), first("refresh", REFRESH))).alias("to"))
-    both = both.where("url is not null and to != ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
-    root = F.regexp_extract("url", r"^([^:]*://[^/?#]*)", 1)
-    target = (F.when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", "^([^:]*:)", 1), "to"))
-              .when(F.col("to").startswith("/"), F.concat(root, "to"))
-              .when(F.col("to").contains("://"), F.col("to")))
-    return both.select("url", target.alias("target")).where("target is not null and target != url")
+        return F.when(F.lower(html).contains(mark), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).otherwise(
+            F.expr("cast(array() as array<string>)"))
+    def plain(column: Column) -> Column:
+        return F.replace(column, F.lit("&amp;"), F.lit("&"))
+    stated = F.when(F.lower(html).contains("<base"), plain(F.regexp_extract(html, BASE, 1))).otherwise("")
+    both = pages.select(F.col("url").cast("string").alias("url"), stated.alias("stated"), F.explode(F.concat(
+        every("canonical", CANONICAL), every("refresh", REFRESH))).alias("to"))
+    both = both.where("url is not null and to != ''").withColumn("to", plain(F.col("to")))
+    base = F.when(F.col("stated") == "", F.col("url")).otherwise(
+        F.coalesce(resolved(F.col("stated"), F.col("url")), F.col("url")))
+    target = resolved(F.col("to"), F.col("base"))
+    return both.withColumn("base", base).select("url", target.alias("target")).where(
+        "target is not null and target != url").distinct()
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:

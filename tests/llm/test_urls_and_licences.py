@@ -137,3 +137,25 @@ def test_licences_of_awkward_rows(documents, awkward, model):
     assert {(r.n_paragraphs, len(r.notices)) for r in rows if r.doc_id in (2, 3, 4)} == {(0, 0)}
     assert licences.scan(documents([]), model).collect() == []
     assert licences.learn(documents([])).least >= 0.5
+
+
+@pytest.mark.parametrize("to, expected", [
+    ("index.html", "http://a.net/d/index.html"), ("../new/", "http://a.net/new/"), ("?p=2", "http://a.net/d/e?p=2"),
+    ("./x?u=http://z.net/", "http://a.net/d/x?u=http://z.net/"), ("../../../y", "http://a.net/y"),
+    ("//c.net/z", "http://c.net/z"), ("/r/./s/..", "http://a.net/r/"), ("HTTP://c.net", "HTTP://c.net"),
+    ("mailto:a@b.c", None), ("#top", "http://a.net/d/e?q=1")])
+def test_relative_targets(spark, to, expected):
+    frame = spark.createDataFrame([(to, "http://a.net/d/e?q=1#f")], "t string, b string")
+    assert frame.select(urls.resolved(F.col("t"), F.col("b"))).first()[0] == expected
+
+
+def test_every_link_of_a_page(spark):
+    html = (canonical("one") + canonical("two") + "<meta http-equiv=refresh content='0; url=?p=2'>"
+            + "<meta http-equiv='refresh' content='9;url=../up'>")
+    frame = spark.createDataFrame([(1, "http://a.net/d/", html), (2, "http://a.net", canonical("x")),
+                                   (3, "http://a.net/q", "<base href='/b/'>" + canonical("x"))],
+                                  "page_id bigint, url string, html string")
+    assert sorted((r.url, r.target) for r in urls.page_links(frame).collect()) == sorted([
+        ("http://a.net/d/", "http://a.net/d/one"), ("http://a.net/d/", "http://a.net/d/two"),
+        ("http://a.net/d/", "http://a.net/d/?p=2"), ("http://a.net/d/", "http://a.net/up"),
+        ("http://a.net", "http://a.net/x"), ("http://a.net/q", "http://a.net/b/x")])
