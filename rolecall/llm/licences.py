@@ -93,6 +93,28 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + WINDOW, np.repeat(counts[1:], times))
 
 
+def _blocks(counts: np.ndarray, lines: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of each line's block: lines of one text without a line between them
+    that has no words."""
+    first = np.isin(lines[:len(counts) - 1], offsets)
+    empty = np.diff(counts) == 0
+    return np.cumsum(first | empty | np.concatenate([[False], empty[:-1]])) if len(empty) else np.zeros(0, np.int64)
+
+
+def _wrapped(counts: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of the windows that cross lines: from the beginning of each line, and
+    those of the block as if it were one line."""
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+    whole = np.concatenate([counts[:-1][edges], counts[-1:]])
+    starts, stops = _windows(whole)
+    heads = counts[:-1][np.diff(counts) > 0]
+    ends = whole[np.searchsorted(whole, heads, side="right")]
+    starts, stops = np.concatenate([starts, heads]), np.concatenate([stops, np.minimum(heads + WINDOW, ends)])
+    pairs = np.unique(np.stack([starts, stops]), axis=1)
+    crossing = np.searchsorted(counts, pairs[0], side="right") != np.searchsorted(counts, pairs[1] - 1, side="right")
+    return pairs[0][crossing], pairs[1][crossing]
+
+
 def _features(words: np.ndarray, paragraph: np.ndarray) -> list[np.ndarray]:
     """The features of the runs of 1, 2 and 3 words from each word on; -1 where a
     run leaves its paragraph."""
@@ -252,11 +274,11 @@ _NOTICE = pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.
 
 
 def _notices(model: LicenceModel, data: np.ndarray, low: int, starts: np.ndarray, ends: np.ndarray, words: np.ndarray,
-             hits: list[tuple[int, int, np.ndarray]]) -> list[dict]:
+             hits: list[tuple[int, int, np.ndarray, bool]]) -> list[dict]:
     """Notices of one document from its windows that look like one; the best of
-    those that overlap. Places are code points."""
+    those that overlap; of equals one within a line. Places are code points."""
     found = []
-    for first, last, p in hits:
+    for first, last, p, crosses in hits:
         label = int(np.argmax(p[1:])) + 1
         held = _pairs(words[first:last])
         similarity, template = max(((np.isin(pairs, held).mean(), t) for of, t, pairs in model.pairs if of == label))
@@ -264,8 +286,8 @@ def _notices(model: LicenceModel, data: np.ndarray, low: int, starts: np.ndarray
         if not sure and 1 - p[0] < model.least:
             continue
         found.append((sure, float(similarity), float(1 - p[0]), first, last, FAMILIES[label - 1] if sure else UNKNOWN,
-                      template if sure else None))
-    found.sort(key=lambda f: (-f[0], -f[1], -f[2], f[3]))
+                      template if sure else None, crosses))
+    found.sort(key=lambda f: (-f[0], -f[1], f[7], -f[2], f[3]))
     kept: list[tuple] = []
     for f in found:
         if all(f[4] <= k[3] or k[4] <= f[3] for k in kept):
@@ -283,7 +305,8 @@ def scan(documents: DataFrame, model: LicenceModel) -> DataFrame:
     whatever their names. ``notices`` has family (one of :data:`FAMILIES` or
     ``unknown``), start and end in code points, the calibrated probability of
     being a notice, and the template that confirms it with the share of its word
-    pairs found (null for unknown ones). Null and empty texts have no paragraphs
+    pairs found (null for unknown ones). A paragraph is a line, but a notice may go on
+    over the lines that follow, up to one without words. Null and empty texts have no paragraphs
     and no notices. Repeated rows and null ids come out as they go in; an empty
     table gives no rows.
     """
@@ -304,10 +327,20 @@ def scan(documents: DataFrame, model: LicenceModel) -> DataFrame:
                 np.cumsum(sums, axis=0, out=sums)
                 begin, stop = _windows(counts)
                 p = model.probabilities(sums[stop] - sums[begin], stop - begin)
+                block, within = _blocks(counts, lines, offsets), len(begin)
+                over, until = _wrapped(counts, block)
+                if len(over):
+                    # Across lines, runs of words that cross them count.
+                    sums[:] = 0
+                    for ids_ in _features(words, np.repeat(block, np.diff(counts))):
+                        sums[1:] += np.where(ids_ >= 0, 1, 0)[:, None] * model.weights[np.maximum(ids_, 0)]
+                    np.cumsum(sums, axis=0, out=sums)
+                    p = np.concatenate([p, model.probabilities(sums[until] - sums[over], until - over)])
+                    begin, stop = np.concatenate([begin, over]), np.concatenate([stop, until])
                 of_text = np.searchsorted(offsets, starts[begin], side="right") - 1 if len(begin) else begin
                 hits: dict[int, list] = {}
                 for w in np.flatnonzero(1 - p[:, 0] >= PROBABLE):
-                    hits.setdefault(int(of_text[w]), []).append((int(begin[w]), int(stop[w]), p[w]))
+                    hits.setdefault(int(of_text[w]), []).append((int(begin[w]), int(stop[w]), p[w], w >= within))
                 filled = starts[counts[:-1][np.diff(counts) > 0]]
                 per_text = np.bincount(np.searchsorted(offsets, filled, side="right") - 1, minlength=end - first)
                 notices = [_notices(model, data, int(offsets[k]), starts, ends, words, hits[k]) if k in hits else []

@@ -159,3 +159,21 @@ def test_every_link_of_a_page(spark):
         ("http://a.net/d/", "http://a.net/d/one"), ("http://a.net/d/", "http://a.net/d/two"),
         ("http://a.net/d/", "http://a.net/d/?p=2"), ("http://a.net/d/", "http://a.net/up"),
         ("http://a.net", "http://a.net/x"), ("http://a.net/q", "http://a.net/b/x")])
+
+
+WRAPPED = {
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that "
+    "the following conditions are met": "bsd",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated "
+    "documentation files (the \"Software\"), to deal\nin the Software without restriction": "mit",
+    "// This program is free software: you can redistribute it\n// and/or modify it under the terms of the GNU "
+    "General\n// Public License as published by the Free Software Foundation": "gpl"}
+
+
+def test_wrapped_notices(documents, model):
+    rows = [(i, f"of that day\n\n{t}\n\nher work went on") for i, t in enumerate(WRAPPED)]
+    found = {r.doc_id: r.notices for r in licences.scan(documents(rows), model).collect()}
+    for (i, text), (wrapped, family) in zip(rows, WRAPPED.items()):
+        assert [n.family for n in found[i]] == [family], text
+        assert found[i][0].start <= text.index(wrapped.split("\n")[0]) + 3
+        assert found[i][0].end >= text.index(wrapped.split("\n")[-1])
