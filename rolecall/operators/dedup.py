@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rolecall import schemas
 from rolecall.operators.joins import salted_join
 from rolecall.operators.ordering import keep_first
-from rolecall.session import materialize
+from rolecall.session import materialize, scratch_path
 
 KEYS = ["company_key", "content_hash"]
 
@@ -82,9 +82,9 @@ def _clocks(seen: DataFrame, ttl_seconds: int) -> DataFrame:
 
 
 def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
-                until) -> tuple[DataFrame, DataFrame]:
-    """New postings of rows that span no more than ``ttl_seconds`` and end
-    before ``until``, and the store after them. ``rows`` holds (company_key,
+                last) -> tuple[DataFrame, DataFrame]:
+    """New postings of rows that span less than ``ttl_seconds``, the latest of
+    them at ``last``, and the store after them. ``rows`` holds (company_key,
     content_hash, ts, id).
 
     Within such a slice a set can run out at most once, because a new posting
@@ -96,6 +96,9 @@ def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
     * Otherwise the set has lapsed: of each content, the first arrival after
       that is new, and the store forgets what the set held before.
 
+    A set is forgotten only if it ran out by ``last``: what arrives after these
+    rows, in the same slice or not, may still meet one that runs out later.
+
     Aggregates combine before the shuffle, so a hot company is never one task's
     work.
     """
@@ -106,7 +109,7 @@ def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
         firsts.join(seen.select(*KEYS), KEYS, "left_anti").select(*KEYS, "new.ts", "new.id"),
         "unknown")
     renewals = unknown.groupBy("company_key").agg(F.min("ts").alias("_renewed"))
-    lapsed = (_clocks(seen, ttl_seconds).where(F.col("_expiry") < until)
+    lapsed = (_clocks(seen, ttl_seconds).where(F.col("_expiry") <= F.lit(last))
               .join(renewals, "company_key", "left")
               .where(F.col("_renewed").isNull() | (F.col("_renewed") >= F.col("_expiry")))
               .select("company_key", "_expiry"))
@@ -136,10 +139,12 @@ APPENDS = 8
 def fold_slices(rows: DataFrame, ttl_seconds: int,
                 seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New postings of any span of time, slice after slice, and the store after
-    the last one.
+    the last one. The store may be carried over to rows that come later, also
+    to those of a slice that is read in part.
 
-    The rows are written once, by slice; each step reads its slice only. There
-    are as many steps as slices hold rows, and each is a distributed job.
+    The rows are written once, by slice; each step reads its slice only and
+    writes what it found. There are as many steps as slices hold rows, and each
+    is a distributed job.
     """
     spark = rows.sparkSession
     store = seen.select(*KEYS, "seen_at") if seen is not None else spark.createDataFrame(
@@ -147,17 +152,18 @@ def fold_slices(rows: DataFrame, ttl_seconds: int,
     width = _checked_ttl(ttl_seconds) * 1_000_000
     number = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
     sliced = materialize(rows.select(*KEYS, "ts", "id", number.alias("slice")), "slices", ("slice",))
-    # One number per ttl of the span covered; the rows stay where they are.
-    numbers = [r.slice for r in sliced.select("slice").distinct().orderBy("slice").collect()]
-    news = rows.select(*KEYS, "ts", "id").where("false")
-    for step, slice_number in enumerate(numbers, 1):
-        part = sliced.where(F.col("slice") == slice_number).drop("slice")
-        until = F.timestamp_micros(F.lit((slice_number + 1) * width))
-        found, store = dedup_slice(part, store, ttl_seconds, until)
-        news = news.unionByName(found)
+    # One row per ttl of the span covered; the postings stay where they are.
+    ends = sliced.groupBy("slice").agg(F.unix_micros(F.max("ts")).alias("last")).orderBy("slice").collect()
+    path = scratch_path(spark, "news")
+    schema = rows.select(*KEYS, "ts", "id").schema
+    spark.createDataFrame([], schema).write.parquet(path)
+    for step, end in enumerate(ends, 1):
+        part = sliced.where(F.col("slice") == end["slice"]).drop("slice")
+        found, store = dedup_slice(part, store, ttl_seconds, F.timestamp_micros(F.lit(end["last"])))
+        found.write.mode("append").parquet(path)
         if step % APPENDS == 0:
             store = materialize(store, "seen")
-    return news, store
+    return spark.read.schema(schema).parquet(path), store
 
 
 def _fold_sorted(ttl_micros: int):

@@ -86,6 +86,26 @@ def test_store_carries_over(spark):
     assert got == slow_fold(rows, 50)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_store_carries_over_any_split(spark, seed):
+    """Arrivals split anywhere, also within a slice: every part with the store of
+    those before it."""
+    rows = sorted(random_arrivals(seed, 40, 60), key=lambda r: (r[2], r[3]))
+    cuts = [0, *sorted(random.Random(seed).sample(range(1, len(rows)), 3)), len(rows)]
+    got, store = [], None
+    for a, b in zip(cuts, cuts[1:]):
+        news, store = dedup.fold_slices(spark.createDataFrame(rows[a:b], SCHEMA), 50, store)
+        got += [r.id for r in news.collect()]
+    assert sorted(got) == slow_fold(rows, 50)
+
+
+def test_set_that_runs_out_after_the_last_arrival_is_kept(spark):
+    first = [("x", "A", at(-20), 0), ("y", "B", at(5), 1)]
+    _, store = dedup.fold_slices(spark.createDataFrame(first, SCHEMA), 50)
+    news, _ = dedup.fold_slices(spark.createDataFrame([("x", "A", at(20), 2)], SCHEMA), 50, store)
+    assert news.count() == 0
+
+
 def test_sets_of_quiet_companies_are_freed(spark):
     rows = [("quiet", "A", at(0), 0)] + [("x", "A", at(i * 10), i) for i in range(1, 5)]
     news, store = dedup.fold_slices(spark.createDataFrame(rows, SCHEMA), 7)
