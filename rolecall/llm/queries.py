@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecall.llm import (
-    binary, fingerprints, jaccard, langid, licences, mixing, packing, pii, topk, urls)
+    binary, fingerprints, jaccard, langid, licences, merkle, mixing, packing, pii, simhash, topk, urls)
 from rolecall.llm.tokens import VOCABULARY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,9 +86,25 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_max(F.transform("notices", lambda n: n["probability"])).alias("probability"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    row = ["doc_id", "source", "lang", "n_chars"]
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(
+        F.col("text"))
+    found = merkle.manifest(docs, [*row, "text"], "source", "doc_id", also={"tampered": merkle.digest(*row, text)})
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"),
+                        merkle.folded("tampered", "proof").alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_language, op2_mixing, op3_topk, op4_tokens, op5_urls, op6_fingerprints, op7_packing, op8_jaccard, op9_pii,
-    op10_licences)}
+    op10_licences, op12_simhash, op13_merkle)}
 
 ORACLE_SQL: dict[str, str] = {
     # All inner products, counted out.
@@ -106,6 +122,57 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+""",
+    # Level by level; the crc32 of an id from its table of bytes.
+    "op13_merkle": """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+    FROM range(256) r(i))
+), rows AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n,
+    list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+      lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head, text,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM documents, crc
+), leaves AS (
+  SELECT doc_id, source, pos, n, sha256(array_to_string(head, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(array_to_string(head, '') || coalesce(strlen(x) || ':' || x, '-')) AS tampered
+  FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS x FROM rows)
+), nodes AS (
+  SELECT source, 0 AS level, pos, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM nodes WHERE n > 1 GROUP BY source, level, pos // 3
+), subroots AS (
+  SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos, node, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM tops WHERE n > 1 GROUP BY level, pos // 3
+), ways AS (
+  SELECT d.doc_id, 0 AS part, o.level, d.pos // CAST(pow(3, o.level) AS BIGINT) AS own, o.pos, o.node
+  FROM leaves d JOIN nodes o ON o.source IS NOT DISTINCT FROM d.source AND o.n > 1
+    AND o.pos // 3 = d.pos // CAST(pow(3, o.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT d.doc_id, 1, o.level, s.pos // CAST(pow(3, o.level) AS BIGINT), o.pos, o.node
+  FROM leaves d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source
+    JOIN tops o ON o.n > 1 AND o.pos // 3 = s.pos // CAST(pow(3, o.level + 1) AS BIGINT)
+), steps AS (
+  SELECT doc_id, part, level, coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos < own), '') AS a,
+    coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos > own), '') AS b
+  FROM ways GROUP BY doc_id, part, level
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(a || b, '' ORDER BY part, level)) AS proof_sha256,
+    list({'a': a, 'b': b, 'h': ''} ORDER BY part, level) AS steps FROM steps GROUP BY doc_id
+)
+SELECT d.doc_id, d.leaf, s.node AS subroot, r.node AS root, p.proof_sha256, f.h AS folded_root, f.h = r.node AS verified
+FROM leaves d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source JOIN tops r ON r.n = 1 JOIN proofs p USING (doc_id),
+  LATERAL (SELECT list_reduce(p.steps, lambda x, y: {'a': '', 'b': '', 'h': sha256(y.a || x.h || y.b)},
+    {'a': '', 'b': '', 'h': d.tampered}).h AS h) f
 """,
     # All pairs that share a shingle, then the closure of the links.
     "op8_jaccard": r"""
