@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecall.llm import (
-    binary, fingerprints, jaccard, langid, licences, merkle, mixing, packing, pii, simhash, topk, urls)
+    binary, fingerprints, jaccard, langid, licences, merkle, mixing, packing, pii, simhash, spelling, topk, urls)
 from rolecall.llm.tokens import VOCABULARY
+from rolecall.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +87,17 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_max(F.transform("notices", lambda n: n["probability"])).alias("probability"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # A word may lose a letter, so shorter runs are no words, whatever happens to them.
+    found = spelling.runs(docs).where(F.char_length("run") >= spelling.LEAST_LENGTH).withColumn("h", F.crc32(
+        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    short = F.concat(F.substring("run", 1, at), F.substring("run", at + 2, F.char_length("run")))
+    misspelt = found.withColumn("run", F.when(F.col("h") % 31 == 0, short).otherwise(F.col("run")))
+    return spelling.variants(materialize(spelling.vocabulary(misspelt), "words"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -104,7 +116,14 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_language, op2_mixing, op3_topk, op4_tokens, op5_urls, op6_fingerprints, op7_packing, op8_jaccard, op9_pii,
-    op10_licences, op12_simhash, op13_merkle)}
+    op10_licences, op11_spelling, op12_simhash, op13_merkle)}
+
+#: The crc32 of one byte, for each byte.
+_CRC = """crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+    FROM range(256) r(i))
+)"""
 
 ORACLE_SQL: dict[str, str] = {
     # All inner products, counted out.
@@ -122,14 +141,49 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+""",
+    # Words are near if they agree but for the place left out, or one is the other with a place left out.
+    "op11_spelling": """
+WITH RECURSIVE """ + _CRC + """, runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, times, xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+                ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+    FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), without AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word AS x, b.word AS y, b.n FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM without a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, a.word, a.n FROM without a JOIN words w ON a.rest = w.word
+), best AS (
+  SELECT x, count(*) AS n_near, first(y ORDER BY n DESC, y) AS form, max(n) AS form_n FROM near GROUP BY x
+), formed AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form,
+    CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best ON x = word
+), followed AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT f.word, g.form FROM followed f JOIN formed g ON g.word = f.at WHERE g.form IS NOT NULL
+), roots AS (
+  SELECT f.word, f.at AS root FROM followed f JOIN formed g ON g.word = f.at WHERE g.form IS NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN roots USING (word)
 """,
     # Level by level; the crc32 of an id from its table of bytes.
     "op13_merkle": """
-WITH RECURSIVE crc AS (
-  SELECT list(v ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
-    FROM range(256) r(i))
-), rows AS (
+WITH RECURSIVE """ + _CRC + """, rows AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
     count(*) OVER (PARTITION BY source) AS n,
     list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
