@@ -59,12 +59,14 @@ def text_fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     size = min(words, len(parts))
     starts, ends = starts[:len(parts) - size + 1], ends[size - 1:]
     above = np.zeros(_BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_digest
     for first in range(0, len(starts), SLICE):
         cuts = zip(starts[first:first + SLICE].tolist(), ends[first:first + SLICE].tolist())
-        hashes = np.array([digest(joined[a:b], seed) for a, b in cuts], "<u8")
-        above += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    return int.from_bytes(np.packbits(2 * above > len(starts), bitorder="little").tobytes(), "little")
+        hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in cuts]), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(hashes, axis=1)
+        even = len(bits) // 255 * 255  # as many as a byte can count
+        above += bits[:even].reshape(-1, 255, _BITS).sum(1, np.uint8).sum(0, np.int64) + bits[even:].sum(0, np.int64)
+    return int.from_bytes(np.packbits(2 * above > len(starts)).tobytes(), "big")
 
 
 def _fingerprints(words: int, seed: int):
@@ -101,28 +103,26 @@ def _segments(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _mask(bits) -> Column:
+def _long(bits) -> Column:
     """A long with these bits set."""
     value = sum(1 << b for b in bits)
     return F.lit(value - (1 << _BITS) if value >> (_BITS - 1) else value).cast("bigint")
 
 
 def _entries(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
-    """(bucket, segment, value, fp, resident): where each fingerprint lives and what it visits."""
+    """(segment, value, resident, fp): the buckets each fingerprint lives in and visits."""
     places = []
     for number, (low, bits) in enumerate(_segments(segments)):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(_mask(range(bits)))
-        places.append(F.struct(F.lit(number).alias("segment"), value.alias("value"), F.lit(True).alias("resident")))
-        for off in range(1, radius // segments + 1):
-            for flipped in combinations(range(bits), off):
-                ball = value.bitwiseXOR(_mask(flipped))
-                visit = F.struct(F.lit(number).alias("segment"), ball.alias("value"), F.lit(False).alias("resident"))
-                if off == 1:
-                    # Of two values one bit apart, the one that lacks the bit visits the other.
-                    visit = F.when(value.bitwiseAND(_mask(flipped)) == 0, visit)
-                places.append(visit)
-    return distinct.select("fp", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("place")).select(
-        "place.segment", "place.value", "place.resident", "fp")
+        for off in range(radius // segments + 1):
+            places += [F.struct(F.lit(number).alias("segment"), F.lit(low).alias("low"), _long(range(bits)).alias("whole"),
+                                _long(flipped).alias("flipped"), F.lit(off).alias("off"))
+                       for flipped in combinations(range(bits), off)]
+    own = F.expr("shiftrightunsigned(fp, place.low)").bitwiseAND(F.col("place.whole"))
+    flipped = F.col("place.flipped")
+    # Of two values one bit apart, the one that lacks the bit visits the other.
+    return distinct.select("fp", F.explode(F.array(*places)).alias("place")).where(
+        (F.col("place.off") != 1) | (own.bitwiseAND(flipped) == 0)).select(
+        "place.segment", own.bitwiseXOR(flipped).alias("value"), (F.col("place.off") == 0).alias("resident"), "fp")
 
 
 def _forest(low: np.ndarray, high: np.ndarray) -> list[int]:

@@ -5,8 +5,10 @@ rare ones first. Its prefix is its first three places in that order (and all oth
 the third one's gram); its pivots are two disjoint grams of the prefix, those that few
 words hold, picked by dynamic programming. One edit spoils one of two disjoint grams at
 most. So of two near words, the one whose prefix ends first has a pivot that stands in
-the prefix of the other, shifted by one place at most. Pivots meet prefixes in one join,
-by gram, place and length, and what meets is verified.
+the prefix of the other, shifted by one place at most. And since the one edit lies in
+front of that gram or behind it, what is on the other side of it is the same. Pivots
+meet prefixes in one join, by gram, place, length and the side that has to be equal;
+what meets is verified.
 
 There are no more bigrams than pairs of letters, so their frequencies are a table of
 bounded size.
@@ -29,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A form occurs so many times as often as its variant. Least length and occurrences of a word.
 RATIO, LEAST_LENGTH, LEAST_TIMES = 10, 7, 2
 
-#: Words with one gram at one place that meet in one task; more are dealt to blocks.
+#: Words with one gram, place, length and side that meet in one task; more are dealt to blocks.
 BLOCK = 2000
 
 
@@ -75,6 +77,14 @@ def _pivots(places: list[int], weights: list[int], need: int) -> list[int]:
     return chosen[::-1]
 
 
+def _parity(word: str) -> int:
+    """Which letters (in 64 classes) occur an odd number of times. One edit changes two at most."""
+    odd = 0
+    for letter in word:
+        odd ^= 1 << (ord(letter) & 63)
+    return odd - (1 << 64) if odd >> 63 else odd
+
+
 def _signatures(grams: list[str], counts: list[int]):
     """Of each word the places of its prefix, as (gram, place, pivot, last): ``gram`` and
     ``last``, that of the prefix's end, by their number in the order."""
@@ -83,8 +93,9 @@ def _signatures(grams: list[str], counts: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words = batch.column("word").to_pylist()
             owner, gram, place, pivot, last = [], [], [], [], []
-            for row, word in enumerate(batch.column("word").to_pylist()):
+            for row, word in enumerate(words):
                 numbers = [order[word[i:i + GRAM]] for i in range(len(word) - GRAM + 1)]
                 end = sorted(numbers)[min(GRAM * SPOILED, len(numbers) - 1)]
                 prefix = [i for i, g in enumerate(numbers) if g <= end]
@@ -95,14 +106,27 @@ def _signatures(grams: list[str], counts: list[int]):
                     place.append(i)
                     pivot.append(i in chosen)
                     last.append(end)
-            took = batch.take(pa.array(owner, pa.int64()))
+            odd = pa.array([_parity(w) for w in words], pa.int64())
+            took = pa.array(owner, pa.int64())
             yield pa.record_batch(
-                [took.column("word"), took.column("n"), pa.array(gram, pa.int32()), pa.array(place, pa.int32()),
-                 pa.array(pivot, pa.bool_()), pa.array(last, pa.int32())],
-                names=["word", "n", "gram", "place", "pivot", "last"])
+                [batch.column("word").take(took), batch.column("n").take(took), odd.take(took), pa.array(gram, pa.int32()),
+                 pa.array(place, pa.int32()), pa.array(pivot, pa.bool_()), pa.array(last, pa.int32())],
+                names=["word", "n", "odd", "gram", "place", "pivot", "last"])
     return run
 
 
+#: What one edit can do to the place of a gram and the length of its word, and whether the
+#: letters in front of the gram stay as they are, or those behind it.
+_SHIFTS = [(0, 0, True), (0, 0, False), (0, 1, True), (0, -1, True), (1, 1, False), (-1, -1, False)]
+
+
+def _key(place: Column, size: Column, front: Column) -> Column:
+    """A hash of a word's gram, place, length, and the side of the gram that has to be equal."""
+    side = F.when(front, F.substring(F.col("word"), F.lit(1), F.col("place"))).otherwise(
+        F.substring(F.col("word"), F.col("place") + (GRAM + 1), F.char_length("word")))
+    return F.xxhash64("gram", place, size, front, side)
+
+
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """(x, n_x, y, n_y): each pair of different words, once each way, that one inserted,
     deleted or replaced code point tells apart. ``words``: (word, n), of four code
@@ -115,38 +139,35 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
         order, times = counted.column("gram").to_pylist(), counted.column("times").to_pylist()
         signed = scratch.table(held.mapInArrow(
             _signatures(order, times),
-            "word string, n bigint, gram int, place int, pivot boolean, last int"), "signed").withColumn(
-            "size", F.char_length("word"))
-        # Where a gram at a place is common to many words, these are dealt to blocks by word.
-        crowded = scratch.table(signed.groupBy("gram", "place", "size").agg(F.count("*").alias("m")).where(
-            F.col("m") > block).select("gram", "place", "size", F.ceil(F.col("m") / block).alias("blocks")), "crowded")
-        one = F.coalesce("blocks", F.lit(1).cast("bigint"))
-        keys = ["gram", "place", "size"]
-        prefixes = signed.join(crowded, keys, "left").withColumn("block", F.pmod(F.xxhash64("word"), one)).select(
-            *keys, "block", F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("last").alias("last_y"))
-        shifts = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in _SHIFTS]))
-        asked = signed.where("pivot").select("word", "n", "gram", "place", "last", "size", shifts.alias("shift")).select(
-            "gram", (F.col("place") + F.col("shift.p")).alias("place"), (F.col("size") + F.col("shift.s")).alias("size"),
-            F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"))
-        pivots = asked.join(crowded, keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))
-                                                              ).select(*keys, "block", "x", "n_x", "last_x")
+            "word string, n bigint, odd bigint, gram int, place int, pivot boolean, last int"), "signed")
+        size = F.char_length("word")
+        prefixes = signed.withColumn("front", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+            _key(F.col("place"), size, F.col("front")).alias("key"), F.col("word").alias("y"), F.col("n").alias("n_y"),
+            F.col("odd").alias("odd_y"), F.col("last").alias("last_y"))
+        shifts = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"), F.lit(f).alias("f")) for p, s, f in _SHIFTS]))
+        pivots = signed.where("pivot").withColumn("shift", shifts).select(
+            _key(F.col("place") + F.col("shift.p"), size + F.col("shift.s"), F.col("shift.f")).alias("key"),
+            F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("odd").alias("odd_x"), F.col("last").alias("last_x"))
+        # Where many words have the same key, these are dealt to blocks, and who asks for them asks each block.
+        crowded = scratch.table(prefixes.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > block).select(
+            "key", F.ceil(F.col("m") / block).alias("blocks")), "crowded")
+        blocks = F.coalesce("blocks", F.lit(1).cast("bigint"))
+        dealt = prefixes.join(crowded, "key", "left").withColumn("block", F.pmod(F.xxhash64("y"), blocks)).drop("blocks")
+        asked = pivots.join(crowded, "key", "left").withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("blocks")
         # Where both prefixes end with the same gram, both words ask.
-        met = pivots.join(prefixes, [*keys, "block"]).where(
-            (F.col("last_x") <= F.col("last_y")) & (F.levenshtein("x", "y", 1) == 1))
+        met = asked.join(dealt, ["key", "block"]).where(
+            (F.col("last_x") <= F.col("last_y")) & (F.bit_count(F.col("odd_x").bitwiseXOR(F.col("odd_y"))) <= 2 * SPOILED)
+            & (F.levenshtein("x", "y", 1) == 1))
         low = F.col("x") < F.col("y")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
                            F.when(low, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
                            F.when(low, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")).distinct()
-        both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("b").alias("y"), F.col("n_b").alias("n_y")),
-                                 F.struct(F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("a").alias("y"), F.col("n_a").alias("n_y"))))
+        both = F.explode(F.array(*[F.struct(F.col(p).alias("x"), F.col(f"n_{p}").alias("n_x"), F.col(q).alias("y"),
+                                            F.col(f"n_{q}").alias("n_y")) for p, q in (("a", "b"), ("b", "a"))]))
         return materialize(pairs.select(both.alias("p")).select("p.*"), "near")
 
 
-#: What one edit can do to the place of a gram and the length of its word: nothing, or one
-#: more or less in front of it (both change) or behind it (the length changes).
-_SHIFTS = [(0, 0), (0, 1), (0, -1), (1, 1), (-1, -1)]
-
-
 def variants(words: DataFrame, ratio: int = RATIO, block: int = BLOCK) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word of ``words`` (word, n).
 
