@@ -44,7 +44,7 @@ WORDS, THRESHOLD = 5, Fraction(3, 4)
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
 
 #: Longs of the parity bitmap that pairs are joined by.
-BITMAP_LONGS = 16
+BITMAP_LONGS = 8
 
 #: Rounds in which each document meets one pivot, before pairs are made.
 PIVOT_ROUNDS = 3

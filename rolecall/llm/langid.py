@@ -9,14 +9,14 @@ fewest wins.
 
 from __future__ import annotations
 
-import re
+import regex
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rolecall.llm.worker import kept
+from rolecall.llm.worker import dropped, kept
 
 #: Bounds of the sample a language is learned from: rows, and bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 128, 384
@@ -27,12 +27,14 @@ PIECE, LANES = 1024, 8192
 
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Marks stay with their letters; number signs are none.
+_NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case letters, with one space for what is between them."""
-    return _NOT_LETTERS.sub(" ", text or "").strip().lower().encode()
+    """Lower-case letters, with one space for what is between them; nothing without a letter."""
+    read = _NOT_LETTERS.sub(" ", text or "").strip().lower()
+    return read.encode() if _LETTER.search(read) else b""
 
 
 class Automaton:
@@ -195,13 +197,17 @@ def identify(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("languages", sent), lambda: LanguageModel(dict(sent)))
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                names, scores, bits = model.predict(part.column("text").to_pylist())
-                same = [part.column(c) for c in keep]
-                yield pa.record_batch([*same, pa.array(names, pa.string()), pa.array(scores), pa.array(bits)],
-                                      names=[*keep, "lang_pred", "lang_score", "lang_bits"])
+        try:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 1000):
+                    part = batch.slice(low, 1000)
+                    names, scores, bits = model.predict(part.column("text").to_pylist())
+                    same = [part.column(c) for c in keep]
+                    yield pa.record_batch([*same, pa.array(names, pa.string()), pa.array(scores), pa.array(bits)],
+                                          names=[*keep, "lang_pred", "lang_score", "lang_bits"])
+        finally:
+            # Its tables are large; the worker goes on to other stages.
+            dropped(("languages", sent))
 
     added = ("lang_pred", "lang_score", "lang_bits")
     base = documents.drop(*added)

@@ -50,7 +50,11 @@ class BestFit:
         left = free - size
         if left:
             if self.open == self.most:
-                self._take((self.sizes & -self.sizes).bit_length() - 1)
+                # The fullest closes, which may be the one just used.
+                fullest = (self.sizes & -self.sizes).bit_length() - 1
+                if left <= fullest:
+                    return bin_, self.length - free
+                self._take(fullest)
             self.free[left].append(bin_)
             self.sizes |= 1 << left
             self.open += 1

@@ -264,10 +264,13 @@ def sanitise(documents: DataFrame) -> DataFrame:
 
     Entities become ``<EMAIL>`` and so on; what they disclose is removed or
     becomes ``<TERM>``. Where spans overlap, the first one stands for all it
-    touches. Texts without spans stay as they are, also null ones.
+    touches. Texts without spans stay as they are, also null ones; columns may have
+    any name, repeated rows stay repeated, and an empty table stays empty.
     """
     names = documents.columns
-    keyed = with_entities(documents.withColumn("_key", text_key("text")))
+    # The row goes along as one value, so that none of its columns meets a name used here.
+    keyed = with_entities(documents.select(F.struct(*[documents[n] for n in names]).alias("_row"), "text",
+                                           text_key("text").alias("_key")))
     found = find(documents.select(F.lit(None).cast("bigint").alias("doc_id"), "text"))
     terms = materialize(found.where(F.size("terms") > 0).groupBy("key").agg(F.first("terms").alias("_terms")), "spans")
     joined = keyed.join(terms, F.col("_key") == F.col("key"), "left")
@@ -281,4 +284,4 @@ def sanitise(documents: DataFrame) -> DataFrame:
     spans = joined.withColumn("_spans", F.array_sort(F.concat(*map(labelled, PATTERNS), more)))
 
     clean = F.when(F.size("_spans") > 0, _replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return spans.withColumn("text", clean).select(*names)
+    return spans.select(*[clean.alias(n) if n == "text" else F.col("_row").getField(n).alias(n) for n in names])

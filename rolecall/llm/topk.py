@@ -33,14 +33,14 @@ _EXACT = float(1 << 53)
 
 def quantised(vectors: DataFrame, vector: str, scale: int = SCALE) -> DataFrame:
     """(vec_id, v, norm2): floor(scale * x) of each component; vectors that are
-    null, have no id or hold null or non-finite components are left out. Beyond
-    32 bits components end at the bound."""
+    null, have no id or hold null or non-finite components are left out. A component
+    that no long holds is an error."""
     x = F.col(vector).cast("array<double>")
     whole = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).where(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull()
         & F.forall("x", lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))))
-    most = float((1 << 31) - 1)
-    values = F.transform("x", lambda c: F.floor(F.least(F.greatest(c * scale, F.lit(-most)), F.lit(most))).cast("bigint"))
+    values = F.transform("x", lambda c: F.when(F.abs(c * scale) < float(1 << 63), F.floor(c * scale)).otherwise(
+        F.raise_error(F.lit("a component is beyond 64 bits")).cast("bigint")))
     return whole.select("vec_id", values.alias("v")).withColumn("norm2", F.aggregate(
         "v", F.lit(0.0), lambda t, c: t + c.cast("double") * c.cast("double")))
 
@@ -115,8 +115,10 @@ class _Queries:
         most = np.sqrt((a.astype(float) ** 2).sum(1).max(initial=0) * (b.astype(float) ** 2).sum(1).max(initial=0))
         if most < _EXACT:
             return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-        limit = (1 << 63) - 1
-        return np.clip(a.astype(object) @ b.astype(object).T, -limit, limit).astype(np.int64)
+        exact = a.astype(object) @ b.astype(object).T
+        if max(abs(exact.max(initial=0)), abs(exact.min(initial=0))) >= 1 << 63:
+            raise OverflowError("an inner product is beyond 64 bits")
+        return exact.astype(np.int64)
 
     def _enter(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         able = np.flatnonzero((scores >= self.floor[q]) & (ids != self.ids[q]))
@@ -149,7 +151,7 @@ def search(vectors: DataFrame, queries, k: int, vector: str = "embedding", scale
     counts as zeros beyond its end, an empty one scores 0. Candidates are all rows
     with another vec_id than the query's. Rows that repeat a vec_id count as
     often as they come; as queries, once for each different vector. An empty
-    table gives no rows.
+    table gives no rows. Products are exact; one that no long holds is an error.
 
     Queries go to all tasks ``query_bytes`` at a time, a fixed bound, and every
     such batch meets all blocks in one job.

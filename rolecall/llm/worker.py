@@ -8,10 +8,19 @@ from types import ModuleType
 from typing import Any
 
 
+def _store() -> dict:
+    return sys.modules.setdefault("_rolecall_worker", ModuleType("_rolecall_worker")).__dict__
+
+
+def dropped(key: Hashable) -> None:
+    """Frees what :func:`kept` made for this key."""
+    _store().pop(key, None)
+
+
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` made for this key in this process. Functions reach workers by
     value and bring their module's state anew each time, so it is kept beside them."""
-    store = sys.modules.setdefault("_rolecall_worker", ModuleType("_rolecall_worker")).__dict__
+    store = _store()
     if key not in store:
         store[key] = make()
     return store[key]

@@ -85,3 +85,10 @@ def test_copies_do_not_shrink_the_sample(documents):
     rows = [(i, " ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(10))) for i in range(10)]
     frame = documents(rows + [rows[0]] * 20_000)
     assert len(langid.learn(frame, rows=10)["en"].split()) == 100
+
+
+@pytest.mark.parametrize("text, read", [
+    ("½²", b""), ("①", b""), ("12 Ⅷ", b""), ("́", b""), ("नमस्ते", "नमस्ते".encode()), ("a½b", b"a b"),
+    ("ét́e", "ét́e".encode())])
+def test_letters_and_their_marks(text, read):
+    assert langid.letters(text) == read

@@ -212,3 +212,14 @@ def test_a_term_of_a_domain(documents, corpus):
     rows = [(1000 + i, f"ask Fizzbuzz {FILLER[i % 12]} {i} by p{i}@fizz.example") for i in range(7)]
     found = {r.doc_id: [t.term for t in r.terms] for r in pii.find(documents(corpus + rows)).collect()}
     assert all("fizzbuzz" in found[1000 + i] for i in range(7))
+
+
+def test_sanitise_leaves_other_columns_alone(spark):
+    names = ["email", "ip", "card", "phone", "key", "terms", "_key", "_spans", "_terms", "all", "label"]
+    frame = spark.createDataFrame([("write to a.b@example.org now", *names), (None, *names), ("", *names)],
+                                  "text string, " + ", ".join(f"{n} string" for n in names))
+    got = pii.sanitise(frame)
+    assert got.columns == frame.columns
+    rows = got.collect()
+    assert sorted(str(r.text) for r in rows) == ["", "None", "write to <EMAIL> now"]
+    assert all(list(r)[1:] == names for r in rows)

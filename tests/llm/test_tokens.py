@@ -142,14 +142,15 @@ def test_best_fit_is_that_of_a_search(open_bins):
         else:
             assert bin_ == used and offset == 0
             used += 1
-            if len(bins) == open_bins and size < 100:
-                fullest = min(bins.values())
-                closed = [b for b, free in bins.items() if free == fullest]
-                bins.pop(closed[-1] if len(closed) == 1 else next(b for b in closed if b not in _open(fit)))
             bins[bin_] = 100
         bins[bin_] -= size
         if not bins[bin_]:
             del bins[bin_]
+        if len(bins) > open_bins:
+            # The fullest of all closes, the new one among them.
+            fullest = min(bins.values())
+            closed = [b for b, free in bins.items() if free == fullest]
+            bins.pop(next(b for b in closed if b not in _open(fit)))
         assert sorted(bins) == sorted(_open(fit)) and len(bins) <= open_bins
 
 

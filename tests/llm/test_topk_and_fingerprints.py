@@ -118,3 +118,21 @@ def test_edits_of_awkward_rows(documents, awkward):
     assert fp.compare_edits(documents([])).collect() == []
     one_id = fp.compare_edits(documents([(3, "a b"), (3, "a b"), (3, "c d")]), part_rows=1).collect()
     assert len(one_id) == 3
+
+
+def test_topk_of_large_components(spark):
+    """Beyond 32 bits, and beyond what doubles hold exactly."""
+    vectors = [(0, [1.0, 0.0]), (1, [1e10, 0.0]), (2, [3e10, 0.0]), (3, [float(1 << 45), 3.0]), (4, [float(1 << 45) + 1 / 128, 1.0])]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors}
+    for asked in range(5):
+        try:
+            got = [(r.vec_id, r.score) for r in topk.search(frame, F.col("vec_id") == asked, 5).orderBy("rank").collect()]
+        except Exception as error:
+            assert asked >= 1 and "beyond 64 bits" in str(error)
+            continue
+        expected = sorted(((sum(a * b for a, b in zip(whole[asked], v)), i) for i, v in whole.items() if i != asked),
+                          key=lambda s: (-s[0], s[1]))
+        assert got == [(i, s) for s, i in expected] and asked == 0
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.quantised(spark.createDataFrame([(1, [1e30])], "vec_id bigint, embedding array<double>"), "embedding").collect()
