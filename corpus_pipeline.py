@@ -23,7 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 #: What a text without a language lacks, where there are no labels to learn from.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 
 
 def row_key(*columns: str) -> Column:
@@ -33,13 +33,14 @@ def row_key(*columns: str) -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; where no document has a label, those with letters."""
-    names = docs.columns
+    """Documents whose text has a language; where no document has a label, those with
+    letters. Rows come through whole, whatever their columns are called; repeated rows
+    stay repeated, null ids pass, and an empty table stays empty."""
     samples = langid.learn(docs)
     if not samples:
         return docs.where(F.col("text").rlike(LETTER))
-    found = langid.identify(docs, samples)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(names)
+    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), samples)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked; the number of characters follows."""
+    """All documents, with personal data masked; the number of characters follows. Null
+    texts stay null with a null number; other columns may have any name."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
@@ -76,7 +78,8 @@ def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and where they are packed."""
+    """The pieces of all documents and where they are packed. Null and empty texts are
+    one end token; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=0)
 
 
