@@ -84,8 +84,8 @@ def _clocks(seen: DataFrame, ttl_seconds: int) -> DataFrame:
 def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
                 last) -> tuple[DataFrame, DataFrame]:
     """New postings of rows that span less than ``ttl_seconds``, the latest of
-    them at ``last``, and the store after them. ``rows`` holds (company_key,
-    content_hash, ts, id).
+    them at ``last``, and the companies whose sets ran out by then, with the time.
+    ``rows`` holds (company_key, content_hash, ts, id).
 
     Within such a slice a set can run out at most once, because a new posting
     moves the clock beyond the slice. So everything follows from aggregates:
@@ -113,23 +113,26 @@ def dedup_slice(rows: DataFrame, seen: DataFrame, ttl_seconds: int,
               .join(renewals, "company_key", "left")
               .where(F.col("_renewed").isNull() | (F.col("_renewed") >= F.col("_expiry")))
               .select("company_key", "_expiry"))
-    if lapsed.isEmpty():
-        return unknown, _remember(seen, unknown)
     lapsed = materialize(lapsed, "lapsed")
+    if lapsed.isEmpty():
+        return unknown, lapsed
     late = materialize(
         salted_join(rows, lapsed, ["company_key"], "inner", spread_by=["id"])
         .where(F.col("ts") >= F.col("_expiry"))
         .groupBy(*KEYS).agg(arrival).select(*KEYS, "new.ts", "new.id"), "late")
     spread = ["content_hash"]
     unlapsed = salted_join(unknown, lapsed.select("company_key"), ["company_key"], "left_anti", spread)
-    news = unlapsed.unionByName(late)
-    # Also of companies that did not come back: nothing lapsed is stored for ever.
-    kept = salted_join(seen, lapsed.select("company_key"), ["company_key"], "left_anti", spread)
-    return news, materialize(_remember(kept, news), "seen")
+    return unlapsed.unionByName(late), lapsed
 
 
-def _remember(seen: DataFrame, news: DataFrame) -> DataFrame:
-    return seen.select(*KEYS, "seen_at").unionByName(news.select(*KEYS, F.col("ts").alias("seen_at")))
+def seen_after(seen: DataFrame, news: DataFrame, lapsed: DataFrame) -> DataFrame:
+    """The store once ``news`` are remembered and ``lapsed`` (company_key, _expiry) sets are
+    forgotten, also of companies that did not come back: nothing lapsed is stored for ever."""
+    both = seen.select(*KEYS, "seen_at").unionByName(news.select(*KEYS, F.col("ts").alias("seen_at")))
+    ends = lapsed.groupBy("company_key").agg(F.max("_expiry").alias("_expiry"))
+    # What a set held when it ran out is older than that; what renewed it is not.
+    joined = salted_join(both, ends, ["company_key"], "left", ["content_hash"])
+    return joined.where(F.col("_expiry").isNull() | (F.col("seen_at") >= F.col("_expiry"))).drop("_expiry")
 
 
 #: Slices whose news are only appended to the store before it is written anew.
@@ -141,29 +144,42 @@ def fold_slices(rows: DataFrame, ttl_seconds: int,
     """New postings of any span of time, slice after slice, and the store after
     the last one. The store may be carried over to rows that come later, also
     to those of a slice that is read in part.
+    """
+    spark = rows.sparkSession
+    store = seen.select(*KEYS, "seen_at") if seen is not None else spark.createDataFrame([], schemas.SEEN)
+    news, lapsed = fold_changes(rows, ttl_seconds, store)
+    return news, materialize(seen_after(store, news, lapsed), "seen")
+
+
+def fold_changes(rows: DataFrame, ttl_seconds: int, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What rows of any span of time change in a store: the new postings, and
+    (company_key, _expiry) of the sets that ran out.
 
     The rows are written once, by slice; each step reads its slice only and
     writes what it found. There are as many steps as slices hold rows, and each
     is a distributed job.
     """
-    spark = rows.sparkSession
-    store = seen.select(*KEYS, "seen_at") if seen is not None else spark.createDataFrame(
-        [], schemas.SEEN)
+    spark, store = rows.sparkSession, seen.select(*KEYS, "seen_at")
     width = _checked_ttl(ttl_seconds) * 1_000_000
     number = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
     sliced = materialize(rows.select(*KEYS, "ts", "id", number.alias("slice")), "slices", ("slice",))
     # One row per ttl of the span covered; the postings stay where they are.
     ends = sliced.groupBy("slice").agg(F.unix_micros(F.max("ts")).alias("last")).orderBy("slice").collect()
-    path = scratch_path(spark, "news")
     schema = rows.select(*KEYS, "ts", "id").schema
-    spark.createDataFrame([], schema).write.parquet(path)
+    news, lapsed = scratch_path(spark, "news"), scratch_path(spark, "lapsed")
+    spark.createDataFrame([], schema).write.parquet(news)
+    spark.createDataFrame([], "company_key string, _expiry timestamp").write.parquet(lapsed)
     for step, end in enumerate(ends, 1):
         part = sliced.where(F.col("slice") == end["slice"]).drop("slice")
-        found, store = dedup_slice(part, store, ttl_seconds, F.timestamp_micros(F.lit(end["last"])))
-        found.write.mode("append").parquet(path)
-        if step % APPENDS == 0:
-            store = materialize(store, "seen")
-    return spark.read.schema(schema).parquet(path), store
+        found, gone = dedup_slice(part, store, ttl_seconds, F.timestamp_micros(F.lit(end["last"])))
+        found.write.mode("append").parquet(news)
+        gone.write.mode("append").parquet(lapsed)
+        if step < len(ends):
+            store = seen_after(store, found, gone)
+            if step % APPENDS == 0:
+                store = materialize(store, "seen")
+    return (spark.read.schema(schema).parquet(news),
+            spark.read.schema("company_key string, _expiry timestamp").parquet(lapsed))
 
 
 def _fold_sorted(ttl_micros: int):

@@ -67,6 +67,14 @@ def _semi(postings: DataFrame, seen: DataFrame, how: str) -> DataFrame:
     return postings.join(keys, ["company_key", "content_hash"], how)
 
 
+def store_seen(seen: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Writes remembered postings as a table in buckets of company and content. What is
+    joined with it on these is dealt to the same buckets, and the table stays where it is."""
+    (seen.write.mode("overwrite").option("path", path).bucketBy(buckets, "company_key", "content_hash")
+     .sortBy("company_key", "content_hash").saveAsTable(name))
+    return seen.sparkSession.table(name)
+
+
 def zero_fill_categories(counts: DataFrame, categories: list[str]) -> DataFrame:
     """Every category with its count; unlisted ones are left out."""
     spark = counts.sparkSession

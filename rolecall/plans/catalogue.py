@@ -8,6 +8,8 @@ arrivals (user as company, props as content); ``pages`` for captured pages;
 
 from __future__ import annotations
 
+import functools
+import random
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -19,13 +21,14 @@ from rolecall.functions.matching import (
     accept_posting, match_all, match_any, match_score, matched_keywords, missing_keywords)
 from rolecall.functions.taxonomy import (
     Taxonomy, all_categories, all_tags, category_keywords, flat_tags, tag_keywords)
-from rolecall.operators import dedup, joins, matching, ordering, summary
+from rolecall.operators import dedup, joins, matching, ordering, searches, summary
 from rolecall.plans import history, search
 from rolecall.session import scratch_path
 from rolecall.sources import extract, postings as readers, sinks
 from rolecall.sources.specs import SearchSpec, specs_frame, with_expression
 from rolecall.streaming.dedup import dedup_stream
 from rolecall.streaming.search import SearchJob, run_search_stream
+from rolecall.streaming.seen_log import SeenLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +68,7 @@ SPECS = [
 ]
 
 TTL_SECONDS = 5 * 86400
+CARRIED_TTL_SECONDS = 12 * 86400
 STREAM_TTL_SECONDS = 14 * 86400
 RUN_DATE = date(2025, 11, 4)
 RUN_DAY = datetime(2025, 11, 4)
@@ -247,6 +251,31 @@ def limit_per_spec(spark, sf_dir):
         F.col("id").alias("doc_id"), "spec")
 
 
+def _searches_of_users(spark, sf_dir):
+    """A search per customer: its keywords are cut from its name, segment and nation, so
+    that some occur in the documents and most don't; every seventh asks for a language only."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    key = F.col("c_custkey")
+    words = F.array(F.lower(F.substring("n_name", 2, 3)), F.lower(F.substring("c_mktsegment", 1, 2)),
+                    F.substring(key.cast("string"), 1, 1))
+    langs = F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (key % 4).cast("int"))
+    return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+        F.concat(F.lit("s"), key.cast("string")).alias("name"), F.lit("linkedin").alias("type"), F.lit(60).alias("interval"),
+        (key % 5 != 0).alias("enabled"), F.lit(None).cast("string").alias("message"),
+        F.when(key % 7 == 0, F.array().cast("array<string>")).when(key % 11 == 0, F.array(F.lit("er"), F.lit("ER"))).otherwise(
+            F.slice(words, F.lit(1), (key % 3 + 1).cast("int"))).alias("keywords"),
+        F.when((key % 7 == 0) | (key % 3 == 0), langs).alias("location"), F.lit(None).cast("string").alias("job_type"),
+        F.lit(None).cast("string").alias("workplace_type"), F.lit(None).cast("string").alias("experience_level"),
+        F.when(key % 2 == 0, key * 10).alias("last_time_posted"), F.array(F.concat(F.lit("SRC"), (key % 20).cast("string"))).alias(
+            "excluded_companies"), F.lit(100).alias("max_results"), F.lit(60).cast("bigint").alias("ttl_seconds"))
+
+
+def match_searches(spark, sf_dir):
+    """Postings found by each of many searches of a table, counted by search."""
+    found = searches.match_searches(documents(spark, sf_dir), _searches_of_users(spark, sf_dir))
+    return found.groupBy("spec").agg(F.count("*").alias("found"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def spec_filters(spark, sf_dir):
     asked = SearchSpec("asked", "linkedin", location="en", last_time_posted=2000,
                        excluded_companies=("SRC3", "src4"))
@@ -293,6 +322,15 @@ def new_only(spark, sf_dir):
     return joins.new_only(keyed, seen).select(F.col("id").alias("doc_id"))
 
 
+def new_only_bucketed(spark, sf_dir):
+    """As :func:`new_only`, with the remembered postings in buckets that are not shuffled."""
+    keyed, seen = _seen_of_first_half(spark, sf_dir)
+    path = scratch_path(spark, "seen")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = joins.store_seen(seen, "seen_" + path.rsplit("-", 1)[1], path, buckets)
+    return joins.new_only(keyed, stored).select(F.col("id").alias("doc_id"))
+
+
 def seen_before(spark, sf_dir):
     keyed, seen = _seen_of_first_half(spark, sf_dir)
     return joins.seen_before(keyed, seen).select(F.col("id").alias("doc_id"))
@@ -339,6 +377,20 @@ def dedup_with_expiry_slices(spark, sf_dir):
     return news.select(F.col("id").alias("event_id"))
 
 
+def dedup_carried_over(spark, sf_dir):
+    """Arrivals split at ten places drawn by chance, most of them within a slice: each part
+    meets what the log holds of those before it, with a base every four parts."""
+    keyed = joins.with_keys(arrivals(spark, sf_dir))
+    low, high = keyed.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    cuts = sorted(random.Random(sf_dir[-4:]).randrange(low, high) for _ in range(10))
+    log, parts = SeenLog(scratch_path(spark, "log"), 4), []
+    at = F.unix_micros("ts")
+    for batch, (start, end) in enumerate(zip([low, *cuts], [*cuts, high + 1])):
+        rows = keyed.where((at >= start) & (at < end)).select(*dedup.KEYS, "ts", "id")
+        parts.append(log.append(rows, batch, CARRIED_TTL_SECONDS).select(F.col("id").alias("event_id")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def dedup_one_hot_company(spark, sf_dir):
     """All arrivals as one company: it is over the bound, so it is folded in
     slices; its contents recur, so its set runs out again and again."""
@@ -635,11 +687,11 @@ QUERIES: dict[str, Query] = {
         monthly_rollup, monthly_tag_rollup, zero_fill_categories, total_jobs, run_totals,
         taxonomy_coverage, unused_tags,
         match_all_keywords, match_any_keywords, match_score_keywords, matched_keyword_counts,
-        match_words_of_title, accept_postings, match_specs, limit_per_spec, spec_filters,
+        match_words_of_title, accept_postings, match_specs, limit_per_spec, match_searches, spec_filters,
         search_expressions, search_cycle,
-        company_content_keys, dedup_exact, new_only, seen_before, mark_seen, live_seen,
+        company_content_keys, dedup_exact, new_only, new_only_bucketed, seen_before, mark_seen, live_seen,
         seen_store_stats, reset_seen, dedup_with_expiry, dedup_with_expiry_slices,
-        dedup_one_hot_company,
+        dedup_one_hot_company, dedup_carried_over,
         strip_query, absolute_url, age_seconds, parse_posted_date, split_record, output_rows,
         date_parts, take_while, keep_first, newest_page,
         upsert_orders, postings_store, day_file_merged, history_summary,

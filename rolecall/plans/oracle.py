@@ -289,6 +289,19 @@ def all_sql() -> dict[str, str]:
     sql["match_specs"] = f"WITH {DOCS}, {SPECS} SELECT doc_id, spec FROM matched"
     sql["limit_per_spec"] = f"""WITH {DOCS}, {SPECS}, {LIMITED.format(matches="matched")}
       SELECT doc_id, spec FROM limited"""
+    sql["match_searches"] = f"""WITH {DOCS}, words AS (
+        SELECT c_custkey AS k, [lower(substr(n_name, 2, 3)), lower(substr(c_mktsegment, 1, 2)),
+               substr(c_custkey::VARCHAR, 1, 1)] AS w
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0),
+      asked AS (
+        SELECT k, CASE WHEN k % 7 = 0 THEN [] WHEN k % 11 = 0 THEN ['er', 'er'] ELSE list_slice(w, 1, k % 3 + 1) END AS w,
+               CASE WHEN k % 7 = 0 OR k % 3 = 0 THEN (['en', 'de', 'fr', 'es'])[k % 4 + 1] END AS lang,
+               CASE WHEN k % 2 = 0 THEN k * 10 END AS within FROM words)
+      SELECT 's' || k AS spec, count(*) AS found, min(doc_id) AS first, max(doc_id) AS last
+      FROM asked JOIN docs ON d <> '' AND len(w) = len(list_distinct(w)) AND len(list_filter(w, lambda x: NOT contains(d, x))) = 0
+        AND (asked.lang IS NULL OR asked.lang = docs.lang) AND (within IS NULL OR n_chars <= within)
+        AND lower(company) <> 'src' || (k % 20)
+      GROUP BY k"""
     sql["spec_filters"] = f"""WITH {DOCS} SELECT doc_id FROM docs
       WHERE lang = 'en' AND n_chars <= 2000 AND lower(company) NOT IN ('src3', 'src4')"""
     sql["search_expressions"] = f"""WITH {DOCS}, {SPECS},
@@ -309,6 +322,7 @@ def all_sql() -> dict[str, str]:
     for name, test in (("new_only", "NOT EXISTS"), ("seen_before", "EXISTS")):
         sql[name] = f"""WITH {DOCS}, {KEYED_DOCS}, {half} SELECT doc_id FROM keyed k WHERE {test} (
           SELECT 1 FROM seen s WHERE s.company_key = k.company_key AND s.content_hash = k.content_hash)"""
+    sql["new_only_bucketed"] = sql["new_only"]
     sql["mark_seen"] = f"""WITH {ARRIVALS} SELECT company_key, content_hash, epoch_us(max(ts)) AS seen_at
       FROM arrivals GROUP BY ALL"""
     sql["live_seen"] = f"""WITH {ARRIVALS}, past AS (SELECT * FROM arrivals WHERE ts < TIMESTAMP '2024-01-28'),
@@ -322,6 +336,7 @@ def all_sql() -> dict[str, str]:
     by_user = _expiry_fold("user_id", "INTERVAL 5 DAY")
     for name in ("dedup_with_expiry", "dedup_with_expiry_slices", "stream_dedup_with_expiry"):
         sql[name] = by_user
+    sql["dedup_carried_over"] = _expiry_fold("user_id", "INTERVAL 12 DAY")
     sql["dedup_one_hot_company"] = _expiry_fold("'One'", "INTERVAL 5 DAY")
 
     # The stream comes in three files by time; each batch is limited on its own.

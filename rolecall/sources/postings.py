@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rolecall import schemas
 from rolecall.functions.text import parse_tags
+from rolecall.session import shared_files
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
                "encoding": "UTF-8"}
@@ -62,13 +62,8 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def store_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything is there. Whatever else is wrong with it is an error."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    files, place = shared_files(spark, path)
+    return files.exists(place)
 
 
 def read_existing(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from rolecall import schemas
 from rolecall.functions.taxonomy import DEFAULT_TAXONOMY, Taxonomy
-from rolecall.operators.dedup import KEYS, fold_slices
+from rolecall.operators.dedup import KEYS
 from rolecall.operators.joins import with_keys
 from rolecall.operators.summary import rollup_category_summary, rollup_tag_summary, run_totals
 from rolecall.plans.search import search
 from rolecall.sources.postings import read_store
 from rolecall.sources.sinks import with_partitions, write_postings
-from rolecall.sources.specs import DEFAULT_TTL_SECONDS, SearchSpec
+from rolecall.sources.specs import DEFAULT_TTL_SECONDS, SearchSpec, enabled
+from rolecall.streaming.seen_log import SeenLog
 
 
 @dataclass
@@ -23,9 +24,9 @@ class SearchJob:
     """What one batch of arriving postings goes through, and where its results
     are kept. All folders are shared ones.
 
-    Each step can be repeated: the remembered postings are written per batch
-    from those of the batch before, the store is merged by url, and the runs
-    are written per batch.
+    Each step can be repeated: what a batch remembers is a part of a log by its
+    number, the store is merged by url, and the runs are written per batch.
+    ``found`` holds what each batch found by search, as observed while it was written.
     """
 
     specs: list[SearchSpec]
@@ -36,27 +37,23 @@ class SearchJob:
     taxonomy: Taxonomy = DEFAULT_TAXONOMY
     empty_description: str = "collapse"
     match_options: dict = field(default_factory=dict)
+    compact_every: int = 16
+    found: dict[int, dict[str, int]] = field(default_factory=dict)
 
     @property
     def store(self) -> str:
         return f"{self.folder}/postings"
 
-    def seen_path(self, batch_id: int) -> str:
-        return f"{self.folder}/seen/batch={batch_id}"
-
-    def seen_before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schemas.SEEN)
-        return read_store(spark, self.seen_path(batch_id - 1), schemas.SEEN)
+    @property
+    def seen(self) -> SeenLog:
+        return SeenLog(f"{self.folder}/seen", self.compact_every)
 
     def new_postings(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """The new ones of a batch; remembers them for the next."""
         keyed = with_keys(batch, empty_description=self.empty_description)
         rows = keyed.select(*KEYS, F.col(self.ts).cast("timestamp").alias("ts"),
                             F.col(self.id).alias("id"))
-        news, after = fold_slices(rows, self.ttl_seconds,
-                                  self.seen_before(batch.sparkSession, batch_id))
-        after.write.mode("overwrite").parquet(self.seen_path(batch_id))
+        news = self.seen.append(rows, batch_id, self.ttl_seconds)
         return keyed.join(news.select(F.col("id").alias(self.id)), self.id, "left_semi")
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -69,7 +66,12 @@ class SearchJob:
             found = search(self.new_postings(batch, batch_id), self.specs, [self.ts, self.id],
                            self.taxonomy, **self.match_options)
             path = f"{self.folder}/found/batch={batch_id}"
-            found.drop(*KEYS).write.mode("overwrite").parquet(path)
+            observed = Observation(f"found-{batch_id}")
+            names = [spec.name for spec in enabled(self.specs)]
+            counts = [F.count_if(F.col("name") == name).alias(f"s{i}") for i, name in enumerate(names)]
+            watched = found.observe(observed, *counts) if counts else found
+            watched.drop(*KEYS).write.mode("overwrite").parquet(path)
+            self.found[batch_id] = {name: observed.get[f"s{i}"] for i, name in enumerate(names)} if counts else {}
         finally:
             batch.unpersist()
         stored = read_store(spark, path)
@@ -111,12 +113,19 @@ def run_search_stream(postings: DataFrame, job: SearchJob, checkpoint: str,
 
 
 class SearchProgress(StreamingQueryListener):
-    """Counts runs and the postings that came in, while a stream is running."""
+    """Counts runs, the postings that came in, and those that each search of a job
+    found, in all and by run, while a stream is running."""
 
-    def __init__(self) -> None:
+    def __init__(self, job: SearchJob | None = None) -> None:
+        self.job = job
         self.runs = 0
         self.postings = 0
 
+    def found(self, name: str, run: int | None = None) -> int:
+        """What a search found in a run, or in all of them so far."""
+        runs = self.job.found if self.job else {}
+        return sum(by_name.get(name, 0) for batch, by_name in list(runs.items()) if run in (None, batch))
+
     def onQueryStarted(self, event) -> None:
         pass
 

@@ -63,7 +63,7 @@ WORDS = [row[2] for row in DEFAULT_TAXONOMY.category_rows + DEFAULT_TAXONOMY.tag
     "and", "the", "Größe", "\n", "\t", "  ", "Σ", "boot", "spring", "learning", "machine"]
 
 
-@pytest.mark.parametrize("engine", ["contains", "automaton"])
+@pytest.mark.parametrize("engine", ["contains", "trie"])
 def test_random_texts_agree_with_the_rules(spark, engine):
     rng = random.Random(11)
 

@@ -83,7 +83,7 @@ def test_accept_posting_tests_the_description_first(spark):
     assert one(spark, m.accept_posting(F.col("t"), ["python"]), STATED) is True
 
 
-@pytest.mark.parametrize("engine", ["contains", "automaton"])
+@pytest.mark.parametrize("engine", ["contains", "trie"])
 def test_scan_engines_agree_with_python(spark, engine):
     rng = random.Random(3)
     keywords = sorted({"".join(rng.choice("abc '\\é") for _ in range(rng.randint(1, 4))) for _ in range(40)})
@@ -128,7 +128,7 @@ def test_match_specs(spark):
     assert everywhere == {
         "both": {1, 4}, "any": {1, 2, 4, 5}, "recent": {1, 5}, "remote": {1, 5},
         "not acme": {2, 4, 5}, "links": {1, 2, 3, 4, 5}}
-    assert found(spark, specs, engine="automaton") == everywhere
+    assert found(spark, specs, engine="trie") == everywhere
     by_source = found(spark, specs, source="source")
     assert by_source["links"] == {3} and by_source["any"] == {1, 2, 4, 5}
 

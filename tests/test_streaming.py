@@ -67,7 +67,7 @@ SPECS = [SearchSpec("py", "linkedin", keywords=("python",)),
 def test_search_stream_and_its_reruns(spark, tmp_path):
     job = SearchJob(SPECS, str(tmp_path / "job"), ttl_seconds=5 * 86400)
     stream = files_in_order(spark, arrivals(), POSTINGS, str(tmp_path / "in"), 2)
-    progress = SearchProgress()
+    progress = SearchProgress(job)
     spark.streams.addListener(progress)
     run_search_stream(stream, job, str(tmp_path / "cp")).awaitTermination()
 
@@ -79,6 +79,9 @@ def test_search_stream_and_its_reruns(spark, tmp_path):
     assert {r.url for r in stored.where("name = 'py'").collect()} == {r.url for r in batch.collect()}
     per_run = {(r["name"], r.run_id): (r.found, r.total_found) for r in job.runs(spark).collect()}
     assert per_run["all", 0][0] == 3 and per_run["all", 1] == (3, 6)
+    # What was observed while the batches were written is what the runs add up.
+    assert {k: progress.found(*k) for k in per_run} == {k: v[0] for k, v in per_run.items()}
+    assert progress.found("all") == 6 and progress.found("py") == per_run["py", 1][1]
 
     everything = job.summary(spark, "category").where("grain = 'all'").first()
     assert everything.total_jobs == stored.count()
