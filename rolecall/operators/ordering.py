@@ -28,6 +28,23 @@ def page(postings: DataFrame, start: int, size: int = 10, order_by: list | None
     return ordered.offset(start).limit(size)
 
 
+def pages_until_empty(cards: DataFrame, run: str, page: str, valid: Column, first: int = 0) -> DataFrame:
+    """The valid cards of each run, page by page from ``first`` on until a page has none.
+
+    A page that is missing has none either. Where a run ends is a matter of its pages
+    alone: a page with valid cards whose next page has none may be the last, and the
+    first of those is. Joins and aggregates by run and page; no run is sorted or numbered.
+    """
+    good = cards.where(F.coalesce(valid, F.lit(False)))
+    pages = good.groupBy(run, page).agg(F.lit(1).alias("_one")).select(run, F.col(page).cast("bigint").alias("_page"))
+    starts = pages.groupBy(run).agg(F.lit(first - 1).cast("bigint").alias("_page"))
+    known = pages.where(F.col("_page") >= first).unionByName(starts)
+    following = known.select(run, (F.col("_page") - 1).alias("_page"))
+    ends = known.join(following, [run, "_page"], "left_anti").groupBy(run).agg(F.min("_page").alias("_last"))
+    joined = salted_join(good, ends, [run], "inner", spread_by=[page])
+    return joined.where(F.col(page).between(F.lit(first), F.col("_last"))).drop("_last")
+
+
 def take_while(rows: DataFrame, run: str, seq: str, stop: Column,
                short_runs: bool = False) -> DataFrame:
     """Rows of each run before its first row for which ``stop`` holds.

@@ -16,9 +16,10 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecall.functions import text
-from rolecall.functions.classification import classify
+from rolecall.functions.classification import classify, classify_if_needed as classify_if_needed_of
 from rolecall.functions.matching import (
     accept_posting, match_all, match_any, match_score, matched_keywords, missing_keywords)
+from rolecall.functions.sql import register_functions
 from rolecall.functions.taxonomy import (
     Taxonomy, all_categories, all_tags, category_keywords, flat_tags, tag_keywords)
 from rolecall.operators import dedup, joins, matching, ordering, searches, summary
@@ -645,6 +646,87 @@ def list_cycle(spark, sf_dir):
                          text.join_tags("tags").alias("tags"))
 
 
+# --- written and read back ----------------------------------------------------------
+
+def _read_summary(spark, path: str, label: str, kind: str) -> DataFrame:
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select(F.lit(kind).alias("kind"), F.col(label).alias("label"), F.col("job_count").cast("bigint").alias("job_count"),
+                       F.col("percentage").cast("double").alias("percentage"), F.col("total_jobs").cast("bigint").alias("total_jobs"))
+
+
+def _read_summaries(spark, start: str) -> DataFrame:
+    return _read_summary(spark, f"{start}categories_summary.csv", "category", "category").unionByName(
+        _read_summary(spark, f"{start}tags_summary.csv", "tag", "tag"))
+
+
+def summary_files(spark, sf_dir):
+    """Category and tag shares as files, read back."""
+    folder = scratch_path(spark, "summary")
+    sinks.write_summaries(classify(documents(spark, sf_dir)), folder, "docs", seq="id")
+    return _read_summaries(spark, f"{folder}/docs_")
+
+
+def monthly_and_total_files(spark, sf_dir):
+    """The summary of the earlier documents in its month's folder, and that of all as the total."""
+    root = scratch_path(spark, "output")
+    jobs = classify(documents(spark, sf_dir))
+    middle = jobs.agg(F.expr("max(id) / 2")).scalar()
+    sinks.write_monthly_and_total(jobs.where(F.col("id") < middle), root, "docs", RUN_DAY, history=jobs, seq="id")
+    monthly = _read_summaries(spark, f"{root}/summary/{RUN_DAY:%Y}/{RUN_DAY:%m}/docs_")
+    total = _read_summaries(spark, f"{root}/summary/docs_total_")
+    return monthly.withColumn("place", F.lit("monthly")).unionByName(total.withColumn("place", F.lit("total")))
+
+
+def classify_if_needed(spark, sf_dir):
+    """Classified documents stay as they are, also with a category that none of the taxonomy is."""
+    docs = documents(spark, sf_dir)
+    given = classify_if_needed_of(docs.withColumn("category", F.concat(F.lit("as given by "), "company")))
+    fresh = classify_if_needed_of(docs)
+    return given.select(F.col("id").alias("doc_id"), F.lit(True).alias("had_one"), "category").unionByName(
+        fresh.select(F.col("id").alias("doc_id"), F.lit(False).alias("had_one"), "category"))
+
+
+def newest_page_by_url(spark, sf_dir):
+    """The third page of ten in the order of the operator: least age first, then by url."""
+    return ordering.page(documents(spark, sf_dir), 20).select("url", "posted_time")
+
+
+def pages_until_empty(spark, sf_dir):
+    """Clicks of each user, in pages of two days, until two days without one."""
+    events = table(spark, sf_dir, "events")
+    page = F.floor(F.datediff("ts", F.lit(date(2024, 1, 1))) / 2)
+    return ordering.pages_until_empty(events.withColumn("page", page), "user_id", "page", F.col("event_type") == "click"
+                                      ).select("event_id", "user_id", "page")
+
+
+def loaded_pages(spark, sf_dir):
+    """Pages of which every third is a redirect stub, which is no page."""
+    pages = table(spark, sf_dir, "pages")
+    stub = F.concat(F.lit("<html><head>"), F.lit(extract.REDIRECT_STUB), F.lit(" content='0;url="), "url", F.lit("'></head></html>"))
+    captured = pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, stub).otherwise(F.col("html")))
+    return extract.not_interstitial(captured).select("page_id", F.length("html").alias("length"))
+
+
+def registered_layout(spark, sf_dir):
+    """As :func:`extract_navigation`, by the name a layout is registered under."""
+    extract.register_layout("navigation", extract.CardLayout(
+        "a", (extract.Field("link", "", "href"), extract.Field("text")), "nav"))
+    cards = extract.extract_cards(table(spark, sf_dir, "pages"), "Navigation")
+    return cards.select("page_id", "seq", F.col("fields.link").alias("link"), F.col("fields.text").alias("text"))
+
+
+def sql_functions(spark, sf_dir):
+    """The functions as SQL knows them."""
+    register_functions(spark)
+    view = "docs_" + scratch_path(spark, "view").rsplit("-", 1)[1]
+    documents(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"""SELECT id AS doc_id, company_key(company) AS company_key, content_hash(description) AS content_hash,
+      match_all(array('the', 'Tion'), description) AS found_all, match_any(array('zw', 'les'), description) AS found_any,
+      match_score(array('the', 'zw', 'les', 'er'), description) AS score, percentage(posted_time, 99991) AS percentage,
+      classify(title, description).category AS category, classify(title, description).confidence AS confidence,
+      array_join(extract_tags(title, description), ',') AS tags FROM {view}""")
+
+
 # --- streams ---------------------------------------------------------------------
 
 def _time_ordered_stream(spark, rows: DataFrame, ts: str, files: int) -> DataFrame:
@@ -696,6 +778,8 @@ QUERIES: dict[str, Query] = {
         date_parts, take_while, keep_first, newest_page,
         upsert_orders, postings_store, day_file_merged, history_summary,
         extract_pages, extract_navigation, extract_list_cards, extract_link_cards, list_cycle,
+        summary_files, monthly_and_total_files, classify_if_needed, newest_page_by_url, pages_until_empty,
+        loaded_pages, registered_layout, sql_functions,
         stream_dedup_with_expiry, stream_process_batch,
     )
 }

@@ -433,4 +433,38 @@ def all_sql() -> dict[str, str]:
         PARTITION BY name ORDER BY posted_time, page_id, o_orderkey) AS place FROM found) WHERE place <= max_results)
       SELECT name, url, company, 'DevOps' AS category, 0.1::DOUBLE AS classification_confidence,
              'Docker,Python' AS tags FROM limited"""
+    cats = f"cats(ord, category) AS (VALUES {_categories(DEFAULT_TAXONOMY)})"
+    def shares(place: str, which: str) -> str:
+        """Category and tag shares of some of the documents."""
+        return f"""SELECT {place} 'category' AS kind, category AS label, count(doc_id) AS job_count,
+          {_share("count(doc_id)", "any_value(t.n)")}, any_value(t.n) AS total_jobs
+        FROM cats LEFT JOIN (SELECT * FROM scored WHERE {which}) USING (category), (SELECT count(*) AS n FROM docs WHERE {which}) t
+        GROUP BY category
+        UNION ALL SELECT {place} 'tag', tag, count(*), {_share("count(*)", "any_value(t.n)").removesuffix(" AS percentage")}, any_value(t.n)
+        FROM tagged, (SELECT count(*) AS n FROM docs WHERE {which}) t WHERE {which} GROUP BY tag"""
+
+    earlier = "doc_id < (SELECT max(doc_id) / 2 FROM documents)"
+    sql["summary_files"] = f"WITH {REAL}, {cats} {shares('', 'true')}"
+    sql["monthly_and_total_files"] = f"""WITH {REAL}, {cats} {shares("'monthly' AS place,", earlier)}
+      UNION ALL {shares("'total' AS place,", "true")}"""
+    sql["classify_if_needed"] = f"""WITH {REAL} SELECT doc_id, true AS had_one, 'as given by ' || company AS category FROM docs
+      UNION ALL SELECT doc_id, false, category FROM scored"""
+    sql["newest_page_by_url"] = """SELECT 'https://jobs.example.com/' || source || '/' || doc_id || '?ref=' || lang AS url,
+      n_chars AS posted_time FROM documents ORDER BY posted_time, url LIMIT 10 OFFSET 20"""
+    sql["pages_until_empty"] = """WITH clicks AS (
+        SELECT event_id, user_id, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 2 AS BIGINT) AS page
+        FROM events WHERE event_type = 'click'),
+      numbered AS (SELECT DISTINCT user_id, page, dense_rank() OVER (PARTITION BY user_id ORDER BY page) - 1 AS nth FROM clicks)
+      SELECT event_id, user_id, page FROM clicks JOIN numbered USING (user_id, page) WHERE page = nth"""
+    sql["loaded_pages"] = """SELECT page_id, CAST(length(html) AS INTEGER) AS length FROM pages
+      WHERE page_id % 3 <> 0 AND NOT contains(html, '<meta http-equiv="refresh"')"""
+    sql["registered_layout"] = sql["extract_navigation"]
+    sql["sql_functions"] = f"""WITH {REAL}, {KEYED_DOCS},
+      lists AS (SELECT doc_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tagged GROUP BY doc_id)
+      SELECT doc_id, company_key, content_hash, d <> '' AND contains(d, 'the') AND contains(d, 'tion') AS found_all,
+        contains(d, 'zw') OR contains(d, 'les') AS found_any,
+        CASE WHEN d = '' THEN 0.0::DOUBLE ELSE (contains(d, 'the')::INT + contains(d, 'zw')::INT + contains(d, 'les')::INT
+          + contains(d, 'er')::INT)::DOUBLE / 4::DOUBLE END AS score,
+        {_share("n_chars", "99991")}, category, classification_confidence AS confidence, coalesce(tags, '') AS tags
+      FROM docs JOIN keyed USING (doc_id) JOIN scored USING (doc_id) LEFT JOIN lists USING (doc_id)"""
     return sql
