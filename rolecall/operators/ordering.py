@@ -31,7 +31,7 @@ def page(postings: DataFrame, start: int, size: int = 10, order_by: list | None
 def pages_until_empty(cards: DataFrame, run: str, page: str, valid: Column, first: int = 0) -> DataFrame:
     """The valid cards of each run, page by page from ``first`` on until a page has none.
 
-    A page that is missing has none either. Where a run ends is a matter of its pages
+    A page that is missing has none either; cards without a run or page are in none. Where a run ends is a matter of its pages
     alone: a page with valid cards whose next page has none may be the last, and the
     first of those is. Joins and aggregates by run and page; no run is sorted or numbered.
     """
