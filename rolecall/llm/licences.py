@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from rolecall.llm.words import ALPHANUMERIC, gram_hashes, text_slices, word_bounds, word_hashes
@@ -310,10 +311,11 @@ def scan(documents: DataFrame, model: LicenceModel) -> DataFrame:
     and no notices. Repeated rows and null ids come out as they go in; an empty
     table gives no rows.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    # By value, as functions of this package are sent: workers need no copy of it.
+    sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = cloudpickle.loads(sent.value)
         for batch in batches:
             ids = batch.column("doc_id")
             for first, end, data, offsets in text_slices(batch.column("text"), 1 << 19):
