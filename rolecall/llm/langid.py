@@ -98,14 +98,16 @@ class LanguageModel:
         self.symbols = np.ones(256, np.int32)
         self.symbols[seen] = np.arange(2, 2 + int(seen.sum()))
         width = 2 + int(seen.sum())
-        tables, self.bases, at = [], [], 0
-        for language in self.languages:
-            # All automata stand in one table, one after the other.
-            table = Automaton(samples[language], self.symbols, width).table.astype(np.int64)
-            tables.append(table + 4 * at)
-            self.bases.append(at)
-            at += len(table)
-        self.table = np.concatenate([*tables, np.zeros(0, np.int64)]).astype(np.int32 if at < 1 << 29 else np.int64)
+        # All automata stand in one table, one after the other.
+        tables = [Automaton(samples[language], self.symbols, width).table for language in self.languages]
+        ends = np.cumsum([0, *map(len, tables)])
+        self.bases = ends[:-1].tolist()
+        self.table = np.empty(int(ends[-1]), np.int32 if ends[-1] < 1 << 29 else np.int64)
+        for base in reversed(self.bases):
+            table = tables.pop()
+            part = self.table[base:base + len(table)]
+            part[:] = table
+            part += 4 * base
         self.cost = np.log2([max(2, len(samples[x])) for x in self.languages])
 
     def _phrases(self, pieces: np.ndarray) -> np.ndarray:
