@@ -39,8 +39,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     samples = langid.learn(docs)
     if not samples:
         return docs.where(F.col("text").rlike(LETTER))
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), samples)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    found = langid.identify(docs.select(F.struct(*others).alias("row"), "text"), samples)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*", "text").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
