@@ -14,6 +14,9 @@ import pyarrow as pa
 #: Bytes of text that are looked at together. A longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Bytes whose words are hashed together.
+BLOCK_BYTES = 1 << 16
+
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
 _STEP = _U64(0xD6E8FEB86659FD93)
@@ -90,11 +93,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray,
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each word, wherever it stands."""
-    up, down = _POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U64)
-    np.cumsum((_LOWER[data].astype(_U64) + _U64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U64) * _STEP)
+    """A hash of the bytes of each word, wherever it stands. Words are hashed block by
+    block, so what is held beside a text doesn't grow with it, but for words beyond a block."""
+    found = np.empty(len(starts), _U64)
+    first = 0
+    while first < len(starts):
+        low = int(starts[first])
+        end = max(first + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, side="right")))
+        block = data[low:int(ends[end - 1])]
+        up, down = _POWERS.upto(len(block) + 1)
+        sums = np.zeros(len(block) + 1, _U64)
+        np.cumsum((_LOWER[block].astype(_U64) + _U64(1)) * up[:-1], out=sums[1:])
+        a, b = starts[first:end] - low, ends[first:end] - low
+        found[first:end] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(_U64) * _STEP)
+        first = end
+    return found
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
