@@ -108,6 +108,11 @@ def rollup_category_summary(jobs: DataFrame, keys: tuple[str, ...] = LEVELS,
     categories = categories or DEFAULT_TAXONOMY.categories
     finest = jobs.groupBy(*keys).agg(
         F.count("*").alias("total_jobs"), *_category_counters(categories, category))
+    return _category_levels(finest, keys, categories)
+
+
+def _category_levels(finest: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:
+    """The rollup of counters that stand at the finest level."""
     sums = [F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(categories))]
     levels = (finest.rollup(*keys).agg(F.grouping_id().alias("_gid"),
                                        F.sum("total_jobs").alias("total_jobs"), *sums)
@@ -127,6 +132,11 @@ def rollup_tag_summary(jobs: DataFrame, keys: tuple[str, ...] = LEVELS,
     marked = F.concat(F.array(F.lit(None).cast("string")), tag_array(jobs, tags))
     finest = (jobs.select(*keys, F.explode_outer(marked).alias("tag"))
               .groupBy(*keys, "tag").agg(F.count("*").alias("n")))
+    return _tag_levels(finest, keys)
+
+
+def _tag_levels(finest: DataFrame, keys: list[str]) -> DataFrame:
+    """The rollup of counts by tag that stand at the finest level; under no tag, of jobs."""
     sets = [[*map(F.col, keys[:kept]), F.col("tag")] for kept in range(len(keys), -1, -1)]
     levels = finest.groupingSets(sets, *keys, "tag").agg(
         F.grouping_id().alias("_gid2"), F.sum("n").alias("job_count"))
@@ -139,6 +149,49 @@ def rollup_tag_summary(jobs: DataFrame, keys: tuple[str, ...] = LEVELS,
             .select("grain", *keys, "tag", "job_count", "percentage", "total_jobs"))
 
 
+def summary_counts(jobs: DataFrame, keys: tuple[str, ...] = LEVELS, category: str = "category",
+                   tags: str = "tags") -> DataFrame:
+    """(*keys, kind, label, job_count): what the summaries of these jobs are made of.
+
+    Counts of disjoint jobs add up (:func:`merge_counts`), so summaries over a history
+    need the counts of its parts, not the jobs again. Kinds are ``job`` (no label),
+    ``category`` (null where a job has none) and ``tag``. No jobs, no rows.
+    """
+    def counted(kind: str, label: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.cast("string").alias("label"))
+
+    counted_once = F.array(counted("job", F.lit(None)), counted("category", F.col(category)))
+    of_tags = F.transform(tag_array(jobs, tags), lambda tag: counted("tag", tag))
+    return (jobs.select(*keys, F.inline(F.concat(counted_once, of_tags)))
+            .groupBy(*keys, "kind", "label").agg(F.count("*").alias("job_count")))
+
+
+def merge_counts(counts: DataFrame, keys: tuple[str, ...] = LEVELS) -> DataFrame:
+    """Counts of several parts as one; of fewer keys too, where others are left out."""
+    return counts.groupBy(*keys, "kind", "label").agg(F.sum("job_count").alias("job_count"))
+
+
+def category_summary_of_counts(counts: DataFrame, keys: tuple[str, ...] = LEVELS,
+                               categories: list[str] | None = None) -> DataFrame:
+    """:func:`rollup_category_summary` from :func:`summary_counts`, of one or more parts."""
+    categories = categories or DEFAULT_TAXONOMY.categories
+
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("job_count"))), F.lit(0))
+
+    named = [total((F.col("kind") == "category") & (F.col("label") == name)).alias(f"_n{i}")
+             for i, name in enumerate(categories)]
+    finest = counts.groupBy(*keys).agg(total(F.col("kind") == "job").alias("total_jobs"), *named)
+    return _category_levels(finest, list(keys), categories)
+
+
+def tag_summary_of_counts(counts: DataFrame, keys: tuple[str, ...] = LEVELS) -> DataFrame:
+    """:func:`rollup_tag_summary` from :func:`summary_counts`, of one or more parts."""
+    finest = (counts.where("kind = 'job' or kind = 'tag' and label is not null")
+              .groupBy(*keys, F.col("label").alias("tag")).agg(F.sum("job_count").alias("n")))
+    return _tag_levels(finest, list(keys))
+
+
 def run_totals(runs: DataFrame) -> DataFrame:
     """Searches run and jobs found so far, per search and run.
 

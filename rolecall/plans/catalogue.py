@@ -27,6 +27,7 @@ from rolecall.plans import history, search
 from rolecall.session import scratch_path
 from rolecall.sources import extract, postings as readers, sinks
 from rolecall.sources.specs import SearchSpec, specs_frame, with_expression
+from rolecall.streaming import clocks
 from rolecall.streaming.dedup import dedup_stream
 from rolecall.streaming.search import SearchJob, run_search_stream
 from rolecall.streaming.seen_log import SeenLog
@@ -68,6 +69,13 @@ SPECS = [
     SearchSpec("off", "linkedin", enabled=False, keywords=("the",)),
 ]
 
+CLOCKS = [
+    SearchSpec("often", "linkedin", interval=60),
+    SearchSpec("seldom", "linkedin", interval=150, keywords=("1", "2")),
+    SearchSpec("weekly", "linkedin", interval=7 * 86400, excluded_companies=("1", "2")),
+    SearchSpec("never", "linkedin", interval=30, enabled=False),
+]
+
 TTL_SECONDS = 5 * 86400
 CARRIED_TTL_SECONDS = 12 * 86400
 STREAM_TTL_SECONDS = 14 * 86400
@@ -156,6 +164,23 @@ def monthly_tag_rollup(spark, sf_dir):
     return summary.rollup_tag_summary(_dated(spark, sf_dir))
 
 
+def _counts_by_company(spark, sf_dir):
+    """Counts of the documents of each company, as parts that are summarised together."""
+    path = scratch_path(spark, "counts")
+    summary.summary_counts(_dated(spark, sf_dir), ("company", *summary.LEVELS)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def monthly_rollup_of_counts(spark, sf_dir):
+    """:func:`monthly_rollup`, from the counts of each company."""
+    return summary.category_summary_of_counts(_counts_by_company(spark, sf_dir), categories=FRAGMENTS.categories)
+
+
+def monthly_tag_rollup_of_counts(spark, sf_dir):
+    """:func:`monthly_tag_rollup`, from the counts of each company."""
+    return summary.tag_summary_of_counts(_counts_by_company(spark, sf_dir))
+
+
 def zero_fill_categories(spark, sf_dir):
     """Event types as categories, with one that never occurs and others unlisted."""
     counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category")).agg(
@@ -756,17 +781,40 @@ def stream_dedup_with_expiry(spark, sf_dir):
 
 def stream_process_batch(spark, sf_dir):
     """The search cycle over a stream of documents, three batches."""
+    job = _searched(spark, sf_dir)
+    return readers.read_store(spark, job.store).select("name", F.col("id").alias("doc_id"), "category")
+
+
+def _searched(spark, sf_dir) -> SearchJob:
     job = SearchJob(SPECS, scratch_path(spark, "search"), ttl_seconds=STREAM_TTL_SECONDS)
     stream = _time_ordered_stream(spark, documents(spark, sf_dir).drop("name"), "scraped_at", 3)
     run_search_stream(stream, job, scratch_path(spark, "checkpoint")).awaitTermination()
-    return readers.read_store(spark, job.store).select("name", F.col("id").alias("doc_id"), "category")
+    return job
+
+
+def stream_totals(spark, sf_dir):
+    """Category shares of all that is stored after the third batch, from counts alone."""
+    return _searched(spark, sf_dir).totals(spark, "category", 2)
+
+
+def search_clocks(spark, sf_dir):
+    """What each run of three searches with intervals of their own found in a stream of
+    events; runs that are not yet sure to be complete are not there."""
+    stream = _time_ordered_stream(spark, arrivals(spark, sf_dir), "ts", 3)
+    matches = clocks.watched(clocks.due_matches(stream, CLOCKS), CLOCKS)
+    out = scratch_path(spark, "runs")
+    query = (clocks.found_by_run(matches).writeStream.outputMode("append").format("parquet")
+             .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+             .trigger(availableNow=True).start(out))
+    query.awaitTermination()
+    return spark.read.parquet(out).select("name", F.unix_seconds("due_at").alias("due_second"), "found")
 
 
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         classify_documents, classify_fragments, classify_conversations, document_tags,
         category_summary, category_summary_by_source, tag_summary, top_tags,
-        monthly_rollup, monthly_tag_rollup, zero_fill_categories, total_jobs, run_totals,
+        monthly_rollup, monthly_tag_rollup, monthly_rollup_of_counts, monthly_tag_rollup_of_counts, zero_fill_categories, total_jobs, run_totals,
         taxonomy_coverage, unused_tags,
         match_all_keywords, match_any_keywords, match_score_keywords, matched_keyword_counts,
         match_words_of_title, accept_postings, match_specs, limit_per_spec, match_searches, spec_filters,
@@ -780,6 +828,6 @@ QUERIES: dict[str, Query] = {
         extract_pages, extract_navigation, extract_list_cards, extract_link_cards, list_cycle,
         summary_files, monthly_and_total_files, classify_if_needed, newest_page_by_url, pages_until_empty,
         loaded_pages, registered_layout, sql_functions,
-        stream_dedup_with_expiry, stream_process_batch,
+        stream_dedup_with_expiry, stream_process_batch, stream_totals, search_clocks,
     )
 }

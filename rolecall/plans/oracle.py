@@ -239,6 +239,8 @@ def all_sql() -> dict[str, str]:
       SELECT l.grain, l.name, l.year, l.month, n.tag, n.job_count,
              {_share("n.job_count", "l.total_jobs")}, l.total_jobs
       FROM n JOIN levels l ON {same}"""
+    for name in ("monthly_rollup", "monthly_tag_rollup"):
+        sql[f"{name}_of_counts"] = sql[name]
     sql["zero_fill_categories"] = """SELECT category, category_ord, count(event_id)::BIGINT AS job_count
       FROM (VALUES (0, 'click'), (1, 'error'), (2, 'never'), (3, 'view')) v(category_ord, category)
       LEFT JOIN events ON event_type = category GROUP BY ALL"""
@@ -351,6 +353,26 @@ def all_sql() -> dict[str, str]:
         SELECT *, row_number() OVER (PARTITION BY spec, batch ORDER BY doc_id) AS rn FROM kept)
       JOIN scored USING (doc_id) WHERE rn <= max_results"""
 
+    stored = f"""stored AS ({sql["stream_process_batch"]}),
+      dated AS (SELECT *, strftime(came, '%Y') AS year, strftime(came, '%m') AS month FROM (
+        SELECT *, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR AS came FROM stored))"""
+    sql["stream_totals"] = f"""WITH {stored}, {levels},
+      cats(ord, category) AS (VALUES {_categories(DEFAULT_TAXONOMY)}),
+      n AS (SELECT {grain} AS grain, name, year, month, category, count(*) AS n
+            FROM dated GROUP BY category, ROLLUP (name, year, month))
+      SELECT l.grain, l.name, l.year, l.month, cats.category, coalesce(n.n, 0)::BIGINT AS job_count,
+             {_share("coalesce(n.n, 0)", "l.total_jobs")}, l.total_jobs
+      FROM levels l CROSS JOIN cats LEFT JOIN n ON n.category = cats.category AND {same}"""
+    longest = 7 * 86400
+    sql["search_clocks"] = f"""WITH matched AS (
+        SELECT 'often' AS name, 60 AS width, ts FROM events WHERE props <> ''
+        UNION ALL SELECT 'seldom', 150, ts FROM events WHERE contains(props, '1') AND contains(props, '2')
+        UNION ALL SELECT 'weekly', {longest}, ts FROM events
+          WHERE props <> '' AND (user_id NOT IN (1, 2) OR user_id IS NULL)),
+      due AS (SELECT name, (epoch_us(ts) // (width * 1000000::BIGINT) + 1) * width AS due_second FROM matched WHERE ts IS NOT NULL)
+      SELECT name, due_second, count(*) AS found FROM due
+      WHERE due_second <= (SELECT max(due_second) FROM due) - {longest} GROUP BY ALL"""
+
     sql["strip_query"] = "SELECT page_id, split_part(url, '?', 1) AS url FROM pages"
     base = c.extract.LINK_BASE
 

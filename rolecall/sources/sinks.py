@@ -69,6 +69,19 @@ def write_postings(postings: DataFrame, path: str) -> None:
      .partitionBy(*STORE_PARTITIONS).parquet(path))
 
 
+def added_postings(postings: DataFrame, path: str) -> DataFrame:
+    """The rows that :func:`write_postings` would add to the store as it is."""
+    spark = postings.sparkSession
+    keys = [*STORE_PARTITIONS, "url"]
+    new = keep_first(postings, keys, [*_arrival(postings), _whole_row(postings)])
+    if not store_exists(spark, path):
+        return new
+    new = materialize(new, "new-postings")
+    stored = read_existing(spark, path, new).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}").cast(new.schema[k].dataType)) for k in keys]
+    return new.join(stored, same, "left_anti")
+
+
 def _arrival(postings: DataFrame) -> list[str]:
     """Columns that order postings."""
     named = [c for c in ("seq", "scraped_at", "title", "company", "location") if c in postings.columns]

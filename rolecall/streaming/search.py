@@ -11,10 +11,13 @@ from rolecall import schemas
 from rolecall.functions.taxonomy import DEFAULT_TAXONOMY, Taxonomy
 from rolecall.operators.dedup import KEYS
 from rolecall.operators.joins import with_keys
-from rolecall.operators.summary import rollup_category_summary, rollup_tag_summary, run_totals
+from rolecall.operators.summary import (
+    category_summary_of_counts, merge_counts, rollup_category_summary, rollup_tag_summary, run_totals,
+    summary_counts, tag_summary_of_counts)
 from rolecall.plans.search import search
 from rolecall.sources.postings import read_store
-from rolecall.sources.sinks import with_partitions, write_postings
+from rolecall.session import shared_files
+from rolecall.sources.sinks import added_postings, with_partitions, write_postings
 from rolecall.sources.specs import DEFAULT_TTL_SECONDS, SearchSpec, enabled
 from rolecall.streaming.seen_log import SeenLog
 
@@ -79,10 +82,35 @@ class SearchJob:
             "name", F.lit(batch_id).cast("bigint").alias("run_id"), "found")
         runs.write.mode("overwrite").parquet(f"{self.folder}/runs/batch={batch_id}")
         dated = with_partitions(stored, ts=self.ts)
+        self._count(dated, batch_id)
         write_postings(dated, self.store)
         for kind, summary in self._summaries(dated).items():
             summary.write.mode("overwrite").parquet(f"{self.folder}/{kind}_summary/batch={batch_id}")
 
+    def _counts_path(self, batch_id: int) -> str:
+        return f"{self.folder}/counts/batch={batch_id}"
+
+    def _count(self, dated: DataFrame, batch_id: int) -> None:
+        """Counts of what the store will hold: those before, and what the batch adds.
+        They are written before the store, and once: when a batch is repeated, the
+        store may hold its postings already."""
+        spark, path = dated.sparkSession, self._counts_path(batch_id)
+        files, done = shared_files(spark, f"{path}/_SUCCESS")
+        if files.exists(done):
+            return
+        counts = summary_counts(added_postings(dated, self.store))
+        if batch_id:
+            counts = counts.unionByName(read_store(spark, self._counts_path(batch_id - 1)))
+        merge_counts(counts).write.mode("overwrite").parquet(path)
+
+    def totals(self, spark: SparkSession, kind: str, batch_id: int) -> DataFrame:
+        """Category or tag shares of everything stored up to a batch, by search and
+        month, from counts alone."""
+        counts = read_store(spark, self._counts_path(batch_id))
+        if kind == "tag":
+            return tag_summary_of_counts(counts)
+        return category_summary_of_counts(counts, categories=self.taxonomy.categories)
+
     def _summaries(self, dated: DataFrame) -> dict[str, DataFrame]:
         return {
             "category": rollup_category_summary(dated, categories=self.taxonomy.categories),

@@ -95,3 +95,18 @@ def test_search_stream_and_its_reruns(spark, tmp_path):
         k: v[0] for k, v in per_run.items()}
     spark.streams.removeListener(progress)
     assert progress.postings == 24 and progress.runs == 2
+
+
+def test_totals_of_counts_are_a_recount(spark, tmp_path):
+    """After each batch, and after one that is repeated, counts say what the store holds."""
+    job = SearchJob([SearchSpec("py", "linkedin", keywords=("python",)), SearchSpec("all", "linkedin")], str(tmp_path))
+    rows = arrivals()
+    # Stored urls come again in later batches, on other days and on the same one.
+    batches = [rows[:10], rows[10:], [(100 + r[0], "Again", "Gamma", *r[3:]) for r in rows[5:15]]]
+    for number, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, POSTINGS)
+        for _ in range(1 + (number == 1)):
+            job.process_batch(df, number)
+        for kind in ("category", "tag"):
+            assert sorted(map(str, job.totals(spark, kind, number).collect())) == sorted(
+                map(str, job.summary(spark, kind).collect()))

@@ -101,3 +101,20 @@ def test_newest_first_and_page(spark):
     df = spark.createDataFrame([("u3", None), ("u2", 5), ("u1", 5), ("u0", 9)], "url string, posted_time bigint")
     assert [r.url for r in ordering.newest_first(df).collect()] == ["u1", "u2", "u0", "u3"]
     assert [r.url for r in ordering.page(df, 1, 2).collect()] == ["u2", "u0"]
+
+
+def test_counts_of_parts_add_up(spark):
+    """Summaries of merged counts are those of all jobs, however these are parted."""
+    _, df = jobs(spark)
+    parts = [summary.summary_counts(df.where(F.pmod("seq", F.lit(7)) == k)) for k in range(7)]
+    parts.append(summary.summary_counts(df.where("false")))
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = summary.merge_counts(counts.unionByName(part))
+
+    def rows(frame):
+        return sorted(map(str, frame.collect()))
+
+    assert rows(summary.category_summary_of_counts(counts)) == rows(summary.rollup_category_summary(df))
+    assert rows(summary.tag_summary_of_counts(counts)) == rows(summary.rollup_tag_summary(df))
+    assert summary.category_summary_of_counts(parts[-1]).count() == 0
