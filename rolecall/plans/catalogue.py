@@ -27,6 +27,7 @@ from rolecall.plans import history, search
 from rolecall.session import scratch_path
 from rolecall.sources import extract, postings as readers, sinks
 from rolecall.sources.specs import SearchSpec, specs_frame, with_expression
+from rolecall.sources.versions import VersionedStore
 from rolecall.streaming import clocks
 from rolecall.streaming.dedup import dedup_stream
 from rolecall.streaming.search import SearchJob, run_search_stream
@@ -542,6 +543,21 @@ def postings_store(spark, sf_dir):
                          (F.col("title") == "again").alias("added_later"))
 
 
+def versioned_store(spark, sf_dir):
+    """Three versions of a store: the earlier half of the documents, then all, and the
+    later half once more, which changes nothing."""
+    store = VersionedStore(scratch_path(spark, "store"))
+    jobs = sinks.with_partitions(classify(documents(spark, sf_dir)).drop("description"))
+    middle = jobs.agg(F.expr("max(id) / 2")).scalar()
+    store.merge(jobs.where(F.col("id") < middle).drop("tags"))
+    store.merge(jobs.withColumn("title", F.lit("again")))
+    store.merge(jobs.where(F.col("id") >= middle).withColumn("title", F.lit("at last")))
+    return functools.reduce(DataFrame.unionByName, [
+        store.read(spark, version).select(
+            F.lit(version).alias("version"), F.col("id").alias("doc_id"), "name", "category",
+            F.col("title").isin("again", "at last").alias("added_later")) for version in store.versions(spark)])
+
+
 def day_file_merged(spark, sf_dir):
     """A day's CSV file written with the earlier half of the documents, then with all."""
     root = scratch_path(spark, "output")
@@ -824,7 +840,7 @@ QUERIES: dict[str, Query] = {
         dedup_one_hot_company, dedup_carried_over,
         strip_query, absolute_url, age_seconds, parse_posted_date, split_record, output_rows,
         date_parts, take_while, keep_first, newest_page,
-        upsert_orders, postings_store, day_file_merged, history_summary,
+        upsert_orders, postings_store, versioned_store, day_file_merged, history_summary,
         extract_pages, extract_navigation, extract_list_cards, extract_link_cards, list_cycle,
         summary_files, monthly_and_total_files, classify_if_needed, newest_page_by_url, pages_until_empty,
         loaded_pages, registered_layout, sql_functions,

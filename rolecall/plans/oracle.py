@@ -417,6 +417,11 @@ def all_sql() -> dict[str, str]:
       WHERE o_orderkey NOT IN (SELECT o_orderkey FROM first)"""
     sql["postings_store"] = f"""WITH {REAL} SELECT doc_id, lang AS name, category,
       doc_id >= (SELECT max(doc_id) / 2 FROM documents) AS added_later FROM docs JOIN scored USING (doc_id)"""
+    sql["versioned_store"] = f"""WITH {REAL}, stored AS (
+        SELECT doc_id, lang AS name, category, doc_id >= (SELECT max(doc_id) / 2 FROM documents) AS added_later
+        FROM docs JOIN scored USING (doc_id))
+      SELECT version::INT AS version, stored.* FROM stored JOIN (VALUES (1), (2), (3)) AS v(version)
+        ON version > 1 OR NOT added_later"""
     sql["day_file_merged"] = """SELECT doc_id, n_chars AS posted_time,
       doc_id >= (SELECT max(doc_id) / 2 FROM documents) AS added_later FROM documents"""
     titles = DOCS.replace("lower(text) AS d", "'' AS d")

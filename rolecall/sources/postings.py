@@ -67,11 +67,13 @@ def store_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_existing(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame:
-    """The stored rows of the partitions that ``touched`` names."""
+    """The stored rows of the partitions that ``touched`` names; null is a partition, too,
+    and an empty value is stored as null."""
     keys = [c for c in STORE_PARTITIONS if c in touched.columns]
     # A few searches times a few days, so this side is checked to stay small by
     # the planner's own threshold; it also prunes the partitions to read.
-    return read_store(spark, path).join(touched.select(*keys).distinct(), keys, "left_semi")
+    named = touched.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in keys]).distinct()
+    return read_store(spark, path).join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_semi")
 
 
 def read_postings_stream(spark: SparkSession, path: str, schema,

@@ -56,7 +56,7 @@ def write_postings(postings: DataFrame, path: str) -> None:
     """
     spark = postings.sparkSession
     order = _arrival(postings)
-    new = keep_first(postings, [*STORE_PARTITIONS, "url"], [*order, _whole_row(postings)])
+    new = first_of_url(postings)
     if store_exists(spark, path):
         # Used twice below, so made once; its true size then lets the planner
         # broadcast the partitions at hand and prune the store by them.
@@ -69,11 +69,16 @@ def write_postings(postings: DataFrame, path: str) -> None:
      .partitionBy(*STORE_PARTITIONS).parquet(path))
 
 
+def first_of_url(postings: DataFrame) -> DataFrame:
+    """The first posting of each url of a partition, as they arrive."""
+    return keep_first(postings, [*STORE_PARTITIONS, "url"], [*_arrival(postings), _whole_row(postings)])
+
+
 def added_postings(postings: DataFrame, path: str) -> DataFrame:
     """The rows that :func:`write_postings` would add to the store as it is."""
     spark = postings.sparkSession
     keys = [*STORE_PARTITIONS, "url"]
-    new = keep_first(postings, keys, [*_arrival(postings), _whole_row(postings)])
+    new = first_of_url(postings)
     if not store_exists(spark, path):
         return new
     new = materialize(new, "new-postings")
