@@ -670,15 +670,19 @@ def extract_link_cards(spark, sf_dir):
     return cards.select("page_id", "title", "company", "location", "url", "posted_date", "source")
 
 
-def list_cycle(spark, sf_dir):
-    """List pages and detail pages to classified postings: the whole cycle."""
-    details = _orders_with_customers(spark, sf_dir).select(
+def detail_pages(spark, sf_dir) -> DataFrame:
+    """The page of each order that a card of a list page leads to."""
+    return _orders_with_customers(spark, sf_dir).select(
         F.col("o_orderkey").alias("page_id"),
         F.concat(F.lit("https://jobs.example.com/view/"), F.col("o_orderkey")).alias("url"),
         F.concat(F.lit("<main><section class='description my-3 core-section-container'> <p>Python and "),
                  F.col("c_mktsegment"), F.lit("</p><p>Docker, "), F.col("o_orderpriority"),
                  F.lit("</p></section></main>")).alias("html"))
-    found = search.list_postings(list_pages(spark, sf_dir), details)
+
+
+def list_cycle(spark, sf_dir):
+    """List pages and detail pages to classified postings: the whole cycle."""
+    found = search.list_postings(list_pages(spark, sf_dir), detail_pages(spark, sf_dir))
     fresh = search.remember(search.with_id(found), ["id"], ttl_seconds=None)
     specs = [SearchSpec("machines", "linkedin", keywords=("python", "machinery"), max_results=500),
              SearchSpec("urgent", "linkedin", keywords=("docker", "1-urgent"), max_results=20)]
@@ -687,6 +691,32 @@ def list_cycle(spark, sf_dir):
                          text.join_tags("tags").alias("tags"))
 
 
+def _card_days() -> Column:
+    """Each card of a page was captured a day after the one before it."""
+    return F.timestamp_seconds(F.lit(1704067200) + F.col("seq") * 86400)
+
+
+def list_cycle_with_expiry(spark, sf_dir):
+    """As :func:`list_cycle`, with a clock of three days per company; postings without a
+    company share one."""
+    found = search.list_postings(list_pages(spark, sf_dir), detail_pages(spark, sf_dir), _card_days())
+    fresh = search.remember(search.with_id(found), ["id"], ttl_seconds=3 * 86400)
+    specs = [SearchSpec("machines", "linkedin", keywords=("python", "machinery"), max_results=500),
+             SearchSpec("urgent", "linkedin", keywords=("docker", "1-urgent"), max_results=20)]
+    return search.search(fresh, specs, ["posted_time", "id"]).select(
+        "name", "url", "company", F.unix_seconds("scraped_at").alias("second"), "category")
+
+
+def link_cycle(spark, sf_dir):
+    """Link pages to classified postings of the run date. They have no description, so a
+    company's postings are one content, told anew once its clock of two days has run out."""
+    found = search.link_postings(link_pages(spark, sf_dir), RUN_DATE, _card_days())
+    fresh = search.remember(search.with_id(found), ["id"], ttl_seconds=2 * 86400)
+    return classify(fresh).select(
+        "title", "company", "location", "url", F.unix_seconds("scraped_at").alias("second"), "category",
+        "classification_confidence", text.join_tags("tags").alias("tags"))
+
+
 # --- written and read back ----------------------------------------------------------
 
 def _read_summary(spark, path: str, label: str, kind: str) -> DataFrame:
@@ -842,6 +872,7 @@ QUERIES: dict[str, Query] = {
         date_parts, take_while, keep_first, newest_page,
         upsert_orders, postings_store, versioned_store, day_file_merged, history_summary,
         extract_pages, extract_navigation, extract_list_cards, extract_link_cards, list_cycle,
+        list_cycle_with_expiry, link_cycle,
         summary_files, monthly_and_total_files, classify_if_needed, newest_page_by_url, pages_until_empty,
         loaded_pages, registered_layout, sql_functions,
         stream_dedup_with_expiry, stream_process_batch, stream_totals, search_clocks,

@@ -460,6 +460,33 @@ def all_sql() -> dict[str, str]:
         PARTITION BY name ORDER BY posted_time, page_id, o_orderkey) AS place FROM found) WHERE place <= max_results)
       SELECT name, url, company, 'DevOps' AS category, 0.1::DOUBLE AS classification_confidence,
              'Docker,Python' AS tags FROM limited"""
+    numbered = """numbered AS (
+        SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders)"""
+    day_of_card = "TIMESTAMP '2024-01-01' + seq * INTERVAL 1 DAY"
+    kept = _expiry_fold("lower(company)", "INTERVAL 3 DAY", f"""{LIST_CARDS}, {numbered},
+      events AS (SELECT *, page_id * 1000000 + seq AS event_id, {day_of_card} AS ts,
+        'python and ' || lower(c_mktsegment) || ' docker, ' || lower(priority) AS props FROM listed JOIN numbered USING (o_orderkey))""")
+    sql["list_cycle_with_expiry"] = f"""{kept.rsplit("SELECT", 1)[0]},
+      fresh AS (SELECT events.* FROM events JOIN fold USING (event_id) WHERE is_new),
+      found AS (
+        SELECT 'machines' AS name, 500 AS max_results, * FROM fresh WHERE contains(props, 'machinery')
+        UNION ALL SELECT 'urgent', 20, * FROM fresh WHERE contains(props, '1-urgent')),
+      limited AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY posted_time, event_id) AS place FROM found)
+      SELECT name, url, company, epoch(ts)::BIGINT AS second, 'DevOps' AS category FROM limited WHERE place <= max_results"""
+    shown = classified(DEFAULT_TAXONOMY, "docs AS (SELECT event_id, lower(title) AS t, '' AS d FROM events)", "event_id")
+    kept = _expiry_fold("lower(company)", "INTERVAL 2 DAY", f"""{ORDER_CARDS}, {numbered},
+      readable AS (SELECT * FROM cards WHERE priority <> '4-NOT SPECIFIED' AND status <> 'P'),
+      marked AS (SELECT *, count(*) FILTER (priority = '5-LOW') OVER (
+        PARTITION BY c_custkey ORDER BY o_orderkey) AS old FROM readable),
+      events AS (SELECT c_custkey * 1000000 + seq AS event_id, {day_of_card} AS ts, '' AS props, c_name AS company,
+          n_name AS location, '{base}/jobs/' || o_orderkey AS url,
+          CASE WHEN priority = '1-URGENT' THEN 'Urgent' ELSE 'Order ' || o_orderkey END AS title
+        FROM marked JOIN numbered USING (o_orderkey) WHERE old = 0), {shown},
+      lists AS (SELECT event_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tagged GROUP BY event_id)""")
+    sql["link_cycle"] = f"""{kept.rsplit("SELECT", 1)[0]}
+      SELECT title, events.company, location, url, epoch(events.ts)::BIGINT AS second, category,
+        classification_confidence, coalesce(tags, '') AS tags
+      FROM events JOIN fold USING (event_id) JOIN scored USING (event_id) LEFT JOIN lists USING (event_id) WHERE is_new"""
     cats = f"cats(ord, category) AS (VALUES {_categories(DEFAULT_TAXONOMY)})"
     def shares(place: str, which: str) -> str:
         """Category and tag shares of some of the documents."""
