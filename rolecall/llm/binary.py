@@ -124,12 +124,23 @@ class FrameReader:
                 yield np.frombuffer(self._frame(k, block[self.starts[k] - low:self.starts[k + 1] - low]), "<u4")
             first = stop
 
+    def find_all(self, doc_ids: Iterable[int | None]) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc_id, ids) of every document here that has one of the ids asked for, in file
+        order; documents may share an id, and ``None`` asks for those without one. No
+        others are decompressed."""
+        asked = np.array([NO_ID if i is None else i for i in doc_ids], np.int64)
+        for k in np.flatnonzero(np.isin(self.ids, asked)).tolist():
+            doc_id = int(self.ids[k])
+            yield None if doc_id == NO_ID else doc_id, next(self.documents(k, k + 1))
+
     def find(self, doc_ids: Iterable[int]) -> dict[int, np.ndarray]:
-        """The ids of the documents asked for that are here; no others are decompressed."""
+        """The documents asked for that are here, by id. An id that several documents share
+        is an error; :meth:`find_all` gives each of them."""
         found = {}
-        for doc_id in doc_ids:
-            for k in np.flatnonzero(self.ids == doc_id)[:1]:
-                found[doc_id] = next(self.documents(int(k), int(k) + 1))
+        for doc_id, ids in self.find_all(doc_ids):
+            if doc_id in found:
+                raise ValueError(f"several documents have the id {doc_id}")
+            found[doc_id] = ids
         return found
 
     def close(self) -> None:

@@ -165,3 +165,19 @@ def test_packing_awkward_rows(documents, awkward):
     assert max(r.piece for r in rows if r.doc_id == 6) > 5
     checked_sequences(rows, 2048)
     assert packing.pack(documents([]), PATH, 0).collect() == []
+
+
+def test_documents_that_share_an_id_are_all_found(tmp_path):
+    path = f"file://{tmp_path}/a.zst"
+    writer = binary.FrameWriter(path)
+    rows = [(1, [5]), (2, [6, 7]), (2, []), (None, [8]), (3, [9]), (2, [6, 7]), (None, [])]
+    for doc_id, ids in rows:
+        writer.document(doc_id, np.array(ids, np.uint32))
+    writer.close()
+    reader = binary.FrameReader(path)
+    asked = [2, None, 4, 2]
+    assert [(i, ids.tolist()) for i, ids in reader.find_all(asked)] == [r for r in rows if r[0] in asked]
+    assert list(reader.find_all([])) == [] and list(reader.find([1, 3])) == [1, 3]
+    with pytest.raises(ValueError):
+        reader.find([1, 2])
+    reader.close()
