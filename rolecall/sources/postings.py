@@ -72,8 +72,18 @@ def read_existing(spark: SparkSession, path: str, touched: DataFrame) -> DataFra
     keys = [c for c in STORE_PARTITIONS if c in touched.columns]
     # A few searches times a few days, so this side is checked to stay small by
     # the planner's own threshold; it also prunes the partitions to read.
-    named = touched.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in keys]).distinct()
-    return read_store(spark, path).join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_semi")
+    return in_partitions(read_store(spark, path), touched.select(*keys).distinct(), keys, "left_semi")
+
+
+def in_partitions(rows: DataFrame, named: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` whose partition is, or isn't, in ``named``, by plain equality with null as
+    empty text: Spark prunes partitions by that, not by null-safe equality, and only where
+    the other side has a comparison, which here is true of every row."""
+    def told(column: str):
+        return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+    other = named.select(*[told(c).alias(f"_{c}") for c in keys]).where(F.col(f"_{keys[0]}") >= "")
+    return rows.join(other, [told(c) == F.col(f"_{c}") for c in keys], how)
 
 
 def read_postings_stream(spark: SparkSession, path: str, schema,

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rolecall.session import materialize, shared_files
-from rolecall.sources.postings import STORE_PARTITIONS
+from rolecall.sources.postings import STORE_PARTITIONS, in_partitions
 from rolecall.sources.sinks import first_of_url, upsert_postings
 
 COMMIT = "commit_id"
+KEYS = list(STORE_PARTITIONS)
 
 #: Key of the metadata that a table of folders keeps the columns of the store under.
 COLUMNS = "columns"
@@ -107,9 +108,9 @@ class VersionedStore:
         The table has a row per partition; it prunes the folders that are read."""
         columns = T.StructType.fromJson(folders.schema[COMMIT].metadata[COLUMNS])
         if touched is not None:
-            folders = _where_partition(folders, touched, "left_semi")
+            folders = in_partitions(folders, touched, KEYS, "left_semi")
         rows = folders.sparkSession.read.schema(columns.add(COMMIT, "string")).parquet(f"{self.path}/data")
-        return _where_partition(rows, folders, "left_semi", COMMIT).drop(COMMIT)
+        return in_partitions(rows, folders, [COMMIT, *KEYS], "left_semi").drop(COMMIT)
 
     def _write(self, new: DataFrame, touched: DataFrame, folders: DataFrame | None) -> str:
         """Writes the partitions at hand, and the table of folders with them in it."""
@@ -120,7 +121,7 @@ class VersionedStore:
          .parquet(f"{self.path}/data/{COMMIT}={commit}"))
         held = touched.withColumn(COMMIT, F.lit(commit))
         if folders is not None:
-            held = _where_partition(folders, touched, "left_anti").unionByName(held)
+            held = in_partitions(folders, touched, KEYS, "left_anti").unionByName(held)
         # Stored columns may be null in folders written before they came.
         columns = T.StructType([T.StructField(f.name, f.dataType) for f in new.schema])
         described = F.col(COMMIT).alias(COMMIT, metadata={COLUMNS: columns.jsonValue()})
@@ -144,11 +145,3 @@ class VersionedStore:
                 return False
             raise
         return True
-
-
-def _where_partition(rows: DataFrame, folders: DataFrame, how: str, *more: str) -> DataFrame:
-    """Rows whose partition is, or isn't, in ``folders``; null is a partition, too."""
-    keys = [*STORE_PARTITIONS, *more]
-    named = folders.select(*[F.col(c).alias(f"_{c}") for c in keys])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in STORE_PARTITIONS]
-    return rows.join(named, [*same, *[F.col(c) == F.col(f"_{c}") for c in more]], how)

@@ -113,3 +113,15 @@ def test_stored_rows_of_a_null_partition_stay(spark, tmp_path):
         sinks.write_postings(day(spark, {"url": url}).withColumn("name", F.lit(None).cast("string")), path)
     sinks.write_postings(day(spark, {"url": "u3"}, name=""), path)
     assert sorted(r.url for r in readers.read_store(spark, path).collect()) == ["u1", "u2", "u3"]
+
+
+def test_only_folders_of_the_version_are_read(spark, tmp_path):
+    store, path = VersionedStore(str(tmp_path / "store")), str(tmp_path / "plain")
+    for url in ("u1", "u2"):
+        store.merge(day(spark, {"url": url}, {"url": url, **LATER}))
+        sinks.write_postings(day(spark, {"url": url}, {"url": url, **LATER}), path)
+    at_hand = spark.createDataFrame([("s", "2025", "11", "20251104")], "name string, year string, month string, day string")
+    for rows, files in ((store.read(spark), 4), (readers.read_existing(spark, path, at_hand), 2)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "dynamicpruning" in plan
+        assert rows.count() == files
