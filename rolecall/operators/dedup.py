@@ -151,9 +151,10 @@ def fold_slices(rows: DataFrame, ttl_seconds: int,
     return news, materialize(seen_after(store, news, lapsed), "seen")
 
 
-def fold_changes(rows: DataFrame, ttl_seconds: int, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fold_changes(rows: DataFrame, ttl_seconds: int, seen: DataFrame, last=None) -> tuple[DataFrame, DataFrame]:
     """What rows of any span of time change in a store: the new postings, and
-    (company_key, _expiry) of the sets that ran out.
+    (company_key, _expiry) of the sets that ran out by the last row, or by ``last``
+    if that is later.
 
     The rows are written once, by slice; each step reads its slice only and
     writes what it found. There are as many steps as slices hold rows, and each
@@ -169,12 +170,15 @@ def fold_changes(rows: DataFrame, ttl_seconds: int, seen: DataFrame) -> tuple[Da
     news, lapsed = scratch_path(spark, "news"), scratch_path(spark, "lapsed")
     spark.createDataFrame([], schema).write.parquet(news)
     spark.createDataFrame([], "company_key string, _expiry timestamp").write.parquet(lapsed)
-    for step, end in enumerate(ends, 1):
-        part = sliced.where(F.col("slice") == end["slice"]).drop("slice")
-        found, gone = dedup_slice(part, store, ttl_seconds, F.timestamp_micros(F.lit(end["last"])))
+    steps = [(end["slice"], F.timestamp_micros(F.lit(end["last"]))) for end in ends]
+    if last is not None:
+        steps.append((None, last))  # no rows, but sets may run out until then
+    for step, (slice_number, until) in enumerate(steps, 1):
+        part = sliced.where(F.col("slice") == F.lit(slice_number)).drop("slice")
+        found, gone = dedup_slice(part, store, ttl_seconds, until)
         found.write.mode("append").parquet(news)
         gone.write.mode("append").parquet(lapsed)
-        if step < len(ends):
+        if step < len(steps):
             store = seen_after(store, found, gone)
             if step % APPENDS == 0:
                 store = materialize(store, "seen")
@@ -212,6 +216,93 @@ def fold_companies(rows: DataFrame, ttl_seconds: int) -> DataFrame:
     return walked.drop("at")
 
 
+def _walk_changes(ttl_micros: int, last: int):
+    """Walks what companies hold and then what arrives for them, as :func:`_fold_sorted`
+    does; returns the new rows, and for each company whose set ran out by ``last`` a row
+    that is marked and has the latest such time."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        company, live, expiry, gone = None, set(), None, None
+        ended: list[tuple[str, int]] = []
+
+        def end() -> None:
+            out = expiry if expiry is not None and expiry <= last else gone
+            if out is not None:
+                ended.append((company, out))
+
+        def marks(schema: pa.Schema) -> pa.RecordBatch:
+            keys, times = [key for key, _ in ended], [at for _, at in ended]
+            ended.clear()
+            return pa.RecordBatch.from_arrays([
+                pa.array(keys, schema.field("company_key").type), pa.nulls(len(keys), schema.field("content_hash").type),
+                pa.array(times, pa.int64()).cast(schema.field("ts").type), pa.nulls(len(keys), schema.field("id").type),
+                pa.array([True] * len(keys), pa.bool_())], schema=schema)
+
+        schema = None
+        for batch in batches:
+            keep = []
+            columns = (batch.column(name).to_pylist() for name in ("company_key", "content_hash", "at", "marked"))
+            for row, (key, content, at, held) in enumerate(zip(*columns)):
+                if key != company:
+                    end()
+                    company, live, expiry, gone = key, set(), None, None
+                if held:
+                    live.add(content)
+                    expiry = max(expiry or 0, at + ttl_micros)
+                    continue
+                if expiry is not None and at >= expiry:
+                    live, gone, expiry = set(), expiry, None
+                if content not in live:
+                    live.add(content)
+                    # A row that is late does not turn the clock back.
+                    expiry = at + ttl_micros if expiry is None else max(expiry, at + ttl_micros)
+                    keep.append(row)
+            found = batch.take(pa.array(keep, pa.int64())).select(["company_key", "content_hash", "ts", "id", "marked"])
+            schema = found.schema
+            yield found
+            yield marks(schema)
+        end()
+        if ended:
+            yield marks(schema)
+    return walk
+
+
+def batch_changes(rows: DataFrame, ttl_seconds: int, seen: DataFrame,
+                  hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """As :func:`fold_changes`, in a number of steps that does not grow with the time that
+    the rows span: a company is walked in order, what it holds ahead of what arrives.
+
+    Companies that hold or are sent more than ``hot_rows`` together are folded in slices,
+    as no task may have them whole. Of the sets that ran out the latest one of a company is
+    told, which is all that :func:`seen_after` asks for. Rows without a time are dropped.
+    """
+    width = _checked_ttl(ttl_seconds) * 1_000_000
+    arriving = rows.where(F.col("ts").isNotNull()).select(*KEYS, "ts", "id", F.lit(False).alias("marked"))
+    held = seen.select(*KEYS, F.col("seen_at").alias("ts"),
+                       F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(True).alias("marked"))
+    both = materialize(arriving.unionByName(held), "changes")
+    last = both.where(~F.col("marked")).agg(F.max("ts").alias("last"), F.unix_micros(F.max("ts")).alias("at")).first()
+    gone = [F.col("company_key"), F.col("ts").alias("_expiry")]
+    if last["at"] is None:
+        none = both.where("false")
+        return none.select(*KEYS, "ts", "id"), none.select(*gone)
+    sizes = both.groupBy("company_key").agg(F.count("*").alias("n"))
+    hot = materialize(sizes.where(F.col("n") > hot_rows).select("company_key", F.lit(True).alias("_hot")), "hot")
+    cold, some_hot = both, not hot.isEmpty()
+    if some_hot:
+        split = salted_join(both, hot, ["company_key"], "left", spread_by=["content_hash", "ts"])
+        cold = split.where(F.col("_hot").isNull()).drop("_hot")
+    ordered = cold.withColumn("at", F.unix_micros("ts")).repartition("company_key").sortWithinPartitions(
+        "company_key", F.desc("marked"), "at", "id")
+    walked = materialize(ordered.mapInArrow(_walk_changes(width, last["at"]), both.schema), "walked")
+    news, lapsed = walked.where(~F.col("marked")).select(*KEYS, "ts", "id"), walked.where("marked").select(*gone)
+    if some_hot:
+        large = split.where("_hot").drop("_hot")
+        more, ended = fold_changes(large.where(~F.col("marked")), ttl_seconds, large.where("marked").select(
+            *KEYS, F.col("ts").alias("seen_at")), F.timestamp_micros(F.lit(last["at"])))
+        news, lapsed = news.unionByName(more), lapsed.unionByName(ended)
+    return news, lapsed
+
+
 def dedup_with_expiry(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id: str = "id",
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """The postings that were new when they arrived, in the order (ts, id).

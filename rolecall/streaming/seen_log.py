@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall import schemas
-from rolecall.operators.dedup import KEYS, fold_changes, seen_after
+from rolecall.operators.dedup import KEYS, batch_changes, seen_after
 from rolecall.sources.postings import read_store
 
 LAPSED = "company_key string, _expiry timestamp"
@@ -53,7 +53,7 @@ class SeenLog:
     def append(self, rows: DataFrame, batch: int, ttl_seconds: int) -> DataFrame:
         """The new postings among ``rows`` (company_key, content_hash, ts, id); remembers them."""
         spark = rows.sparkSession
-        news, lapsed = fold_changes(rows, ttl_seconds, self.before(spark, batch))
+        news, lapsed = batch_changes(rows, ttl_seconds, self.before(spark, batch))
         news.select(*KEYS, F.col("ts").alias("seen_at")).write.mode("overwrite").parquet(self._path("added", batch))
         lapsed.write.mode("overwrite").parquet(self._path("lapsed", batch))
         if (batch + 1) % self.compact_every == 0:

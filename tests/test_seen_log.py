@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from rolecall import schemas
+from rolecall.operators import dedup
 from rolecall.streaming.seen_log import SeenLog
 from test_dedup import SCHEMA, at, random_arrivals, slow_fold
 
@@ -32,3 +34,28 @@ def test_a_batch_writes_what_it_brings(spark, tmp_path):
 def test_bases_are_spaced(tmp_path):
     with pytest.raises(ValueError):
         SeenLog(str(tmp_path), 0)
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 9])
+def test_changes_are_those_of_slices(spark, hot_rows):
+    """Random arrivals of many ttls in two batches, the last of which has a late row; companies that stay away lapse, too."""
+    rows = sorted(random_arrivals(9, 60, 60), key=lambda r: (r[2], r[3]))
+    parts = [rows[:20] + [("quiet", "A", rows[15][2], 900)], rows[20:] + [("late", "A", rows[3][2], 901)]]
+    stores = [spark.createDataFrame([], schemas.SEEN)] * 2
+    for part in parts:
+        df, after = spark.createDataFrame(part, SCHEMA), []
+        walked = dedup.batch_changes(df, 600, stores[0], hot_rows)
+        sliced = dedup.fold_changes(df, 600, stores[1])
+        assert sorted(map(tuple, walked[0].collect())) == sorted(map(tuple, sliced[0].collect())) != []
+        stores = [dedup.materialize(dedup.seen_after(store, *changes), "store") for store, changes in zip(stores, (walked, sliced))]
+        assert sorted(map(str, stores[0].collect())) == sorted(map(str, stores[1].collect()))
+    none = dedup.batch_changes(spark.createDataFrame([], SCHEMA), 20, stores[0])
+    assert [df.count() for df in none] == [0, 0]
+
+
+def test_a_long_batch_takes_no_step_per_ttl(spark, tmp_path, monkeypatch):
+    """A batch that spans hundreds of ttls was a job or more for each of them."""
+    monkeypatch.setattr(dedup, "dedup_slice", None)
+    rows = [("c", "A", at(100 * i), i) for i in range(300)]
+    news = SeenLog(str(tmp_path / "log")).append(spark.createDataFrame(rows, SCHEMA), 0, 10)
+    assert news.count() == 300
