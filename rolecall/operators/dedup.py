@@ -315,9 +315,10 @@ def dedup_with_expiry(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id:
     spread over all tasks. Both ways give the same rows.
     """
     _checked_ttl(ttl_seconds)
-    # Written once, so that the long texts are hashed once and not per use below.
-    keyed = materialize(postings.select(
-        *KEYS, _required(ts, "timestamp").alias("ts"), _required(id).alias("id")), "keyed")
+    # Written once and whole: what makes postings, such as parsing pages, is not done per use below.
+    whole = materialize(postings.withColumns({
+        "_arrived_at": _required(ts, "timestamp"), "_arrived_as": _required(id)}), "postings")
+    keyed = whole.select(*KEYS, F.col("_arrived_at").alias("ts"), F.col("_arrived_as").alias("id"))
     hot = keyed.groupBy("company_key").agg(F.count("*").alias("n")).where(
         F.col("n") > hot_rows).select("company_key", F.lit(True).alias("_hot"))
     if hot.isEmpty():
@@ -330,6 +331,6 @@ def dedup_with_expiry(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id:
             fold_slices(split.where("_hot").drop("_hot"), ttl_seconds)[0])
     # On all that tells a row, as an id may come with other contents.
     found = news.select(*KEYS, F.col("ts").alias("_ts"), F.col("id").alias("_id"))
-    same = [postings[k].eqNullSafe(found[k]) for k in KEYS]
-    same += [postings[ts].cast("timestamp") == found["_ts"], postings[id] == found["_id"]]
-    return keep_first(postings.join(found, same, "left_semi"), [*KEYS, ts, id], [F.lit(0)])
+    same = [whole[k].eqNullSafe(found[k]) for k in KEYS]
+    same += [whole["_arrived_at"] == found["_ts"], whole["_arrived_as"] == found["_id"]]
+    return keep_first(whole.join(found, same, "left_semi").select(*postings.columns), [*KEYS, ts, id], [F.lit(0)])

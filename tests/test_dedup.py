@@ -186,3 +186,17 @@ def test_salted_join_keeps_every_row(spark):
     left = joins.salted_join(big, small, ["k"], "left", ["i"])
     assert left.count() == 302 and left.where("v = 'h'").count() == 300
     assert joins.salted_join(big, small.select("k"), ["k"], "left_anti", ["i"]).count() == 1
+
+
+def test_postings_are_made_once(spark):
+    """A function that makes postings ran for the keys and again for the rows returned."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(ARRIVALS, SCHEMA).mapInArrow(make, SCHEMA)
+    assert sorted(r.id for r in dedup.dedup_with_expiry(rows, 5).collect()) == [1, 3, 4, 5, 7]
+    assert made.value == len(ARRIVALS)
