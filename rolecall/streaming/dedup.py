@@ -26,32 +26,32 @@ class SeenPostings(StatefulProcessor):
         self.handle = handle
         content = T.StructType([T.StructField("content_hash", T.StringType())])
         moment = T.StructType([T.StructField("at", T.LongType())])
-        self.live = handle.getMapState("live", content, moment)
+        self.live = handle.getListState("contents", content)
         self.expiry = handle.getValueState("expiry", moment)
         self.timer = handle.getValueState("timer", moment)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrivals = pd.concat(list(rows)).sort_values(["ts", "id"])
+        times = [ts.value // 1_000_000 for ts in arrivals["ts"]]
         stored = self.expiry.get()
         before = expiry = stored[0] if stored else None
-        looked_up: dict[str, bool] = {}
-        new = []
-        for content, ts in zip(arrivals["content_hash"], arrivals["ts"]):
-            at = ts.value // 1_000_000
+        # A call of the state costs more than a row, so the set is read and added to at once.
+        lapsed = before is not None and times[0] >= before
+        live = {content for content, in self.live.get()} if before is not None and not lapsed else set()
+        new, added = [], []
+        for content, at in zip(arrivals["content_hash"], times):
             if expiry is not None and at >= expiry:
-                self.live.clear()
-                looked_up = {}
-                cleared = True
-            else:
-                cleared = False
-            if content not in looked_up:
-                looked_up[content] = not cleared and self.live.containsKey((content,))
-            new.append(not looked_up[content])
+                live, added, lapsed = set(), [], True
+            new.append(content not in live)
             if new[-1]:
-                self.live.updateValue((content,), (at,))
-                looked_up[content] = True
+                live.add(content)
+                added.append((content,))
                 # A row that is late does not turn the clock back.
                 expiry = max(expiry or 0, at + self.ttl)
+        if lapsed and before is not None:
+            self.live.put(added)
+        elif added:
+            self.live.appendList(added)
         if expiry != before:
             self.expiry.update((expiry,))
         if timer := self.timer.get():
@@ -81,7 +81,7 @@ def dedup_stream(postings: DataFrame, ttl_seconds: int, ts: str = "ts", id: str
     without arrivals for ``kept_seconds`` (at least the ttl) of running time is
     forgotten; a replay that pauses longer starts it anew. State is kept
     by company, off heap; what a company's task handles at once is bounded
-    by the files per trigger. For streams in which one company may fill whole
+    by its live set and the files per trigger. For streams in which one company may fill whole
     triggers, :func:`rolecall.streaming.search.run_search_stream` keeps its state
     in tables instead and has no such task.
     """

@@ -110,3 +110,57 @@ def test_totals_of_counts_are_a_recount(spark, tmp_path):
         for kind in ("category", "tag"):
             assert sorted(map(str, job.totals(spark, kind, number).collect())) == sorted(
                 map(str, job.summary(spark, kind).collect()))
+
+
+def test_state_is_called_a_few_times_per_company_and_batch(spark):
+    """Every row asked the state and most wrote to it; now a set is read and added to at once."""
+    import pandas as pd
+    from rolecall.streaming.dedup import SeenPostings
+
+    class State:
+        def __init__(self, calls):
+            self.calls, self.held = calls, None
+
+        def __getattr__(self, name):
+            def call(value=None):
+                self.calls.append(name)
+                if name in ("update", "put"):
+                    self.held = value
+                elif name == "appendList":
+                    self.held = (self.held or []) + value
+                elif name == "get":
+                    return iter(self.held or []) if isinstance(self.held, list) or self.listed else self.held
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.calls = []
+
+        def _state(self, *_, listed=False):
+            state = State(self.calls)
+            state.listed = listed
+            return state
+
+        getValueState = getMapState = _state
+
+        def getListState(self, *_):
+            return self._state(listed=True)
+
+        def registerTimer(self, _):
+            self.calls.append("registerTimer")
+
+        deleteTimer = registerTimer
+
+    def rows(days, contents):
+        return iter([pd.DataFrame({"company_key": "c", "content_hash": contents, "arrived_ms": 0, "id": range(len(days)),
+                                   "ts": pd.to_datetime([START + timedelta(days=d) for d in days])})])
+
+    handle, processor = Handle(), SeenPostings(5 * 86_400_000, 7 * 86_400_000)
+    processor.init(handle)
+    fresh = lambda days, contents: list(next(iter(processor.handleInputRows(("c",), rows(days, contents), None)))["id"])
+    many = [f"t{i}" for i in range(500)]
+    assert len(fresh([0] * 500, many)) == 500 and len(handle.calls) <= 10
+    assert fresh([1, 4, 4], ["t3", "new", "new"]) == [1]
+    # Renewed on day 4, so t3 is known on day 8; on day 9 the set is gone, and what comes then is remembered.
+    assert fresh([8, 9, 9], ["t3", "t3", "new"]) == [1, 2]
+    assert fresh([10, 10], ["t3", "t4"]) == [1]
