@@ -9,16 +9,28 @@ from rolecall.functions import text
 #: Copies of the small side in a salted join.
 SALTS = 16
 
+#: Rows up to which the planner may broadcast a side that it takes for small.
+BROADCAST_ROWS = 100_000
+
+
+def by_rows(side: DataFrame, rows: int, copies: int = 1) -> DataFrame:
+    """A side of a join for which the planner has the size of its files only. Many short
+    rows make small files and large broadcasts, which pass through the driver, so beyond
+    ``BROADCAST_ROWS`` copies it is shuffled."""
+    return side.hint("merge") if rows * copies > BROADCAST_ROWS else side
+
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str,
-                spread_by: list[str], salts: int = SALTS) -> DataFrame:
+                spread_by: list[str], salts: int = SALTS, rows: int | None = None) -> DataFrame:
     """Join where one key of ``big`` may hold a third of its rows.
 
     The rows of a key are spread over ``salts`` groups and ``small``, which has
     few rows per key, is copied to each. Spark still broadcasts ``small`` where
-    its measured size allows.
+    its measured size allows, and where ``rows``, if told, are few.
     """
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if rows is not None:
+        copies = by_rows(copies, rows, salts)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
