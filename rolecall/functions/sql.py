@@ -1,4 +1,5 @@
-"""The functions for SQL. Spark inlines their bodies into the plan."""
+"""The functions for SQL. Spark inlines their bodies into the plan, so what a body needs
+several times is named by a lambda over an array of one: it is computed once."""
 
 from __future__ import annotations
 
@@ -36,8 +37,8 @@ FUNCTIONS = (
 
 
 def _classification(taxonomy: Taxonomy) -> tuple[KeywordTables, tuple]:
-    """Classification as functions of each other: texts to keyword positions,
-    positions to scores, scores to the result."""
+    """Classification as functions: positions to scores, scores to the result, and all of
+    it in one, in which each text is scanned once. Equal calls in one SELECT share that."""
     tables = KeywordTables(taxonomy)
     if tables.regex:
         raise ValueError("classify the table instead: SQL functions take plain keywords only")
@@ -47,30 +48,39 @@ def _classification(taxonomy: Taxonomy) -> tuple[KeywordTables, tuple]:
         weights = f"from_json({sql_text(str(tables.weights(category, field)))}, 'array<int>')"
         return f"aggregate({found}, 0, (total, i) -> total + get({weights}, i))"
 
-    scores = ", ".join(f"{total('in_title', n, 'title')} + {total('in_description', n, 'description')}"
-                       for n in names)
-    best = "array_max(scores)"
-    chosen = " ".join(f"WHEN scores[{i}] = {best} THEN {sql_text(n)}" for i, n in enumerate(names))
-    tags = f"from_json({sql_text(json.dumps(tables.tags()))}, 'array<array<string>>')"
+    def scores(in_title: str, in_description: str) -> str:
+        return "array(" + ", ".join(f"{total(in_title, n, 'title')} + {total(in_description, n, 'description')}"
+                                    for n in names) + ")"
+
+    def tags(found: str) -> str:
+        table = f"from_json({sql_text(json.dumps(tables.tags()))}, 'array<array<string>>')"
+        return f"array_sort(array_distinct(flatten(transform({found}, i -> get({table}, i)))))"
+
+    def category(of: str) -> str:
+        chosen = " ".join(f"WHEN {of}[{i}] = array_max({of}) THEN {sql_text(n)}" for i, n in enumerate(names))
+        return f"CASE WHEN array_max({of}) < 1 THEN {sql_text(taxonomy.default_category)} {chosen} END"
+
+    def confidence(of: str) -> str:
+        return (f"CASE WHEN array_max({of}) < 1 THEN {DEFAULT_CONFIDENCE}D "
+                f"ELSE least(array_max({of}) / {FULL_SCORE}D, 1.0D) END")
+
     reach = max(longest_length(tables.plain) - 1, 0)
     title, description = "lower(coalesce(title, ''))", "lower(coalesce(description, ''))"
     seam = f"concat(right({title}, {reach}), ' ', left({description}, {reach}))"
-    in_both = f"concat(keywords_in({title}), keywords_in({description}), keywords_in({seam}))"
+    found = (f"array(named_struct('t', keywords_in({title}), 'd', keywords_in({description}), "
+             f"'s', keywords_in({seam})))")
+    scored = (f"transform({found}, f -> named_struct('scores', {scores('f.t', 'f.d')}, "
+              f"'tags', {tags('concat(f.t, f.d, f.s)')}))")
     result = "STRUCT<category: STRING, tags: ARRAY<STRING>, confidence: DOUBLE>"
     return tables, (
-        ("keyword_scores", f"in_title {ids}, in_description {ids}", ids, f"array({scores})"),
-        ("tags_of_keywords", f"found {ids}", "ARRAY<STRING>",
-         f"array_sort(array_distinct(flatten(transform(found, i -> get({tags}, i)))))"),
-        ("best_category", f"scores {ids}", "STRING",
-         f"CASE WHEN {best} < 1 THEN {sql_text(taxonomy.default_category)} {chosen} END"),
-        ("best_confidence", f"scores {ids}", "DOUBLE",
-         f"CASE WHEN {best} < 1 THEN {DEFAULT_CONFIDENCE}D ELSE least({best} / {FULL_SCORE}D, 1.0D) END"),
-        ("extract_tags", "title STRING, description STRING", "ARRAY<STRING>",
-         f"tags_of_keywords({in_both})"),
+        ("keyword_scores", f"in_title {ids}, in_description {ids}", ids, scores("in_title", "in_description")),
+        ("tags_of_keywords", f"found {ids}", "ARRAY<STRING>", tags("found")),
+        ("best_category", f"scores {ids}", "STRING", category("scores")),
+        ("best_confidence", f"scores {ids}", "DOUBLE", confidence("scores")),
         ("classify", "title STRING, description STRING", result,
-         f"named_struct('category', best_category(keyword_scores(keywords_in({title}), keywords_in({description}))), "
-         f"'tags', extract_tags(title, description), "
-         f"'confidence', best_confidence(keyword_scores(keywords_in({title}), keywords_in({description}))))"),
+         f"transform({scored}, f -> named_struct('category', {category('f.scores')}, 'tags', f.tags, "
+         f"'confidence', {confidence('f.scores')}))[0]"),
+        ("extract_tags", "title STRING, description STRING", "ARRAY<STRING>", "classify(title, description).tags"),
     )
 
 

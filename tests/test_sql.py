@@ -41,3 +41,12 @@ def test_classification_in_sql(spark, sf_dir):
     assert sorted(map(tuple, tags.collect())) == sorted(map(tuple, expected.select("id", "tags").collect()))
     with pytest.raises(ValueError):
         register_functions(spark, Taxonomy((("A", "title", r"\bgo\b", 3),), ()))
+
+
+def test_classify_in_sql_scans_each_text_once(spark):
+    """Title, description and the seam, whatever fields of the result are made of them."""
+    register_functions(spark)
+    spark.createDataFrame([("a", "b")], "title string, description string").createOrReplaceTempView("texts")
+    for call in ("classify(title, description)", "extract_tags(title, description)"):
+        plan = spark.sql(f"SELECT {call} AS c FROM texts")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 3
