@@ -49,6 +49,10 @@ BITMAP_LONGS = 8
 #: Rounds in which each document meets one pivot, before pairs are made.
 PIVOT_ROUNDS = 3
 
+#: Shingles before its own that each entry of a class brings to the join of pairs. A pair
+#: that has one of these in common is made there, so it isn't made again.
+EARLIER = 8
+
 #: Classes of a shingle that :func:`all_links` compares in one task; more are dealt
 #: to blocks, and each two blocks meet by themselves.
 BLOCK = 1000
@@ -102,16 +106,26 @@ def _describe(size: int):
             yield pa.record_batch(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()),
                  *[pa.array(c) for c in columns], nothing, nothing, pa.array(parities, pa.binary())], names=_DESCRIBED)
-            values, times = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]),
-                                      return_counts=True)
-            again = times > 1
-            nothing = pa.nulls(int(again.sum()), pa.int64())
+            every = np.concatenate([*distinct.values(), np.zeros(0, np.uint64)])
+            distinct.clear()
+            values, times = _repeated(every)
+            nothing = pa.nulls(len(values), pa.int64())
             yield pa.record_batch(
-                [nothing] * (3 + BITMAP_LONGS) + [pa.array(values[again].view(np.int64)), pa.array(times[again]),
+                [nothing] * (3 + BITMAP_LONGS) + [pa.array(values.view(np.int64)), pa.array(times),
                                                   pa.nulls(len(nothing), pa.binary())], names=_DESCRIBED)
     return run
 
 
+def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur more than once, ascending, and how often each. Sorts ``values``
+    in place, as a copy would hold all shingles of a batch again."""
+    values.sort()
+    same = values[1:] == values[:-1]
+    starts = np.flatnonzero(same & np.concatenate([np.ones(1, bool), ~same[:-1]])[:len(same)])
+    found = values[starts]
+    return found, np.searchsorted(values, found, side="right") - starts
+
+
 _BITS = [f"bits{i}" for i in range(BITMAP_LONGS)]
 _DESCRIBED = ["doc_id", "sig", "n", *_BITS, "shingle", "times", "parity"]
 
@@ -247,7 +261,7 @@ def _prepared(documents: DataFrame, words: int, threshold: Fraction, held: Scrat
     shown = texts.mapInArrow(_first_shingles(words, frequent, times, threshold),
                              "shingle bigint, sig bigint, frequent boolean")
     # A class with many shingles that others show, too, is in the middle of its group.
-    middle = F.count("*").over(Window.partitionBy("sig"))
+    middle = F.sum("times").over(Window.partitionBy("sig"))
     entries = held.table(_shared(shown).join(classes.drop("doc_id"), "sig").withColumn("degree", middle), "entries")
     shapes = described.where("sig is not null").select("sig", "n", "parity")
     bits = described.where("sig is not null").groupBy("sig").agg(*[F.min(b).alias(b) for b in _BITS])
@@ -283,7 +297,7 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
         if number < PIVOT_ROUNDS:
             pairs = _pivot_pairs(left, F.xxhash64("sig", F.lit(number)), threshold)
         else:
-            pairs = _all_pairs(left, bits, threshold)
+            pairs = _all_pairs(left, bits, threshold).distinct()
         links = links.unionByName(verified(pairs))
     held.clear()
     return JaccardJoin(members, links)
@@ -306,18 +320,25 @@ def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shared(shown: DataFrame) -> DataFrame:
-    """The distinct (shingle, sig) whose shingle may be shown by more than one class.
+    """(shingle, sig, times): the shingles that may be shown by more than one class, each
+    with its classes once. Shingles shown by the same classes make the same pairs, so one
+    row stands for all of them, ``times`` many, under a hash of what they have in common;
+    should two hashes be equal, classes meet that needn't, and none is lost.
 
-    Rare shingles have few rows each, so a window tells. Frequent ones, of which
+    Rare shingles have few rows each, so windows tell. Frequent ones, of which
     one may be in any share of the documents, are only combined before and after
     the shuffle on both columns.
     """
     of_shingle = Window.partitionBy("shingle")
     rare = (shown.where(~F.col("frequent"))
             .withColumns({"low": F.min("sig").over(of_shingle), "high": F.max("sig").over(of_shingle)})
-            .where("low != high"))
-    return (rare.select("shingle", "sig").distinct()
-            .unionByName(shown.where("frequent").select("shingle", "sig").distinct()))
+            .where("low != high").select("shingle", "sig", "low", "high").distinct()
+            .withColumns({"holders": F.count("*").over(of_shingle),
+                          "each": F.bit_xor(F.xxhash64("sig")).over(of_shingle)}))
+    together = F.xxhash64("low", "high", "holders", "each").alias("shingle")
+    return (rare.groupBy(together, "sig").agg(F.count("*").alias("times"))
+            .unionByName(shown.where("frequent").select("shingle", "sig").distinct().withColumn(
+                "times", F.lit(1).cast("bigint"))))
 
 
 def _pivot_pairs(entries: DataFrame, rank, threshold: Fraction) -> DataFrame:
@@ -325,11 +346,11 @@ def _pivot_pairs(entries: DataFrame, rank, threshold: Fraction) -> DataFrame:
     The pivot of a shingle is its class of highest rank, by bands of similar size."""
     ratio = float(threshold.denominator) / threshold.numerator
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))).cast("int")
-    banded = entries.select("shingle", "sig", "n", "component", band.alias("band"), rank.alias("rank"))
+    banded = entries.select("shingle", "sig", "n", "component", "times", band.alias("band"), rank.alias("rank"))
     pivots = banded.groupBy("shingle", "band").agg(F.max(F.struct("rank", "sig", "n", "component")).alias("pivot"))
     met = banded.withColumn("own", F.struct("sig", "n")).join(pivots, ["shingle", "band"]).where(
         (F.col("component") != F.col("pivot.component")) & _similar_size("own", "pivot", threshold))
-    shared = met.groupBy("sig", F.col("pivot.sig").alias("pivot")).agg(F.count("*").alias("times"))
+    shared = met.groupBy("sig", F.col("pivot.sig").alias("pivot")).agg(F.sum("times").alias("times"))
     best = shared.groupBy("sig").agg(F.max(F.struct("times", "pivot")).alias("best"))
     return best.select(F.least("sig", "best.pivot").alias("x"), F.greatest("sig", "best.pivot").alias("y")).distinct()
 
@@ -344,12 +365,17 @@ def _open(entries: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def _all_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
-    """All pairs that share a shingle, may reach the threshold and are not connected."""
-    wide = entries.join(bits, "sig")
+    """All pairs that share a shingle, may reach the threshold and are not connected.
+    Similar classes share many; such a pair is made at the first shingle they share, and
+    again only where more than :data:`EARLIER` shingles of one lie between two of those."""
+    before = Window.partitionBy("sig").orderBy("shingle").rowsBetween(-EARLIER, -1)
+    wide = entries.select("shingle", "sig", "n", "component", F.collect_list("shingle").over(before).alias("earlier")).join(
+        bits, "sig")
     x, y = wide.alias("x"), wide.alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sig") < F.col("y.sig"))
-                 & (F.col("x.component") != F.col("y.component")) & _reachable("x", "y", threshold))
-    return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y")).distinct()
+                 & (F.col("x.component") != F.col("y.component")) & _reachable("x", "y", threshold)
+                 & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y"))
 
 
 def _block_pairs(entries: DataFrame, bits: DataFrame, threshold: Fraction, block: int) -> DataFrame:

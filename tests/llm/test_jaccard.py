@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from rolecall.llm import jaccard
 from rolecall.llm.graph import components
 from rolecall.llm.jaccard import all_links, jaccard_join, link_counts
 from rolecall.llm.queries import op8_jaccard
@@ -135,3 +138,39 @@ def test_every_link_of_a_group(documents, block):
     assert len(pairs) == len(set(pairs)) == sum(expected) // 2 and all(x < y for x, y in pairs)
     counts = link_counts(jaccard_join(documents(rows)).members, links)
     assert sorted(r.n_links for r in counts.collect()) == expected
+
+
+def test_shingles_of_the_same_classes_are_one(spark):
+    """Two classes with 30 shingles in common, of which a third has 10, and copies of rows."""
+    rows = [(g, sig, False) for g in range(30) for sig in (1, 2)] + [(g, 3, False) for g in range(10)]
+    rows += [(99, 4, False)] + [(100, 5, True), (100, 6, True), (100, 6, True)] + rows[:7]
+    found = jaccard._shared(spark.createDataFrame(rows, "shingle bigint, sig bigint, frequent boolean"))
+    held = collections.defaultdict(list)
+    for r in found.collect():
+        held[r.shingle].append((r.sig, r.times))
+    assert sorted(map(sorted, held.values())) == [
+        [(1, 10), (2, 10), (3, 10)], [(1, 20), (2, 20)], [(5, 1), (6, 1)]]
+
+
+@pytest.mark.parametrize("earlier", [1, 8, 100])
+def test_a_pair_is_not_made_at_each_shingle(spark, monkeypatch, earlier):
+    """Each pair at the first shingle it shares, and at a later one only after others in between."""
+    monkeypatch.setattr(jaccard, "EARLIER", earlier)
+    rng = random.Random(earlier)
+    sets = {sig: {g for g in range(60) if rng.random() < 0.5} for sig in range(12)} | {20: set(range(60)), 21: set(range(60))}
+    entries = spark.createDataFrame([(g, sig, 9, sig, 1) for sig, s in sets.items() for g in s],
+                                    "shingle bigint, sig bigint, n bigint, component bigint, times bigint")
+    bits = spark.createDataFrame([(sig,) for sig in sets], "sig bigint").withColumns(
+        {b: F.lit(0).cast("bigint") for b in jaccard._BITS})
+    made = collections.Counter((r.x, r.y) for r in jaccard._all_pairs(entries, bits, jaccard.THRESHOLD).collect())
+    assert set(made) == {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert made[20, 21] == 1 and (earlier < 60 or max(made.values()) == 1)
+
+
+def test_repeated_values():
+    np = jaccard.np
+    for seed in range(30):
+        values = np.random.default_rng(seed).integers(0, 20, seed).astype(np.uint64)
+        every, times = np.unique(values, return_counts=True)
+        found, counts = jaccard._repeated(values)
+        assert found.tolist() == every[times > 1].tolist() and counts.tolist() == times[times > 1].tolist()
