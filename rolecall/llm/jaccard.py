@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rolecall.llm.graph import components
 from rolecall.llm.words import mix, shingle_sets
+from rolecall.llm.worker import lean
 from rolecall.session import Scratch, materialize
 
 #: Words of a shingle, and the least similarity.
@@ -247,7 +248,7 @@ def _prepared(documents: DataFrame, words: int, threshold: Fraction, held: Scrat
     that are similar enough."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{c} {'binary' if c == 'parity' else 'bigint'}" for c in _DESCRIBED)
-    described = materialize(texts.mapInArrow(_describe(words), schema), "described")
+    described = materialize(texts.mapInArrow(lean(_describe(words)), schema), "described")
     members = described.where("shingle is null").select("doc_id", "n", "sig")
     classes = members.where("sig is not null").groupBy("sig").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
@@ -258,7 +259,7 @@ def _prepared(documents: DataFrame, words: int, threshold: Fraction, held: Scrat
     order = np.argsort(frequent)
     frequent, times = frequent[order], common.column("times").to_numpy()[order]
 
-    shown = texts.mapInArrow(_first_shingles(words, frequent, times, threshold),
+    shown = texts.mapInArrow(lean(_first_shingles(words, frequent, times, threshold)),
                              "shingle bigint, sig bigint, frequent boolean")
     # A class with many shingles that others show, too, is in the middle of its group.
     middle = F.sum("times").over(Window.partitionBy("sig"))
@@ -401,7 +402,7 @@ def _left_possible(pairs: DataFrame, parities: DataFrame, threshold: Fraction, s
     shapes = scratch.table(parities.join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "shapes")
     both = (pairs.join(shapes.toDF("x", "n_x", "parity_x"), "x").join(shapes.toDF("y", "n_y", "parity_y"), "y")
             .select("x", "y", "n_x", "n_y", "parity_x", "parity_y"))
-    return both.mapInArrow(_possible(threshold), "x bigint, y bigint")
+    return both.mapInArrow(lean(_possible(threshold)), "x bigint, y bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
@@ -413,7 +414,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     if owners.count() <= MOST_SENT:
         owners = F.broadcast(owners)
     held = texts.alias("t").join(owners.alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
-    sets = scratch.table(held.select("sig", "text").mapInArrow(_sets(words), "sig bigint, shingles binary"), "sets")
+    sets = scratch.table(held.select("sig", "text").mapInArrow(lean(_sets(words)), "sig bigint, shingles binary"), "sets")
     both = (pairs.join(sets.toDF("y", "set_y"), "y").join(sets.toDF("x", "set_x"), "x")
             .select("x", "y", "set_x", "set_y"))
-    return materialize(both.mapInArrow(_linked(threshold), "x bigint, y bigint"), "links")
+    return materialize(both.mapInArrow(lean(_linked(threshold)), "x bigint, y bigint"), "links")

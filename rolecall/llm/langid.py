@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rolecall.llm.worker import dropped, kept
+from rolecall.llm.worker import dropped, kept, lean
 
 #: Bounds of the sample a language is learned from: rows, and bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 128, 384
@@ -216,4 +216,4 @@ def identify(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     keep = base.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
                        + ["lang_pred string", "lang_score double", "lang_bits double"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

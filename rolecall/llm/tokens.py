@@ -27,8 +27,11 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps; beyond it, it starts again.
 MOST_CACHED = 600_000
 
+#: Words handed to the library at a time; what it returns takes far more room than ids.
+LEARNED = 1 << 13
+
 #: Bytes of text encoded together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 _PLAIN = "[A-Za-z0-9À-ÖØ-öø-ɏ]+"
 _SIGNS = r"[!-/:-@\[-`{-~]*"
@@ -56,6 +59,10 @@ class WordEncoder:
         self.used = 1
 
     def _learn(self, words: list[str]) -> None:
+        for low in range(0, len(words), LEARNED):
+            self._learn_some(words[low:low + LEARNED])
+
+    def _learn_some(self, words: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.array([len(e) for e in encoded], np.int64)
         ends = int(self.bounds[self.used - 1]) + np.cumsum(sizes)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from types import ModuleType
 from typing import Any
 
+import pyarrow as pa
+
 
 def _store() -> dict:
     return sys.modules.setdefault("_rolecall_worker", ModuleType("_rolecall_worker")).__dict__
@@ -24,3 +26,20 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, giving back after each batch what Arrow freed but would hold
+    on to. Else that stays with the worker, beside what its next batch or task takes."""
+    def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(spare(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+    return whole

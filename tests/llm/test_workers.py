@@ -4,8 +4,13 @@ import os
 import subprocess
 import sys
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
+from rolecall.llm import jaccard, langid, packing, tokens, worker
+from rolecall.llm.tokens import VOCABULARY, WordEncoder
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 RUN = """
@@ -26,3 +31,54 @@ def test_queries_run_elsewhere(name, sf_dir, tmp_path):
                           env=environment, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "rows" in done.stdout
+
+
+def test_workers_hand_back_what_arrow_freed(monkeypatch):
+    """After each batch and at the end, also where a task stops early; the rows stay."""
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    batches = [pa.record_batch([pa.array([i, i + 1])], names=["x"]) for i in range(3)]
+    run = worker.lean(lambda given: (b for b in given))
+    assert list(run(iter(batches))) == batches and pool.released == 4
+    stopped = run(iter(batches))
+    next(stopped)
+    stopped.close()
+    assert pool.released == 5
+
+
+def test_texts_are_shingled_and_packed_by_lean_workers(spark, documents, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "lean", lambda run: made.append(run) or run)
+    monkeypatch.setattr(langid, "lean", lambda run: made.append(run) or run)
+    monkeypatch.setattr(packing, "lean", lambda run: made.append(run) or run)
+    docs = documents([(1, "one two three four five six"), (2, None)])
+    langid.identify(docs, {"en": b"one two"})
+    packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=0)
+    assert len(made) == 2
+    jaccard.jaccard_join(docs)
+    assert len(made) > 4
+
+
+def test_words_are_learned_some_at_a_time(monkeypatch):
+    """The library never gets more than a few words at once, and the ids are the same."""
+    words = pa.array([" ".join(f"word{i}x{k}" for i in range(50)) for k in range(5)])
+    whole = WordEncoder(public_tokenizers.path(VOCABULARY))
+    expected = [(first, ids.tolist(), offsets.tolist()) for first, ids, offsets in whole.encode(words)]
+    given = []
+    some = WordEncoder(public_tokenizers.path(VOCABULARY))
+
+    class Counted:
+        def encode_batch_fast(self, batch, **kw):
+            given.append(len(batch))
+            return whole.tokenizer.encode_batch_fast(batch, **kw)
+
+    some.tokenizer = Counted()
+    monkeypatch.setattr(tokens, "LEARNED", 7)
+    got = [(first, ids.tolist(), offsets.tolist()) for first, ids, offsets in some.encode(words)]
+    assert got == expected and max(given) == 7 and sum(given) == whole.used - 1
