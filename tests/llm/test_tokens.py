@@ -181,3 +181,27 @@ def test_documents_that_share_an_id_are_all_found(tmp_path):
     with pytest.raises(ValueError):
         reader.find([1, 2])
     reader.close()
+
+
+def test_words_of_letters_are_many_in_a_text(library):
+    """The library gets far fewer texts than words; ids are the same, also where the joined
+    texts end other words than they were made of."""
+    words = [f"{a}{b}{c}" for a in ("stra", "Ço", "x") for b in "abcdefghij" for c in ("", "ße", "ÿ", "ın", "İ", "9")]
+    text = " ".join(words)
+    given = []
+    some = WordEncoder(PATH)
+    inner = some.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, batch, **kw):
+            given.extend(batch)
+            return inner.encode_batch_fast(batch, **kw)
+
+    some.tokenizer = Counted()
+    [(_, ids, _)] = some.encode(pa.array([text]))
+    assert ids.tolist() == library(text)
+    assert len(given) < 0.6 * len(words)
+    other = WordEncoder(PATH)
+    other.ends[:] = False
+    [(_, ids, _)] = other.encode(pa.array([text]))
+    assert ids.tolist() == library(text)
