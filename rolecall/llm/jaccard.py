@@ -33,13 +33,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rolecall.llm.graph import components
 from rolecall.llm.words import mix, shingle_sets
-from rolecall.llm.worker import lean
-from rolecall.session import Scratch, materialize
+from rolecall.llm.worker import lean, only
+from rolecall.session import Scratch, arrow_rows, materialize
 
 #: Words of a shingle, and the least similarity.
 WORDS, THRESHOLD = 5, Fraction(3, 4)
 
-#: Shingles seen so often, counting only what repeats within an Arrow batch, are
+#: Texts, and pairs of sets, that a task hands to Python at a time.
+ROWS = 1000
+
+#: Documents of a task whose shingles are counted together.
+COUNTED = 10_000
+
+#: Shingles seen so often, counting only what repeats within :data:`COUNTED` documents, are
 #: put last in the order; so many at most, the most frequent ones. Neither
 #: changes the result, only how many pairs are looked at.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
@@ -89,31 +95,44 @@ def _difference(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _describe(size: int):
-    """One row per document (no ``shingle``), and per Arrow batch the shingles
-    that repeat in it (no ``sig``)."""
+    """One row per document (no ``shingle``), and per :data:`COUNTED` documents of a task
+    the shingles that repeat among them (no ``sig``)."""
+    def repeats(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        held.clear()
+        values, times = _repeated(every)
+        nothing = pa.nulls(len(values), pa.int64())
+        return pa.record_batch(
+            [nothing] * (3 + BITMAP_LONGS) + [pa.array(values.view(np.int64)), pa.array(times),
+                                              pa.nulls(len(nothing), pa.binary())], names=_DESCRIBED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, held, seen = 0, [], set()
         for batch in batches:
-            sigs, sizes, bits, parities, distinct = [], [], [], [], {}
+            counted += batch.num_rows
+            if counted > COUNTED:
+                if held:
+                    yield repeats(held)
+                counted = batch.num_rows
+                seen.clear()
+            sigs, sizes, bits, parities = [], [], [], []
             for shingles in shingle_sets(batch.column("text"), size):
                 sig = _signature(shingles) if len(shingles) else None
                 sigs.append(sig)
                 sizes.append(len(shingles))
                 bits.append(_parity(shingles, 64 * BITMAP_LONGS).view(np.int64))
                 parities.append(_parity(shingles, _parity_bits(len(shingles))).tobytes())
-                distinct.setdefault(sig, shingles)
+                if sig is not None and sig not in seen:
+                    seen.add(sig)
+                    held.append(shingles)
             rows = len(sigs)
             nothing = pa.nulls(rows, pa.int64())
             columns = np.array(bits, np.int64).reshape(rows, BITMAP_LONGS).T
             yield pa.record_batch(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()),
                  *[pa.array(c) for c in columns], nothing, nothing, pa.array(parities, pa.binary())], names=_DESCRIBED)
-            every = np.concatenate([*distinct.values(), np.zeros(0, np.uint64)])
-            distinct.clear()
-            values, times = _repeated(every)
-            nothing = pa.nulls(len(values), pa.int64())
-            yield pa.record_batch(
-                [nothing] * (3 + BITMAP_LONGS) + [pa.array(values.view(np.int64)), pa.array(times),
-                                                  pa.nulls(len(nothing), pa.binary())], names=_DESCRIBED)
+        if held:
+            yield repeats(held)
     return run
 
 
@@ -133,10 +152,15 @@ _DESCRIBED = ["doc_id", "sig", "n", *_BITS, "shingle", "times", "parity"]
 
 def _first_shingles(size: int, frequent: np.ndarray, times: np.ndarray, threshold: Fraction):
     """(shingle, sig, frequent): the part of each set that a similar one has to share in.
-    ``frequent`` is sorted. Copies within an Arrow batch give their rows once."""
+    ``frequent`` is sorted. Copies among :data:`COUNTED` documents of a task give their rows once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, done = 0, set()
         for batch in batches:
-            shown, owners, often, done = [], [], [], set()
+            counted += batch.num_rows
+            if counted > COUNTED:
+                counted = batch.num_rows
+                done.clear()
+            shown, owners, often = [], [], []
             for shingles in shingle_sets(batch.column("text"), size):
                 n = len(shingles)
                 if not n or (sig := _signature(shingles)) in done:
@@ -248,7 +272,7 @@ def _prepared(documents: DataFrame, words: int, threshold: Fraction, held: Scrat
     that are similar enough."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{c} {'binary' if c == 'parity' else 'bigint'}" for c in _DESCRIBED)
-    described = materialize(texts.mapInArrow(lean(_describe(words)), schema), "described")
+    described = materialize(texts.mapInArrow(lean(only(_describe(words))), schema), "described")
     members = described.where("shingle is null").select("doc_id", "n", "sig")
     classes = members.where("sig is not null").groupBy("sig").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
@@ -259,7 +283,7 @@ def _prepared(documents: DataFrame, words: int, threshold: Fraction, held: Scrat
     order = np.argsort(frequent)
     frequent, times = frequent[order], common.column("times").to_numpy()[order]
 
-    shown = texts.mapInArrow(lean(_first_shingles(words, frequent, times, threshold)),
+    shown = texts.mapInArrow(lean(only(_first_shingles(words, frequent, times, threshold))),
                              "shingle bigint, sig bigint, frequent boolean")
     # A class with many shingles that others show, too, is in the middle of its group.
     middle = F.sum("times").over(Window.partitionBy("sig"))
@@ -287,20 +311,21 @@ def jaccard_join(documents: DataFrame, words: int = WORDS, threshold: Fraction =
     table gives empty results. Shingles and sets are told apart by 64-bit
     hashes.
     """
-    held = Scratch(documents.sparkSession)
-    members, entries, bits, verified = _prepared(documents, words, threshold, held)
-    links, left = verified(_pivot_pairs(entries.withColumn("component", F.col("sig")), F.col("degree"), threshold)), entries
-    for number in range(1, PIVOT_ROUNDS + 1):
-        after = Scratch(documents.sparkSession)
-        left = after.table(_open(left, components(links)), "open")
+    with arrow_rows(documents.sparkSession, ROWS):
+        held = Scratch(documents.sparkSession)
+        members, entries, bits, verified = _prepared(documents, words, threshold, held)
+        links, left = verified(_pivot_pairs(entries.withColumn("component", F.col("sig")), F.col("degree"), threshold)), entries
+        for number in range(1, PIVOT_ROUNDS + 1):
+            after = Scratch(documents.sparkSession)
+            left = after.table(_open(left, components(links)), "open")
+            held.clear()
+            held = after
+            if number < PIVOT_ROUNDS:
+                pairs = _pivot_pairs(left, F.xxhash64("sig", F.lit(number)), threshold)
+            else:
+                pairs = _all_pairs(left, bits, threshold).distinct()
+            links = links.unionByName(verified(pairs))
         held.clear()
-        held = after
-        if number < PIVOT_ROUNDS:
-            pairs = _pivot_pairs(left, F.xxhash64("sig", F.lit(number)), threshold)
-        else:
-            pairs = _all_pairs(left, bits, threshold).distinct()
-        links = links.unionByName(verified(pairs))
-    held.clear()
     return JaccardJoin(members, links)
 
 
@@ -308,7 +333,7 @@ def all_links(documents: DataFrame, words: int = WORDS, threshold: Fraction = TH
     """(x, y), x < y: every pair of different classes with a similarity of
     ``threshold`` or more, as many as there are. Rows of one class have equal sets.
     ``documents`` is as for :func:`jaccard_join`; ``block`` doesn't change the result."""
-    with Scratch(documents.sparkSession) as held:
+    with arrow_rows(documents.sparkSession, ROWS), Scratch(documents.sparkSession) as held:
         _, entries, bits, verified = _prepared(documents, words, threshold, held)
         return verified(_block_pairs(entries, bits, threshold, block))
 
@@ -402,7 +427,7 @@ def _left_possible(pairs: DataFrame, parities: DataFrame, threshold: Fraction, s
     shapes = scratch.table(parities.join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "shapes")
     both = (pairs.join(shapes.toDF("x", "n_x", "parity_x"), "x").join(shapes.toDF("y", "n_y", "parity_y"), "y")
             .select("x", "y", "n_x", "n_y", "parity_x", "parity_y"))
-    return both.mapInArrow(lean(_possible(threshold)), "x bigint, y bigint")
+    return both.mapInArrow(lean(only(_possible(threshold))), "x bigint, y bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
@@ -414,7 +439,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     if owners.count() <= MOST_SENT:
         owners = F.broadcast(owners)
     held = texts.alias("t").join(owners.alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
-    sets = scratch.table(held.select("sig", "text").mapInArrow(lean(_sets(words)), "sig bigint, shingles binary"), "sets")
+    sets = scratch.table(held.select("sig", "text").mapInArrow(lean(only(_sets(words))), "sig bigint, shingles binary"), "sets")
     both = (pairs.join(sets.toDF("y", "set_y"), "y").join(sets.toDF("x", "set_x"), "x")
             .select("x", "y", "set_x", "set_y"))
-    return materialize(both.mapInArrow(lean(_linked(threshold)), "x bigint, y bigint"), "links")
+    return materialize(both.mapInArrow(lean(only(_linked(threshold))), "x bigint, y bigint"), "links")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rolecall.llm.worker import dropped, kept, lean
+from rolecall.llm.worker import dropped, kept, lean, only
 
 #: Bounds of the sample a language is learned from: rows, and bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 128, 384
@@ -196,9 +196,10 @@ def identify(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     which the first language in order wins. Columns of these names are replaced.
     """
     sent = tuple(sorted(samples.items()))
+    key = ("languages", sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept(("languages", sent), lambda: LanguageModel(dict(sent)))
+        model = kept(key, lambda: LanguageModel(dict(sent)))
         try:
             for batch in batches:
                 for low in range(0, batch.num_rows, 1000):
@@ -209,11 +210,11 @@ def identify(documents: DataFrame, samples: dict[str, bytes]) -> DataFrame:
                                           names=[*keep, "lang_pred", "lang_score", "lang_bits"])
         finally:
             # Its tables are large; the worker goes on to other stages.
-            dropped(("languages", sent))
+            dropped(key)
 
     added = ("lang_pred", "lang_score", "lang_bits")
     base = documents.drop(*added)
     keep = base.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
                        + ["lang_pred string", "lang_score double", "lang_bits double"])
-    return base.mapInArrow(lean(run), schema)
+    return base.mapInArrow(lean(only(run, key)), schema)

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from rolecall.llm.tokens import encoder
-from rolecall.llm.worker import lean
+from rolecall.llm.tokens import encoder, encoder_key
+from rolecall.llm.worker import lean, only
 
 #: Tokens of a sequence, and sequences a task holds open.
 LENGTH, OPEN = 2048, 1024
@@ -98,4 +98,4 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, length: int = LENGT
     schema = PACKED + ", ids binary" * with_ids
     names = [field.split()[0] for field in schema.split(", ")]
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lean(run), schema)
+    return texts.mapInArrow(lean(only(run, encoder_key(vocabulary))), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Hashable, Iterator
 from types import ModuleType
@@ -10,8 +12,11 @@ from typing import Any
 import pyarrow as pa
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 def _store() -> dict:
-    return sys.modules.setdefault("_rolecall_worker", ModuleType("_rolecall_worker")).__dict__
+    return sys.modules.setdefault("_rolecall_worker", ModuleType("_rolecall_worker")).__dict__.setdefault("kept", {})
 
 
 def dropped(key: Hashable) -> None:
@@ -28,7 +33,15 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+def _give_back() -> None:
+    """Hands memory that is free to the system: Arrow's, and where the C library can, its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Batches) -> Batches:
     """``run`` for ``mapInArrow``, giving back after each batch what Arrow freed but would hold
     on to. Else that stays with the worker, beside what its next batch or task takes."""
     def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,5 +54,18 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(spare(batches))
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
     return whole
+
+
+def only(run: Batches, *keys: Hashable) -> Batches:
+    """``run``, freeing first what is :func:`kept` under other ``keys``: a worker goes on from
+    stage to stage, and what an earlier one made would stay beside what this one takes."""
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if others := _store().keys() - set(keys):
+            for key in others:
+                dropped(key)
+            gc.collect()
+            _give_back()
+        yield from run(batches)
+    return alone

@@ -10,6 +10,7 @@ import pytest
 
 from rolecall.llm import jaccard, langid, packing, tokens, worker
 from rolecall.llm.tokens import VOCABULARY, WordEncoder
+from rolecall.session import ARROW_ROWS
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -82,3 +83,32 @@ def test_words_are_learned_some_at_a_time(monkeypatch):
     monkeypatch.setattr(tokens, "LEARNED", 7)
     got = [(first, ids.tolist(), offsets.tolist()) for first, ids, offsets in some.encode(words)]
     assert got == expected and max(given) == 7 and sum(given) == whole.used - 1
+
+
+def test_a_stage_frees_what_earlier_ones_kept(monkeypatch):
+    store = {("encoder", "a"): 1, ("languages",): 2}
+    monkeypatch.setattr(worker, "_store", lambda: store)
+    batches = [pa.record_batch([pa.array([1])], names=["x"])]
+    assert list(worker.only(lambda given: given, ("encoder", "a"))(iter(batches))) == batches
+    assert store == {("encoder", "a"): 1}
+    list(worker.only(lambda given: given)(iter(batches)))
+    assert store == {}
+
+
+def test_texts_are_handed_to_python_some_at_a_time(spark, documents, monkeypatch):
+    """While shingles are made, an Arrow batch has few rows; the session is left as it was."""
+    before, during = spark.conf.get(ARROW_ROWS), []
+    write = jaccard.materialize
+    monkeypatch.setattr(jaccard, "ROWS", 2)
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: during.append(spark.conf.get(ARROW_ROWS)) or write(df, label))
+    found = jaccard.jaccard_join(documents([(k, "one two three four five six") for k in range(5)])).documents()
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(k, 0) for k in range(5)}
+    assert set(during) == {"2"} and spark.conf.get(ARROW_ROWS) == before
+
+
+def test_shingles_are_counted_over_batches():
+    """A shingle that is in one text of each batch repeats all the same."""
+    batches = [pa.record_batch([pa.array([k]), pa.array([f"a b {k}"])], names=["doc_id", "text"]) for k in range(3)]
+    rows = [r for b in jaccard._describe(2)(iter(batches)) for r in b.to_pylist()]
+    assert [r["times"] for r in rows if r["shingle"] is not None] == [3]
+    assert [r["doc_id"] for r in rows if r["sig"] is not None] == [0, 1, 2]
