@@ -4,9 +4,13 @@ A merge writes the partitions it changes to a folder of its own, then a table th
 which folder holds each partition, and gives that table its number by one rename::
 
     data/commit_id=<id>/name=../year=../month=../day=../*.parquet
+    months/commit_id=<id>/name=../year=../month=../*.parquet
     prepared/<id>      tables that have no number yet
     versions/<number>  tables that have
 
+A merge of many days with few rows each writes a folder per month, with the day as a column,
+and of days as before only those it changes: the table says for each day which commit has it.
+
 Until the rename, readers see the version before; a merge that dies leaves folders that no
 version names. Of two merges that want one number one gets it, and the other merges again
 with what it finds then. Folders that a version names are never written again, so a reader
@@ -15,6 +19,7 @@ of a version isn't disturbed by later ones.
 
 from __future__ import annotations
 
+import functools
 import time
 import uuid
 
@@ -23,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rolecall.session import materialize, shared_files
-from rolecall.sources.postings import STORE_PARTITIONS, in_partitions
+from rolecall.sources.postings import STORE_PARTITIONS, folders_for, in_partitions, partitions_last, store_exists
 from rolecall.sources.sinks import first_of_url, upsert_postings
 
 COMMIT = "commit_id"
 KEYS = list(STORE_PARTITIONS)
 
+#: Where the folders of commits are, by the number of partition columns that are folders.
+PLACES = {len(KEYS): "data", len(KEYS) - 1: "months"}
+
 #: Key of the metadata that a table of folders keeps the columns of the store under.
 COLUMNS = "columns"
 
@@ -87,7 +95,7 @@ class VersionedStore:
         named = {r[COMMIT] for number in known[-keep:]
                  for r in self._folders(spark, number).select(COMMIT).distinct().toLocalIterator()}
         before = (time.time() - idle_seconds) * 1000
-        for place in ("data", "prepared"):
+        for place in (*PLACES.values(), "prepared"):
             for status in self._listed(spark, place):
                 commit = status.getPath().getName().removeprefix(f"{COMMIT}=")
                 if commit not in named and status.getModificationTime() <= before:
@@ -109,16 +117,19 @@ class VersionedStore:
         columns = T.StructType.fromJson(folders.schema[COMMIT].metadata[COLUMNS])
         if touched is not None:
             folders = in_partitions(folders, touched, KEYS, "left_semi")
-        rows = folders.sparkSession.read.schema(columns.add(COMMIT, "string")).parquet(f"{self.path}/data")
-        return in_partitions(rows, folders, [COMMIT, *KEYS], "left_semi").drop(COMMIT)
+        spark, columns = folders.sparkSession, columns.add(COMMIT, "string")
+        # One by one, as partitions are not pruned through a union.
+        found = [in_partitions(spark.read.schema(columns).parquet(place), folders, [COMMIT, *KEYS], "left_semi")
+                 for place in (f"{self.path}/{p}" for p in PLACES.values()) if store_exists(spark, place)]
+        return functools.reduce(DataFrame.unionByName, [partitions_last(rows.drop(COMMIT)) for rows in found])
 
     def _write(self, new: DataFrame, touched: DataFrame, folders: DataFrame | None) -> str:
         """Writes the partitions at hand, and the table of folders with them in it."""
-        commit = uuid.uuid4().hex
+        commit, within = uuid.uuid4().hex, folders_for(new)
         if folders is not None:
             new = upsert_postings(self._rows(folders, touched), new, within=STORE_PARTITIONS)
-        (new.hint("rebalance", *map(F.col, STORE_PARTITIONS)).write.partitionBy(*STORE_PARTITIONS)
-         .parquet(f"{self.path}/data/{COMMIT}={commit}"))
+        (new.hint("rebalance", *map(F.col, within)).write.partitionBy(*within)
+         .parquet(f"{self.path}/{PLACES[len(within)]}/{COMMIT}={commit}"))
         held = touched.withColumn(COMMIT, F.lit(commit))
         if folders is not None:
             held = in_partitions(folders, touched, KEYS, "left_anti").unionByName(held)

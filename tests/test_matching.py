@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolecall.functions import matching as m
-from rolecall.functions.scan import KeywordScan
+from rolecall.functions.classification import KeywordTables
+from rolecall.functions.scan import COMMON, FEW, KeywordScan, parted, rare_letter_pattern
+from rolecall.functions.taxonomy import DEFAULT_TAXONOMY
 from rolecall.operators.matching import limit_per_spec, match_specs, spec_filters
 from rolecall.sources.specs import SearchSpec
 
@@ -176,3 +178,20 @@ def test_limit_per_spec_is_exact_on_a_hot_search(spark):
         got = limit_per_spec(df, ["seq"], given).collect()
         assert sorted((r.spec, r.seq) for r in got) == [("cold", 0), ("cold", 1)] + [
             ("hot", i) for i in range(7)]
+
+
+@pytest.mark.parametrize("letters, count", [("abk", 40), ("ab k.", 90), ("kqxe", 150), ("abcdefgk -.\U0001f600\u00e7", 120)])
+def test_scan_finds_what_is_contained(spark, letters, count):
+    rng = random.Random(count)
+    word = lambda most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    keywords, texts = list({word(5) for _ in range(count)}), [word(40) for _ in range(80)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(KeywordScan(keywords).found("t").alias("found"))
+    assert [r.found for r in df.collect()] == [[i for i, k in enumerate(keywords) if t and k in t] for t in texts]
+
+
+def test_a_scan_stops_at_rare_letters_only():
+    """Nearly each place of a text has one of the letters that keywords start with."""
+    tables = KeywordTables(DEFAULT_TAXONOMY)
+    parts = parted(tables.plain)
+    stops = rare_letter_pattern(parts.values()).split("]")[0]
+    assert not set(COMMON) & set(stops) and len(tables.plain) - len(parts) <= FEW

@@ -125,3 +125,32 @@ def test_only_folders_of_the_version_are_read(spark, tmp_path):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "dynamicpruning" in plan
         assert rows.count() == files
+
+
+def many_days(spark, count):
+    """A posting a day."""
+    days = day(spark).drop(*sinks.STORE_PARTITIONS).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return sinks.with_partitions(days.withColumns({
+        "url": F.concat(F.lit("u"), "id"), "scraped_at": F.timestamp_seconds(F.lit(1735689600) + F.col("id") * 86400)}).drop("id"), "s")
+
+
+def folders(path):
+    return [d for d, _, files in os.walk(path) if any(f.endswith(".parquet") for f in files)]
+
+
+def test_many_days_of_few_rows_are_few_folders(spark, tmp_path):
+    store, rows = VersionedStore(str(tmp_path / "store")), many_days(spark, 300)
+    assert store.merge(rows) == 1 and len(folders(tmp_path / "store" / "months")) == 10
+    store.merge(rows.limit(0))
+    # A day more and a day again, by day; then all days again.
+    store.merge(day(spark, {"url": "late", **LATER}, {"url": "late", "scraped_at": datetime(2025, 3, 1), "title": "New"}, {"url": "u59", "scraped_at": datetime(2025, 3, 1)}))
+    assert len(folders(tmp_path / "store" / "data")) == 2
+    for again in (False, True):
+        if again:
+            store.merge(rows.withColumns({"title": F.lit("Again"), "note": F.lit("n")}))
+        got = {(r.url, r.day): r.title for r in store.read(spark).collect()}
+        assert store.read(spark).count() == len(got) == 302 and "Again" not in got.values()
+        assert (got["late", "20250301"], got["u59", "20250301"]) == ("New", "Go Dev") and ("late", "20251201") in got
+        assert store.read(spark, 1).count() == 300 and store.read(spark).columns[-4:] == list(sinks.STORE_PARTITIONS)
+    store.vacuum(spark, 1, idle_seconds=-1)
+    assert store.read(spark).count() == 302 and len(os.listdir(tmp_path / "store" / "months")) == 1
