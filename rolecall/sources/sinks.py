@@ -11,7 +11,8 @@ from rolecall.functions.text import date_parts, iso_timestamp, join_tags
 from rolecall.operators.ordering import keep_first
 from rolecall.operators.summary import category_summary, tag_summary
 from rolecall.session import materialize, shared_files
-from rolecall.sources.postings import CSV_OPTIONS, STORE_PARTITIONS, read_existing, store_exists
+from rolecall.sources.postings import (
+    CSV_OPTIONS, STORE_PARTITIONS, folders_for, read_existing, store_exists, store_folders)
 
 
 def append_union(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,23 +51,28 @@ def with_partitions(postings: DataFrame, name=None, ts: str = "scraped_at") -> D
 def write_postings(postings: DataFrame, path: str) -> None:
     """Merges postings (with partition columns) into the Parquet store.
 
-    Only the partitions at hand are read and rewritten. The write goes to a
+    Only the folders at hand are read and rewritten; the first write decides whether
+    they are of days or of months (``folders_for``). The write goes to a
     staging folder first, so reading the same partitions is safe, and writing
     the same postings again changes nothing.
     """
     spark = postings.sparkSession
     order = _arrival(postings)
-    new = first_of_url(postings)
+    # Used twice below, so made once; its true size then lets the planner
+    # broadcast the partitions at hand and prune the store by them.
+    new = materialize(first_of_url(postings), "new-postings")
     if store_exists(spark, path):
-        # Used twice below, so made once; its true size then lets the planner
-        # broadcast the partitions at hand and prune the store by them.
-        new = materialize(new, "new-postings")
-        new = upsert_postings(read_existing(spark, path, new), new, within=STORE_PARTITIONS,
+        folders = store_folders(spark, path)
+        new = upsert_postings(read_existing(spark, path, new, folders), new, within=STORE_PARTITIONS,
                               order_by=tuple(order))
+    else:
+        folders = folders_for(new)
+    # What is no folder is stored as folders are: as text, and an empty one as null.
+    new = new.withColumns({c: F.nullif(F.col(c).cast("string"), F.lit("")) for c in STORE_PARTITIONS if c not in folders})
     # One task per small partition, several for a hot one: few files either way.
-    balanced = new.hint("rebalance", *map(F.col, STORE_PARTITIONS))
+    balanced = new.hint("rebalance", *map(F.col, folders))
     (balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*STORE_PARTITIONS).parquet(path))
+     .partitionBy(*folders).parquet(path))
 
 
 def first_of_url(postings: DataFrame) -> DataFrame:

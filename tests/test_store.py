@@ -70,6 +70,24 @@ def test_a_hot_day_is_merged_whole(spark, tmp_path):
     assert got.count() == 200 + 2 and got.where("url = 'same'").count() == 2
 
 
+def test_many_days_of_few_rows_are_few_folders(spark, tmp_path):
+    path = str(tmp_path / "store")
+    days = posting(spark).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(299)))).withColumns({
+        "url": F.concat(F.lit("u"), "id"), "scraped_at": F.timestamp_seconds(F.lit(1735689600) + F.col("id") * 86400)}).drop("id")
+    write = lambda df: sinks.write_postings(sinks.with_partitions(df, "s"), path)
+    write(days)
+    assert len([d for d in (tmp_path / "store").rglob("month=*/") if list(d.glob("*.parquet"))]) == 10
+    write(posting(spark, {"url": "u0", "title": "Again", "scraped_at": datetime(2025, 1, 1)},
+                  {"url": "u0", "title": "New", "scraped_at": datetime(2025, 1, 2)}, {"url": "late", "scraped_at": datetime(2025, 12, 1)}))
+    write(days.withColumn("title", F.lit("Again")))
+    rows = readers.read_store(spark, path)
+    got = {(r.url, r.month, r.day): r.title for r in rows.collect()}
+    assert rows.count() == len(got) == 302 and rows.columns[-4:] == list(readers.STORE_PARTITIONS)
+    assert "Again" not in got.values() and got["u0", "01", "20250102"] == "New" and ("late", "12", "20251201") in got
+    at_hand = sinks.with_partitions(posting(spark, {"scraped_at": datetime(2025, 1, 2)}), "s")
+    assert sorted(r.url for r in readers.read_existing(spark, path, at_hand).collect()) == ["u0", "u1"]
+
+
 def test_day_file_round_trip(spark, tmp_path):
     root = str(tmp_path / "output")
     df = posting(spark, {"title": 'A "quoted", two\nline title'}, {"url": "u2", "tags": [], "posted_time": None})
